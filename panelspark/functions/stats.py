@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z975 = 1.959963984540054  # fixed value: 97.5 percent point of the normal
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.erfc(v) if v == v else np.nan)
 
@@ -55,7 +56,7 @@ def binomial_upper_tail(k: int, n: int, p: float) -> float:
     return 1.0 - math.exp(log_front) * _betacf(b, a, 1.0 - p) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_greater_p(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """One-sided exact p; null when the expected rate is not inside (0, 1)."""
     def one(a, m, q):
