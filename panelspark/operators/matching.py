@@ -371,14 +371,15 @@ def rank_match(df: DataFrame, cell: Sequence[str], key: str = "pixel_id") -> Dat
     """
     cell = list(cell)
 
-    def pos(side: int, name: str) -> DataFrame:
-        c = ordered_cumulative(df.where(F.col("treat") == side).withColumn(
-            "__k", F.col(key).cast("double")), cell, "__k", {"n": F.lit(1)})
-        return c.select(*cell, F.col("n_before").alias("__pos"),
-                        F.col("__k").cast("long").alias(name))
-
-    return null_safe_join(pos(1, "treated_id"), pos(0, "control_id"),
-                          [*cell, "__pos"]).drop("__pos")
+    k = df.withColumn("__k", F.col(key).cast("double"))
+    c = ordered_cumulative(k, cell, "__k", {
+        "t": F.col("treat").cast("long"), "c": 1 - F.col("treat").cast("long")})
+    one = F.col("__k").cast("long")
+    t = c.where("t > 0").select(*cell, F.col("t_before").alias("__pos"),
+                                one.alias("treated_id"))
+    u = c.where("c > 0").select(*cell, F.col("c_before").alias("__pos"),
+                                one.alias("control_id"))
+    return null_safe_join(t, u, [*cell, "__pos"]).drop("__pos")
 
 
 def _spread(t: Column, c: Column) -> Column:
