@@ -8,10 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _literal(v) -> str:
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    if isinstance(v, int):
+        return str(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(key: Column, table: Mapping) -> Column:
     """Value of a small literal map, null when the key is not in it."""
-    flat = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*flat), key)
+    pairs = ", ".join(_literal(x) for pair in table.items() for x in pair)
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def near(value: Column, target: Column | float) -> Column:

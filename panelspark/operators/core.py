@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from panelspark.session import cut_lineage
 
 REGISTRY_LIMIT = 10_000
-BUCKETS = 1024       # value buckets of a group, then of a crowded bucket
+PARTS = 4096         # value buckets per octave
 CROWDED = 200_000    # distinct values above which a bucket is split again
+SPLIT = 1024         # parts of a crowded bucket
 
 
 def registry(spark: SparkSession, columns: Sequence[str],
@@ -48,10 +49,17 @@ def finite(value: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
 
 
-def _bucket(v: Column, lo: Column, hi: Column) -> Column:
-    """Bucket number, never decreasing in ``v``."""
-    step = F.floor((v - lo) / (hi - lo) * BUCKETS)
-    return F.when(hi > lo, F.least(step, F.lit(BUCKETS - 1))).otherwise(F.lit(0))
+def _octave_bucket(v: Column) -> Column:
+    """Bucket number that never decreases in ``v``: 4,096 parts per octave.
+
+    Exponent and leading digits of the number; both ways of writing a power of
+    two give the same bucket, so rounding in the logarithm is harmless.
+    """
+    a = F.abs(v)
+    e = F.floor(F.log2(a))
+    part = F.floor((a / F.pow(F.lit(2.0), e.cast("double")) - 1) * PARTS)
+    code = (e + 1100) * PARTS + part
+    return F.when(v > 0, code).when(v < 0, -code).otherwise(F.lit(0)).cast("long")
 
 
 def ordered_cumulative(df: DataFrame, keys: Sequence[str], value: str,
@@ -66,75 +74,81 @@ def ordered_cumulative(df: DataFrame, keys: Sequence[str], value: str,
     buckets by value, crowded buckets once more by their own range, and only
     the bucket totals (a bounded number) are accumulated across the group, so
     no task ever sorts a whole group. Every step is a deterministic function of
-    the data: a recomputed task gives the same buckets.
+    the data: a recomputed task gives the same buckets. Keys travel as one
+    struct, which matches nulls and keeps one partitioning throughout.
     """
-    keys = list(keys)
-    names = list(sums)
+    keys, names = list(keys), list(sums)
+    key = F.struct(*keys) if keys else F.lit(0)
     v = F.col("__v")
     exprs = [(F.sum(F.expr(s) if isinstance(s, str) else s)).alias(n)
              for n, s in sums.items()]
     d = (df.where(finite(F.col(value)))
-         .withColumn("__v", F.col(value).cast("double") + F.lit(0.0))
-         .groupBy(*keys, "__v").agg(*exprs))
-    span = d.groupBy(*keys).agg(
+         .groupBy(key.alias("__k"), (F.col(value).cast("double") + F.lit(0.0))
+                  .alias("__v")).agg(*exprs)
+         .select("*", _octave_bucket(v).alias("__b1")))
+    range_ = d.groupBy("__k", "__b1").agg(
         F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
-        *[F.sum(n).alias(f"{n}_all") for n in names])
-    if keys:
-        d1 = null_safe_join(d, span, keys)
-    else:
-        d1 = d.crossJoin(F.broadcast(span))  # one row
-    d1 = d1.withColumn("__b1", _bucket(v, F.col("__lo"), F.col("__hi")))
-    fine = (d1.groupBy(*keys, "__b1").agg(
-        F.min("__v").alias("__lo2"), F.max("__v").alias("__hi2"),
-        F.count(F.lit(1)).alias("__n2")))
-    d2 = null_safe_join(d1, fine, [*keys, "__b1"]).withColumn(
-        "__b2", F.when(F.col("__n2") > CROWDED,
-                       _bucket(v, F.col("__lo2"), F.col("__hi2")))
-        .otherwise(F.lit(0)))
-    bucket = [*keys, "__b1", "__b2"]
-    order_b = Window.partitionBy(*keys).orderBy("__b1", "__b2").rowsBetween(
+        F.count(F.lit(1)).alias("__n"))
+    lo, hi = F.col("__lo"), F.col("__hi")
+    step = F.when((F.col("__n") > CROWDED) & (hi > lo), F.least(
+        F.floor((v - lo) / (hi - lo) * SPLIT), F.lit(SPLIT - 1))).otherwise(F.lit(0))
+    d = d.join(range_, ["__k", "__b1"]).select(
+        "__k", "__b1", step.cast("long").alias("__b2"), "__v", *names)
+    bucket = ["__k", "__b1", "__b2"]
+    before = Window.partitionBy("__k").orderBy("__b1", "__b2").rowsBetween(
         Window.unboundedPreceding, -1)
-    offs = d2.groupBy(*bucket).agg(*[F.sum(n).alias(f"__t_{n}") for n in names])
-    offs = offs.select(*bucket, *[
-        F.coalesce(F.sum(f"__t_{n}").over(order_b), F.lit(0)).alias(f"__o_{n}")
-        for n in names])
+    whole = Window.partitionBy("__k")
+    offs = d.groupBy(*bucket).agg(*[F.sum(n).alias(f"__t_{n}") for n in names]).select(
+        *bucket,
+        *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}")
+          for n in names],
+        *[F.sum(f"__t_{n}").over(whole).alias(f"{n}_all") for n in names])
     inside = Window.partitionBy(*bucket).orderBy("__v").rowsBetween(
         Window.unboundedPreceding, -1)
-    out = null_safe_join(d2, offs, bucket)
-    return out.select(
-        *keys, F.col("__v").alias(value), *names,
+    return d.join(offs, bucket).select(
+        *[F.col(f"__k.{k}").alias(k) for k in keys],
+        F.col("__v").alias(value), *names,
         *[(F.col(f"__o_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0)))
           .alias(f"{n}_before") for n in names],
         *[f"{n}_all" for n in names])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: dict[str, float], kind: int = 7) -> DataFrame:
+                    probs: dict[str, float | tuple[float, Column]],
+                    kind: int = 7) -> DataFrame:
     """Exact quantiles per group, one column per name in ``probs``.
 
-    ``kind`` 7 interpolates between order statistics, 1 inverts the empirical
-    distribution. The order statistics are picked by rank from the running
-    counts, so a group of any size is spread over tasks.
+    A probability may come with a condition on the rows it is taken over; all
+    of them share one pass. ``kind`` 7 interpolates between order statistics, 1
+    inverts the empirical distribution. The order statistics are picked by rank
+    from the running counts, so a group of any size is spread over tasks.
     """
-    c = ordered_cumulative(df, keys, value, {"__w": F.lit(1)})
-    n, lo, hi = F.col("__w_all"), F.col("__w_before"), None
-    hi = lo + F.col("__w")
+    conds: dict[str, Column] = {}
+    plan = []
+    for name, p in probs.items():
+        prob, cond = p if isinstance(p, tuple) else (p, None)
+        known = {str(c): t for t, c in conds.items() if c is not None}
+        tag = known.get(str(cond), f"__w{len(conds)}") if cond is not None else "__w"
+        conds.setdefault(tag, cond)
+        plan.append((name, float(prob), tag))
+    c = ordered_cumulative(df, keys, value, {
+        t: F.lit(1) if k is None else k.cast("long") for t, k in conds.items()})
+    aggs = []
+    for name, p, t in plan:
+        n, lo = F.col(f"{t}_all"), F.col(f"{t}_before")
+        hi = lo + F.col(t)
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((lo <= rank) & (rank < hi), F.col(value)))
+        def at(rank: Column, lo=lo, hi=hi) -> Column:
+            return F.max(F.when((lo <= rank) & (rank < hi), F.col(value)))
 
-    aggs = []
-    for name, p in probs.items():
         if kind == 1:
-            rank = F.greatest(F.ceil(n * F.lit(float(p)) - F.lit(1e-9)) - 1,
-                              F.lit(0))
-            aggs.append(at(rank).alias(name))
+            aggs.append(at(F.greatest(F.ceil(n * F.lit(p) - F.lit(1e-9)) - 1, F.lit(0)))
+                        .alias(name))
             continue
-        h = (n - 1) * F.lit(float(p))
+        h = (n - 1) * F.lit(p)
         k = F.floor(h)
         low, high = at(k), at(F.least(k + 1, n - 1))
-        frac = F.max(h - k)
-        aggs.append((low + frac * (high - low)).alias(name))
+        aggs.append((low + F.max(h - k) * (high - low)).alias(name))
     return c.groupBy(*keys).agg(*aggs)
 
 

@@ -67,15 +67,13 @@ def two_part_summary(events: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"),
         F.sum(F.col("detected").cast("long")).alias("n_detected"),
         F.avg("treefrac_loss").alias("__mean"))
-    allq = exact_quantiles(events, by, "treefrac_loss",
-                           {"loss_p95": 0.95, "loss_p99": 0.99})
-    det = events.where("detected")
-    detq = exact_quantiles(det, by, "treefrac_loss",
-                           {"det_loss_p25": .25, "det_loss_p50": .5,
-                            "det_loss_p75": .75})
-    agb = exact_quantiles(det, by, "agb_loss", {"det_agb_p50": .5})
+    on = F.coalesce(F.col("detected"), F.lit(False))
+    lossq = exact_quantiles(events, by, "treefrac_loss", {
+        "loss_p95": .95, "loss_p99": .99, "det_loss_p25": (.25, on),
+        "det_loss_p50": (.5, on), "det_loss_p75": (.75, on)})
+    agb = exact_quantiles(events.where("detected"), by, "agb_loss", {"det_agb_p50": .5})
     out = base
-    for q in (allq, detq, agb):
+    for q in (lossq, agb):
         out = null_safe_join(out, q, by, "left")
     return out.select(
         *by, "n_events", "n_detected",

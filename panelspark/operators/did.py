@@ -109,12 +109,13 @@ def overall_row(agg: DataFrame, by: Sequence[str], kind: str) -> DataFrame:
 def _coefficients(weighted: DataFrame, by: Sequence[str]) -> DataFrame:
     """Coefficient of each cell mean in each target (four per effect)."""
     w = F.col("w")
-    zero = F.lit(0).cast("int")
-    terms = F.array(
-        F.struct(F.col(G).cast("int").alias("g"), F.col(T).cast("int").alias("t"), w.alias("c")),
-        F.struct(F.col(G).cast("int"), F.col("base_year").cast("int"), -w),
-        F.struct(zero, F.col(T).cast("int"), -w),
-        F.struct(zero, F.col("base_year").cast("int"), w))
+    def term(g: Column, t: str, c: Column) -> Column:
+        return F.struct(g.cast("int").alias("g"), F.col(t).cast("int").alias("t"),
+                        c.alias("c"))
+
+    g, zero = F.col(G), F.lit(0)
+    terms = F.array(term(g, T, w), term(g, "base_year", -w), term(zero, T, -w),
+                    term(zero, "base_year", w))
     x = weighted.select(*by, "time", F.explode(terms).alias("k"))
     return x.groupBy(*by, "time", F.col("k.g").alias(G), F.col("k.t").alias(T)).agg(
         F.sum("k.c").alias("coef"))

@@ -352,14 +352,15 @@ def add_coords(df: DataFrame, white: DataFrame, by: Sequence[str],
 def rank_columns(df: DataFrame, by: Sequence[str],
                  covariates: Sequence[str]) -> DataFrame:
     """Average ranks within the level in place of the covariates."""
-    out = df
+    base = df.withColumns({f"__val_{c}": F.col(c).cast("double") + F.lit(0.0)
+                           for c in covariates})
+    out = base
     for c in covariates:
-        d = out.withColumn("__val", F.col(c).cast("double") + F.lit(0.0))
-        r = average_ranks(d, by, "__val").select(
-            *by, "__val", F.col("rank").alias("__rank"))
-        out = (null_safe_join(d, r, [*by, "__val"]).drop(c, "__val")
-               .withColumnRenamed("__rank", c))
-    return out
+        r = average_ranks(base, by, f"__val_{c}").select(
+            *by, f"__val_{c}", F.col("rank").alias(f"__rank_{c}"))
+        out = null_safe_join(out, r, [*by, f"__val_{c}"])
+    return out.select(*[F.col(f"__rank_{c}").alias(c) if c in covariates else F.col(c)
+                        for c in df.columns])
 
 
 # -- matching -------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from panelspark.operators import matching as M
 from panelspark.operators.balance import balance_table
 from panelspark.operators.cleaning import complete_cases
 from panelspark.operators.core import null_safe_join, small_side
+from panelspark.session import cut_lineage
 
 
 def with_score(df: DataFrame, level: str, covariates: Sequence[str],
@@ -39,13 +40,15 @@ def match_config(df: DataFrame, level: str, cell: Sequence[str],
     if distance == "rank":
         pairs = M.rank_match(d, keys).withColumn("distance", F.lit(0.0))
         return M.matched_rows(d, pairs, keys, level).withColumn("config", F.lit(config))
+    # read many times from here on: written once to the shared folder
+    d = base = cut_lineage(d)
     if score:
         d = with_score(d, level, covariates, score)
     opts: dict = {"priority": "score" if score else None}
     if distance == "score":
         d = d.withColumn("coords", F.array("score"))
     elif distance == "robust":
-        r = M.rank_columns(d, [level], covariates)
+        r = cut_lineage(M.rank_columns(d, [level], covariates))
         d = M.add_coords(r, M.whitening(r, [level], covariates, True), [level], covariates)
     else:
         d = M.add_coords(d, M.whitening(d, [level], covariates), [level], covariates)
@@ -57,9 +60,7 @@ def match_config(df: DataFrame, level: str, cell: Sequence[str],
             opts.update(score="score", caliper="caliper_score")
         else:
             opts.update(limits={c: f"caliper_{c}" for c in cols})
-    d = d.persist()
-    pairs = M.nearest_match(d, keys, **opts, **sizes)
-    base = complete_cases(df, [*cell, *covariates])
+    pairs = M.nearest_match(cut_lineage(d), keys, **opts, **sizes)
     return M.matched_rows(base, pairs, keys, level).withColumn("config", F.lit(config))
 
 
