@@ -1 +1,192 @@
+"""Group-time effects, aggregates and errors."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelspark.operators import did
+from panelspark.operators.units import balanced_panel
+from panelspark.plans.estimate import estimation_rows
+from panelspark.queries.base import query, unit_panel, with_
+
+ROWS = with_("panel", r="""SELECT lulc, unit_id, pair_id, gvar, year, ln(1 + value) AS y
+    FROM panel""", cm="""SELECT lulc, gvar, year, count(*) AS n, avg(y) AS m FROM r
+    GROUP BY ALL""", u="""SELECT unit_id FROM panel GROUP BY unit_id HAVING count(*) = 7""",
+    br="SELECT * FROM r WHERE unit_id IN (SELECT unit_id FROM u)",
+    bm="SELECT gvar, year, count(*) AS n, avg(y) AS m FROM br GROUP BY ALL",
+    gt="""SELECT a.gvar, a.year, a.year - a.gvar AS e, b.year AS base_year, a.n AS n_gt,
+      (a.m - b.m) - (c.m - d.m) AS att FROM bm a JOIN bm b ON a.gvar = b.gvar AND b.year =
+      CASE WHEN a.year < a.gvar THEN a.year - 1 ELSE a.gvar - 1 END
+      JOIN bm c ON c.gvar = 0 AND c.year = a.year JOIN bm d ON d.gvar = 0 AND d.year = b.year
+      WHERE a.gvar > 0""",
+    fx="""SELECT a.lulc, a.gvar, a.year, a.year - a.gvar AS e, b.year AS base_year, a.n AS n_gt,
+      (a.m - b.m) - (c.m - d.m) AS att FROM cm a JOIN cm b ON a.lulc = b.lulc AND a.gvar = b.gvar
+      AND b.year = a.gvar - 1 AND a.year <> b.year
+      JOIN cm c ON c.lulc = a.lulc AND c.gvar = 0 AND c.year = a.year
+      JOIN cm d ON d.lulc = a.lulc AND d.gvar = 0 AND d.year = b.year WHERE a.gvar > 0""")
+
+
+def rows(spark, sf):
+    return estimation_rows(unit_panel(spark, sf), ["lulc"], F.lit("log1p"))
+
+
+def balanced(spark, sf):
+    return balanced_panel(rows(spark, sf))
+
+
+def _r(d, *cols):
+    return d.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@query("cohort_means", ROWS + "SELECT lulc, gvar, year, n, round(m, 6) AS ybar FROM cm")
+def cohort_means(spark, sf):
+    return _r(did.cell_means(rows(spark, sf), ["lulc"]), "ybar")
+
+
+@query("att_gt", ROWS + """SELECT gvar, year, CAST(e AS INTEGER) AS e, base_year, n_gt,
+    round(att, 6) AS att FROM gt""")
+def att_gt(spark, sf):
+    g = did.group_time(did.cell_means(balanced(spark, sf), []), [])
+    return _r(g.drop("n_gb"), "att")
+
+
+def _agg(spark, sf, est, kind, by):
+    d = balanced(spark, sf) if est == "attgt" else rows(spark, sf)
+    a = did.group_time(did.cell_means(d, by), by, "varying" if est == "attgt" else "fixed")
+    w = did.target_weights(a, by, kind)
+    return _r(did.aggregate(w, by), "estimate")
+
+
+AGG = ("round(sum(att * n_gt) / sum(n_gt), 6) AS estimate, count(*) AS n_effects, "
+       "count(DISTINCT gvar) AS n_cohorts")
+
+
+@query("att_dynamic", ROWS + f"SELECT CAST(e AS INTEGER) AS time, {AGG} FROM gt GROUP BY e")
+def att_dynamic(spark, sf):
+    return _agg(spark, sf, "attgt", "event", [])
+
+
+@query("att_calendar", ROWS + f"SELECT year AS time, {AGG} FROM gt WHERE e >= 0 GROUP BY year")
+def att_calendar(spark, sf):
+    return _agg(spark, sf, "attgt", "calendar", [])
+
+
+@query("att_simple", ROWS + f"SELECT 0 AS time, {AGG} FROM gt WHERE e >= 0")
+def att_simple(spark, sf):
+    return _agg(spark, sf, "attgt", "simple", [])
+
+
+@query("etwfe_event", ROWS + f"SELECT lulc, CAST(e AS INTEGER) AS time, {AGG} FROM fx "
+       "GROUP BY lulc, e")
+def etwfe_event(spark, sf):
+    return _agg(spark, sf, "etwfe", "event", ["lulc"])
+
+
+@query("etwfe_calendar", ROWS + f"SELECT lulc, year AS time, {AGG} FROM fx WHERE e >= 0 "
+       "GROUP BY lulc, year")
+def etwfe_calendar(spark, sf):
+    return _agg(spark, sf, "etwfe", "calendar", ["lulc"])
+
+
+@query("att_overall", ROWS + """, t AS (SELECT e, sum(att * n_gt) / sum(n_gt) AS est FROM gt
+    WHERE e >= 0 GROUP BY e) SELECT round(avg(est), 6) AS estimate, count(*) AS n_targets
+    FROM t""")
+def att_overall(spark, sf):
+    a = did.group_time(did.cell_means(balanced(spark, sf), []), [])
+    w = did.aggregate(did.target_weights(a, [], "event"), [])
+    return _r(did.overall_row(w, [], "event"), "estimate")
+
+
+@query("always_treated_level", ROWS + """SELECT a.lulc, a.gvar, a.year, 'level' AS kind,
+    round(a.m - c.m, 6) AS level_difference FROM cm a JOIN cm c ON a.lulc = c.lulc
+    AND a.year = c.year AND c.gvar = 0 WHERE a.gvar = 1995""")
+def always_treated_level(spark, sf):
+    return _r(did.always_treated_levels(did.cell_means(rows(spark, sf), ["lulc"]), ["lulc"],
+                                        1995), "level_difference")
+
+
+SCORE = """, w AS (SELECT *, n_gt / sum(n_gt) OVER (PARTITION BY lulc, e) AS w FROM fx),
+    k AS (SELECT lulc, e, gvar, year, w AS c FROM w UNION ALL SELECT lulc, e, gvar, base_year, -w
+      FROM w UNION ALL SELECT lulc, e, 0, year, -w FROM w UNION ALL
+      SELECT lulc, e, 0, base_year, w FROM w),
+    kc AS (SELECT lulc, e, gvar, year, sum(c) AS c FROM k GROUP BY ALL),
+    sc AS (SELECT r.lulc, e, pair_id, sum(c / n * (y - m)) AS s FROM r JOIN cm
+      USING (lulc, gvar, year) JOIN kc USING (lulc, gvar, year) GROUP BY ALL) """
+
+
+@query("etwfe_cluster_se", ROWS + SCORE + """SELECT lulc, CAST(e AS INTEGER) AS time,
+    round(sqrt(sum(s * s)), 6) AS std_error, count(*) AS n_clusters FROM sc GROUP BY lulc, e""")
+def etwfe_cluster_se(spark, sf):
+    d = rows(spark, sf)
+    m = did.cell_means(d, ["lulc"])
+    w = did.target_weights(did.group_time(m, ["lulc"], "fixed"), ["lulc"], "event")
+    return _r(did.clustered_se(did.pair_scores(d, m, w, ["lulc"]), ["lulc"]), "std_error")
+
+
+@query("att_cluster_se", ROWS + """, w AS (SELECT *, n_gt / sum(n_gt) OVER (PARTITION BY e) AS w,
+    sum(n_gt * att) OVER (PARTITION BY e) / sum(n_gt) OVER (PARTITION BY e) AS th,
+    sum(n_gt) OVER (PARTITION BY e) AS nk FROM gt),
+    k AS (SELECT e, gvar, year, w AS c FROM w UNION ALL SELECT e, gvar, base_year, -w FROM w
+      UNION ALL SELECT e, 0, year, -w FROM w UNION ALL SELECT e, 0, base_year, w FROM w),
+    kc AS (SELECT e, gvar, year, sum(c) AS c FROM k GROUP BY ALL),
+    z AS (SELECT e, pair_id, c / n * (y - m) AS s FROM br JOIN bm USING (gvar, year)
+      JOIN kc USING (gvar, year) UNION ALL SELECT e, pair_id, (att - th) / nk FROM w
+      JOIN (SELECT DISTINCT unit_id, pair_id, gvar FROM br) USING (gvar)),
+    sc AS (SELECT e, pair_id, sum(s) AS s FROM z GROUP BY ALL) SELECT CAST(e AS INTEGER) AS time,
+    round(sqrt(sum(s * s)), 6) AS std_error, count(*) AS n_clusters FROM sc GROUP BY e""")
+def att_cluster_se(spark, sf):
+    d = balanced(spark, sf)
+    m = did.cell_means(d, [])
+    w = did.target_weights(did.group_time(m, []), [], "event")
+    return _r(did.clustered_se(did.pair_scores(d, m, w, [], random_weights=True), []),
+              "std_error")
+
+
+@query("estimate_rows", ROWS + SCORE + """, es AS (SELECT lulc, e, sum(att * n_gt) / sum(n_gt)
+    AS est FROM fx GROUP BY ALL), se AS (SELECT lulc, e, sqrt(sum(s * s)) AS se FROM sc
+    GROUP BY ALL) SELECT lulc, CAST(e AS INTEGER) AS time, round(est, 6) AS estimate,
+    round(est - 1.959963984540054 * se, 6) AS conf_low,
+    round(est + 1.959963984540054 * se, 6) AS conf_high, round(est / se, 5) AS statistic
+    FROM es JOIN se USING (lulc, e)""")
+def estimate_rows(spark, sf):
+    d = did.estimate(rows(spark, sf), ["lulc"], "etwfe", "event")
+    return _r(d, "estimate", "conf_low", "conf_high").select(
+        "lulc", "time", "estimate", "conf_low", "conf_high", F.round("statistic", 5)
+        .alias("statistic"))
+
+
+@query("estimate_p_values")
+def estimate_p_values(spark, sf):
+    d = did.estimate(balanced(spark, sf), [], "attgt", "event")
+    return _r(d.select("time", "estimate", "std_error", "p_value"), "estimate", "std_error",
+              "p_value")
+
+
+@query("pretrend_summary", ROWS + SCORE + """, es AS (SELECT lulc, e, sum(att * n_gt) / sum(n_gt)
+    AS est FROM fx GROUP BY ALL), se AS (SELECT lulc, e, sqrt(sum(s * s)) AS se FROM sc
+    GROUP BY ALL) SELECT lulc, count(*) AS n_pre, count(*) FILTER (abs(est) >
+    1.959963984540054 * se) AS n_pre_sig, round(max(abs(est)), 6) AS max_abs_pre FROM es
+    JOIN se USING (lulc, e) WHERE e < 0 GROUP BY lulc""")
+def pretrend_summary(spark, sf):
+    d = did.estimate(rows(spark, sf), ["lulc"], "etwfe", "event")
+    return _r(did.pretrend_summary(d, ["lulc"]), "max_abs_pre")
+
+
+@query("bootstrap_bands")
+def bootstrap_bands(spark, sf):
+    """Simultaneous bands from signed pair scores."""
+    d = balanced(spark, sf)
+    m = did.cell_means(d, [])
+    w = did.target_weights(did.group_time(m, []), [], "event")
+    s = did.pair_scores(d, m, w, [], random_weights=True)
+    return _r(did.simultaneous_bands(did.bootstrap_draws(s, [], 999, 160617), []),
+              "std_error", "crit_val")
+
+
+@query("cell_status", ROWS + """, c AS (SELECT lulc, count(*) AS n_rows, count(DISTINCT CASE
+    WHEN gvar > 0 THEN unit_id END) AS n_treated, count(DISTINCT CASE WHEN gvar = 0 THEN unit_id
+    END) AS n_never FROM r GROUP BY lulc) SELECT *, CASE WHEN n_treated < 142 THEN 'skipped'
+    ELSE 'ok' END AS status, CASE WHEN n_treated < 142 THEN 'treated units ' || n_treated
+    || ' below floor 142' END AS reason FROM c""")
+def cell_status(spark, sf):
+    return did.cell_status(rows(spark, sf), ["lulc"], 142)
