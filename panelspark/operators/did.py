@@ -24,9 +24,13 @@ G, T, Y = "gvar", "year", "y"
 
 
 def cell_means(panel: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows and mean outcome per (cell, cohort, year); cohort 0 is the control."""
-    return panel.groupBy(*by, G, T).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(Y).alias("ybar"))
+    """Rows and mean outcome per (cell, cohort, year); cohort 0 is the control.
+
+    The table is written once here: effects read it four times, and without
+    the copy each read would be another pass over the panel.
+    """
+    return small_side(panel.groupBy(*by, G, T).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(Y).alias("ybar")))
 
 
 def group_time(means: DataFrame, by: Sequence[str], base: str = "varying") -> DataFrame:

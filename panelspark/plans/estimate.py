@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.numeric import outcome_transform
 from panelspark.operators import did
 from panelspark.operators.units import balanced_panel, shift_base, viable_cohorts
+from panelspark.session import cut_lineage
 
 
 def analysis_cells(panel: DataFrame, stratum: str, zone: str) -> DataFrame:
@@ -19,9 +20,12 @@ def analysis_cells(panel: DataFrame, stratum: str, zone: str) -> DataFrame:
     cells are then estimated together.
     """
     s, z = F.col(stratum), F.col(zone)
-    cells = F.array(
-        F.struct(F.lit("").alias("s"), F.lit("").alias("z")),
-        F.struct(s, F.lit("")), F.struct(F.lit(""), z), F.struct(s, z))
+    blank = F.lit("")
+
+    def cell(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("s"), b.alias("z"))
+
+    cells = F.array(cell(blank, blank), cell(s, blank), cell(blank, z), cell(s, z))
     keep = F.array_distinct(F.filter(cells, lambda c: c["s"].isNotNull()
                                      & c["z"].isNotNull()))
     return panel.withColumn("__c", F.explode(keep)).withColumn(
@@ -42,8 +46,9 @@ def estimate_all(panel: DataFrame, by: Sequence[str], transform: str,
                  base_shift: int = 0) -> DataFrame:
     """Both estimators: event and calendar targets of every cell."""
     tf = F.lit(transform)
-    un = estimation_rows(panel, by, tf, base_shift)
-    bal = estimation_rows(panel, by, tf, base_shift, balanced=True)
+    # each table is read by three aggregations twice over: written once
+    un = cut_lineage(estimation_rows(panel, by, tf, base_shift))
+    bal = cut_lineage(estimation_rows(panel, by, tf, base_shift, balanced=True))
     out = None
     for est, rows in (("etwfe", un), ("attgt", bal)):
         for kind in ("event", "calendar", "simple"):

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import lookup
+from panelspark.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -97,7 +98,9 @@ def matched_units(spark, sf):
 def unit_panel(spark, sf):
     from panelspark.operators.units import build_panel
 
-    return build_panel(matched_units(spark, sf), yearly_value(spark, sf), 1995, 2001)
+    # the panel is a stage boundary: written once, then read by its users
+    return cut_lineage(build_panel(matched_units(spark, sf), yearly_value(spark, sf),
+                                   1995, 2001))
 
 
 def layer_values(spark, sf):
@@ -344,6 +347,6 @@ def with_(*names: str, **extra: str) -> str:
 
     for n in names:
         visit(n)
-    parts = [f"{n} AS ({CTE[n]})" for n in order]
-    parts += [f"{n} AS ({s})" for n, s in extra.items()]
+    parts = [f"{n} AS MATERIALIZED ({CTE[n]})" for n in order]
+    parts += [f"{n} AS MATERIALIZED ({s})" for n, s in extra.items()]
     return "WITH " + ", ".join(parts) + " "

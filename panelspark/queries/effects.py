@@ -8,6 +8,7 @@ from panelspark.operators import did
 from panelspark.operators.units import balanced_panel
 from panelspark.plans.estimate import estimation_rows
 from panelspark.queries.base import query, unit_panel, with_
+from panelspark.session import cut_lineage
 
 ROWS = with_("panel", r="""SELECT lulc, unit_id, pair_id, gvar, year, ln(1 + value) AS y
     FROM panel""", cm="""SELECT lulc, gvar, year, count(*) AS n, avg(y) AS m FROM r
@@ -31,7 +32,7 @@ def rows(spark, sf):
 
 
 def balanced(spark, sf):
-    return balanced_panel(rows(spark, sf))
+    return cut_lineage(balanced_panel(rows(spark, sf)))
 
 
 def _r(d, *cols):
