@@ -549,11 +549,11 @@ def _nearest_available(free: DataFrame, controls: DataFrame, edges: DataFrame,
     names = todo.columns
     done, inner, reach = None, -1, 1
     while True:
-        offs = [o for o in range(-reach, reach + 1) if abs(o) > inner]
-        off = (F.array(*[F.lit(o) for o in offs]) if len(offs) <= 64 else
-               F.concat(F.sequence(F.lit(-reach), F.lit(-inner - 1)),
-                        F.sequence(F.lit(inner + 1), F.lit(reach))))
-        q = todo.withColumn("b", F.col("tb") + F.explode(off)).where(
+        off = (F.sequence(F.lit(-reach), F.lit(reach)) if inner < 0 else F.concat(
+            F.sequence(F.lit(-reach), F.lit(-inner - 1)),
+            F.sequence(F.lit(inner + 1), F.lit(reach))))
+        q = todo.withColumn("__o", F.explode(off)).withColumn(
+            "b", F.col("tb") + F.col("__o")).drop("__o").where(
             (F.col("b") >= 0) & (F.col("b") <= F.col("blast")))
         j = q.join(c, [*cell, "b"])
         ok = F.col("ht").isNull() | (F.col("hp") > F.col("prio")) | (

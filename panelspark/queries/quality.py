@@ -1 +1,204 @@
+"""Data-quality jobs."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelspark.operators import quality as Q
+from panelspark.queries.base import (event_frame, layer_values, matched_units, n_if, query,
+                                     table, units, with_)
+
+
+@query("value_profile", with_("layer_values", v="SELECT layer, year, CASE WHEN value > 48 THEN "
+    "NULL ELSE value - 20 END AS value FROM layer_values") + f"""SELECT layer, year, count(*) AS n,
+    round(100.0 * {n_if("value IS NULL")} / count(*), 3) AS pct_null,
+    round(100.0 * {n_if("value = 0")} / count(*), 3) AS pct_zero,
+    round(100.0 * {n_if("value < 0")} / count(*), 3) AS pct_negative,
+    round(quantile_cont(value, 0.01), 6) AS q01, round(quantile_cont(value, 0.5), 6) AS median,
+    round(quantile_cont(value, 0.99), 6) AS q99 FROM v GROUP BY ALL""")
+def value_profile(spark, sf):
+    v = layer_values(spark, sf).withColumn("value", F.when(
+        F.col("value") <= 48, F.col("value") - 20))
+    return Q.value_profile(v, ["layer", "year"]).withColumns({
+        c: F.round(c, 6) for c in ("q01", "median", "q99")})
+
+
+@query("id_integrity", f"""WITH s AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE
+    l_returnflag = 'R' GROUP BY ALL), g AS (SELECT p_partkey AS k FROM part WHERE p_size > 3)
+    SELECT {n_if("s.k IS NOT NULL")} AS n_ids, {n_if("n > 1")} AS n_duplicated,
+    {n_if("g.k IS NULL")} AS n_outside, {n_if("s.k IS NULL")} AS n_absent
+    FROM s FULL JOIN g ON s.k = g.k""")
+def id_integrity(spark, sf):
+    s = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(
+        F.col("l_partkey").alias("pixel_id"))
+    g = table(spark, sf, "part").where("p_size > 3").select(F.col("p_partkey").alias("pixel_id"))
+    return Q.id_integrity(s, g)
+
+
+@query("layer_agreement", with_("layer_values", j="""SELECT a.value AS x, b.value AS y FROM
+    layer_values a JOIN layer_values b ON a.pixel_id = b.pixel_id AND a.year = b.year
+    AND a.layer = 'LA' AND b.layer = 'LR'""", r="""SELECT *, rank() OVER (ORDER BY x) + (count(*)
+    OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER
+    (PARTITION BY y) - 1) / 2.0 AS ry FROM j""") + """SELECT count(*) AS n, round(corr(x, y), 6)
+    AS pearson, round(corr(rx, ry), 6) AS spearman, round(median(x), 6) AS median_a,
+    round(median(y), 6) AS median_b, round(median(x) / median(y), 6) AS median_ratio FROM r""")
+def layer_agreement(spark, sf):
+    v = layer_values(spark, sf)
+    d = Q.layer_agreement(v.where("layer = 'LA'"), v.where("layer = 'LR'"), ["pixel_id", "year"])
+    return d.withColumns({c: F.round(c, 6) for c in d.columns if c != "n"})
+
+
+@query("static_zero_mask", with_("layer_values", v="""SELECT pixel_id, year, CASE WHEN pixel_id
+    % 10 = 0 OR value = 50 THEN 0 ELSE value END AS value FROM layer_values WHERE layer = 'LR'""",
+    c=f"SELECT pixel_id, {n_if('value = 0')} AS z FROM v GROUP BY pixel_id",
+    y="SELECT count(DISTINCT year) AS k FROM v") + f"""SELECT {n_if("z > 0")} AS n_ever_zero,
+    {n_if("z = k")} AS n_always_zero, {n_if("z > 0")} = {n_if("z = k")} AS static FROM c, y""")
+def static_zero_mask(spark, sf):
+    v = layer_values(spark, sf).where("layer = 'LR'").withColumn("value", F.when(
+        (F.col("pixel_id") % 10 == 0) | (F.col("value") == 50), 0.0).otherwise(F.col("value")))
+    return Q.static_zero_mask(v)
+
+
+@query("out_of_bounds", with_("layer_values") + f"""SELECT layer, count(value) AS n,
+    {n_if("value < CASE layer WHEN 'LA' THEN 2 WHEN 'LR' THEN 10 END")} AS n_below,
+    {n_if("value > CASE layer WHEN 'LA' THEN 49 WHEN 'LR' THEN 45 END")} AS n_above,
+    min(value) AS value_min, max(value) AS value_max FROM layer_values GROUP BY layer""")
+def out_of_bounds(spark, sf):
+    return Q.out_of_bounds(layer_values(spark, sf), {"LA": (2, 49), "LR": (10, 45)})
+
+
+@query("zone_codes", f"""WITH z AS (SELECT CASE WHEN c_nationkey = 3 THEN NULL WHEN c_nationkey < 7
+    THEN CAST(c_nationkey AS VARCHAR) ELSE lpad(CAST(c_nationkey AS VARCHAR), 2, '0') END AS z,
+    count(*) AS n FROM customer GROUP BY ALL) SELECT count(*) AS n_codes, {n_if("z IS NULL")}
+    AS n_null, {n_if("length(z) <> 2")} AS n_bad_width, 0::BIGINT AS n_spaces,
+    0::BIGINT AS n_not_digits, {n_if("n < 60")} AS n_small FROM z""")
+def zone_codes(spark, sf):
+    k = F.col("c_nationkey")
+    c = table(spark, sf, "customer").withColumn("zone", F.when(k == 3, None).when(
+        k < 7, k.cast("string")).otherwise(F.lpad(k.cast("string"), 2, "0")))
+    return Q.zone_codes(c, "zone", 2, 60)
+
+
+@query("record_profile", with_("frame", p="""SELECT source_layer, pixel_id, count(*) AS k,
+    count(DISTINCT event_year) AS ky FROM frame GROUP BY ALL""", a=f"""SELECT source_layer,
+    CAST(sum(k) AS BIGINT) AS n_rows, count(*) AS n_pixels, round(sum(k) / count(*), 4)
+    AS rows_per_pixel, max(k) AS max_rows, {n_if("ky > 1")} AS n_multi_year FROM p GROUP BY ALL""",
+    b=f"""SELECT source_layer, CAST(min(event_year) AS INTEGER) AS year_first,
+    CAST(max(event_year) AS INTEGER) AS year_last, {n_if("event_year IS NULL")} AS n_undated
+    FROM frame GROUP BY ALL""") + "SELECT * FROM a JOIN b USING (source_layer)")
+def record_profile(spark, sf):
+    return Q.record_profile(event_frame(spark, sf))
+
+
+@query("units_ratio", with_("layer_values", v="""SELECT layer, CASE WHEN layer = 'LN' THEN value
+    * 3 ELSE value END AS value FROM layer_values""", m="""SELECT layer, median(value) AS md
+    FROM v WHERE value > 0 GROUP BY layer""") + """SELECT layer, round(md, 6) AS median,
+    round(md / (SELECT md FROM m WHERE layer = 'LA'), 6) AS ratio, md / (SELECT md FROM m WHERE
+    layer = 'LA') BETWEEN 1 / 2.5 AND 2.5 AS ok FROM m""")
+def units_ratio(spark, sf):
+    v = layer_values(spark, sf).withColumn("value", F.when(
+        F.col("layer") == "LN", F.col("value") * 3).otherwise(F.col("value")))
+    return Q.units_ratio(v, "LA").withColumns({c: F.round(c, 6) for c in ("median", "ratio")})
+
+
+@query("sentinel_scan", with_("layer_values") + f"""SELECT layer, t.l::DOUBLE AS type_limit,
+    count(value) AS n, {n_if("abs(value - t.l) <= abs(t.l) * 1e-6 + 1e-9")} AS n_hit
+    FROM layer_values, (VALUES (50), (1), (-32768)) t(l) GROUP BY layer, t.l""")
+def sentinel_scan(spark, sf):
+    return Q.sentinel_scan(layer_values(spark, sf), ["layer"], [50.0, 1.0, -32768.0])
+
+
+@query("late_degradation", f"""WITH a AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year,
+    count(*) AS n, {n_if("l_quantity = 50")} AS n_failed, {n_if("l_returnflag = 'R'")}
+    AS n_exposed, {n_if("l_quantity = 50 AND l_returnflag = 'R'")} AS n_failed_exposed
+    FROM lineitem GROUP BY ALL) SELECT *, round(100 * n_failed / n, 3) AS pct_failed,
+    round((n_failed_exposed / n_exposed) / (n_failed / n), 3) AS enrichment FROM a""")
+def late_degradation(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("year", F.year("l_shipdate"))
+    return Q.late_degradation(li, F.col("l_quantity") == 50, F.col("l_returnflag") == "R")
+
+
+@query("column_profile", """SELECT column_name, count(*) AS n, count(*) - count(v) AS n_missing,
+    round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, min(v) AS v_min, max(v) AS v_max
+    FROM (SELECT 'p_size' AS column_name, CAST(nullif(p_size, 7) AS DOUBLE) AS v FROM part
+    UNION ALL SELECT 'p_retailprice', p_retailprice FROM part) GROUP BY column_name""")
+def column_profile(spark, sf):
+    p = table(spark, sf, "part").withColumn("p_size", F.nullif("p_size", F.lit(7)))
+    return Q.column_profile(p, ["p_size", "p_retailprice"]).withColumns({
+        c: F.round(c, 6) for c in ("mean", "sd")})
+
+
+@query("group_invariants", """SELECT check_name, 0::BIGINT AS n_bad, true AS ok FROM (SELECT unnest([
+    'id_present', 'status_known', 'group_implies_role', 'treated_has_cohort',
+    'treated_has_one_event', 'treated_detected', 'control_without_event', 'offset_has_start',
+    'suffix_matches_status', 'chain_in_code', 'counts_add_up', 'years_in_order']) AS check_name)
+    WHERE (SELECT count(*) FROM customer) > 0""")
+def group_invariants(spark, sf):
+    from panelspark.queries.history import groups
+
+    return Q.assertions(groups(spark, sf), Q.group_table_checks())
+
+
+@query("unit_invariants", with_("matched_units", c=f"""SELECT {n_if("treat = 1 AND gvar < 1996")}
+    AS b FROM matched_units""") + """SELECT check_name, CASE WHEN check_name =
+    'treated_gvar_in_range' THEN b ELSE 0 END AS n_bad, NOT (check_name = 'treated_gvar_in_range'
+    AND b > 0) AS ok FROM c, (SELECT unnest(['treat_binary', 'control_gvar_zero',
+    'treated_gvar_positive', 'treated_gvar_in_range', 'pair_present']) AS check_name)""")
+def unit_invariants(spark, sf):
+    return Q.assertions(matched_units(spark, sf), Q.unit_checks(1996, 2001))
+
+
+@query("source_reconcile", with_("k_hist", "units") + f"""SELECT {n_if("true")} AS n_a,
+    {n_if("true")} AS n_b, {n_if("true")} AS n_both, 0::BIGINT AS only_a, 0::BIGINT AS only_b,
+    true AS equal FROM k_hist""")
+def source_reconcile(spark, sf):
+    from panelspark.plans.classify import event_entries
+    from panelspark.queries.history import groups
+
+    return Q.source_reconcile(groups(spark, sf), event_entries(event_frame(spark, sf)))
+
+
+@query("pool_composition", with_("k_group", n="""SELECT grp AS analysis_group, zone, count(*) AS n
+    FROM k_group JOIN units USING (pixel_id) WHERE grp IN ('UP', 'UNP') GROUP BY ALL""", s="""SELECT
+    *, round(100.0 * n / sum(n) OVER (PARTITION BY analysis_group), 2) AS pct FROM n""")
+    + "SELECT *, max(pct) OVER (PARTITION BY analysis_group) AS top_pct FROM s")
+def pool_composition(spark, sf):
+    from panelspark.queries.history import groups
+
+    return Q.pool_composition(groups(spark, sf), units(spark, sf).select("pixel_id", "zone"),
+                              ["UP", "UNP"])
+
+
+@query("field_profile", """SELECT field, count(*) AS n, count(*) - count(v) AS n_missing,
+    0::BIGINT AS n_blank, count(DISTINCT v) AS n_distinct FROM (SELECT 'p_brand' AS field,
+    nullif(p_brand, 'Brand#7') AS v FROM part UNION ALL SELECT 'p_type', p_type FROM part)
+    GROUP BY field""")
+def field_profile(spark, sf):
+    p = table(spark, sf, "part").withColumn("p_brand", F.nullif("p_brand", F.lit("Brand#7")))
+    return Q.field_profile(p, ["p_brand", "p_type"])
+
+
+@query("join_cardinality", """WITH s AS (SELECT o_orderkey, o_custkey FROM orders WHERE
+    left(md5('7:' || o_custkey), 8) < '40000000'), m AS (SELECT l_orderkey, count(*) AS m
+    FROM lineitem GROUP BY ALL), j AS (SELECT coalesce(m, 0) AS m FROM s LEFT JOIN m
+    ON l_orderkey = o_orderkey) SELECT count(*) AS n_sampled, CAST(sum(m) AS BIGINT) AS n_joined,
+    max(m) AS max_fanout, count(*) FILTER (m > 0) AS n_hit, (SELECT count(*) FROM orders)
+    AS n_total, CAST(round(sum(m) * (SELECT count(*) FROM orders) / count(*)) AS BIGINT)
+    AS n_estimated FROM j""")
+def join_cardinality(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return Q.join_cardinality(o, li, ["o_orderkey"], "o_custkey", 0.25, 7)
+
+
+@query("lookup_audit", f"""WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer
+    GROUP BY ALL), b AS (SELECT DISTINCT s_nationkey AS k, 1 AS m FROM supplier WHERE
+    s_nationkey < 20) SELECT {n_if("a.k IS NOT NULL")} AS n_ids,
+    {n_if("a.k IS NOT NULL AND b.k IS NOT NULL")} AS n_matched, {n_if("b.k IS NULL")}
+    AS n_unmatched, {n_if("a.k IS NULL")} AS n_unused, CAST(coalesce(sum(n) FILTER
+    (b.k IS NULL), 0) AS BIGINT) AS n_rows_without_cohort FROM a FULL JOIN b ON a.k = b.k""")
+def lookup_audit(spark, sf):
+    c = table(spark, sf, "customer").select(F.concat(F.lit(" n"), "c_nationkey").alias("k"))
+    s = table(spark, sf, "supplier").where("s_nationkey < 20").select(
+        F.concat(F.lit("N"), "s_nationkey").alias("k"), F.col("s_suppkey").alias("year"))
+    return Q.lookup_audit(c, "k", s, "k", "year")
