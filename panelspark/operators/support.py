@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import back_transform, lookup
 from panelspark.operators.core import (null_safe_join, ordered_cumulative,
-                                       registry)
+                                       registry, small_side)
 
 
 def event_support(units: DataFrame, by: Sequence[str], windows: DataFrame,
@@ -29,7 +29,7 @@ def event_support(units: DataFrame, by: Sequence[str], windows: DataFrame,
     if shared:
         d = coh.join(windows, shared)
     else:
-        d = coh.crossJoin(F.broadcast(windows))  # a registry
+        d = coh.join(small_side(windows, 10_000), F.lit(True))
     d = d.withColumn("event_time", F.explode(F.sequence(F.lit(low), F.lit(high))))
     ok = (F.col(gvar) + F.col("event_time")).between(
         F.col("year_first"), F.col("year_last"))

@@ -262,13 +262,13 @@ def layer_completeness(spark, sf):
     AS lulc FROM (SELECT unnest(['LA', 'LN']) AS l) a, (SELECT unnest(range(1995, 2002)) AS y) b,
     (SELECT DISTINCT c_mktsegment FROM customer) c""")
 def layer_class_grid(spark, sf):
-    from panelspark.operators.core import registry, small_side
+    from panelspark.operators.core import registry
 
     reg = registry(spark, ["layer", "store", "first_year", "last_year", "active"], [
         (n, "s", 1995, 2001, True) for n in ("LA", "LN")]).withColumns({
             "first_year": F.col("first_year").cast("int"),
             "last_year": F.col("last_year").cast("int")})
-    classes = small_side(units(spark, sf).select("lulc").distinct())
+    classes = units(spark, sf).select("lulc")
     return S.expected_keys(S.layer_years(reg).drop("store"), classes)
 
 
