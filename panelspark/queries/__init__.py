@@ -1,7 +1,8 @@
 """Operators run on the given tables, each beside the SQL it must agree with."""
 
 from panelspark.queries import (cleaning, detection, effects, history,  # noqa: F401
-                                joins, matching, panels, quality, results, spatial)
+                                joins, loads, matching, panels, quality, results,
+                                spatial)
 from panelspark.queries.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

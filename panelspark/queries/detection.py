@@ -170,14 +170,14 @@ def spearman(spark, sf):
 
 
 @query("ratio_outliers", ATTACH + f""", d AS ({_two_part("layer, token")}),
-    o AS ({_two_part("token")}) SELECT layer, d.token, round(d.det_loss_p25 /
-    greatest(o.det_loss_p25, 1e-6), 2) AS ratio_to_class FROM d JOIN o USING (token)
-    WHERE round(d.det_loss_p25 / greatest(o.det_loss_p25, 1e-6), 2) NOT BETWEEN 0.98 AND 1.02""")
+    o AS ({_two_part("token")}) SELECT layer, d.token, round(d.detect_rate /
+    greatest(o.detect_rate, 1e-6), 2) AS ratio_to_class FROM d JOIN o USING (token)
+    WHERE round(d.detect_rate / greatest(o.detect_rate, 1e-6), 2) NOT BETWEEN 0.98 AND 1.02""")
 def ratio_outliers(spark, sf):
     ev = attached(spark, sf)
     d = D.two_part_summary(ev, ["layer", "token"])
     o = D.two_part_summary(ev, ["token"])
-    return D.ratio_outliers(d, o, "token", "det_loss_p25", 0.98, 1.02).select(
+    return D.ratio_outliers(d, o, "token", "detect_rate", 0.98, 1.02).select(
         "layer", "token", "ratio_to_class")
 
 
