@@ -86,23 +86,29 @@ def ordered_cumulative(df: DataFrame, keys: Sequence[str], value: str,
          .groupBy(key.alias("__k"), (F.col(value).cast("double") + F.lit(0.0))
                   .alias("__v")).agg(*exprs)
          .select("*", _octave_bucket(v).alias("__b1")))
+    # every branch below reads all columns of ``d``, so its shuffle is shared
+    whole = Window.partitionBy("__k")
     range_ = d.groupBy("__k", "__b1").agg(
         F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
-        F.count(F.lit(1)).alias("__n"))
+        F.count(F.lit(1)).alias("__n"), *[F.sum(n).alias(f"__t_{n}") for n in names]
+    ).select("__k", "__b1", "__lo", "__hi", "__n", *[
+        F.sum(f"__t_{n}").over(whole).alias(f"{n}_all") for n in names])
     lo, hi = F.col("__lo"), F.col("__hi")
     step = F.when((F.col("__n") > CROWDED) & (hi > lo), F.least(
         F.floor((v - lo) / (hi - lo) * SPLIT), F.lit(SPLIT - 1))).otherwise(F.lit(0))
     d = d.join(range_, ["__k", "__b1"]).select(
-        "__k", "__b1", step.cast("long").alias("__b2"), "__v", *names)
+        "__k", "__b1", step.cast("long").alias("__b2"), "__v", *names,
+        *[f"{n}_all" for n in names])
     bucket = ["__k", "__b1", "__b2"]
-    before = Window.partitionBy("__k").orderBy("__b1", "__b2").rowsBetween(
-        Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("__k")
-    offs = d.groupBy(*bucket).agg(*[F.sum(n).alias(f"__t_{n}") for n in names]).select(
-        *bucket,
-        *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}")
-          for n in names],
-        *[F.sum(f"__t_{n}").over(whole).alias(f"{n}_all") for n in names])
+    # backwards, since a frame open at its start is summed in one sweep
+    onward = Window.partitionBy("__k").orderBy(
+        F.col("__b1").desc(), F.col("__b2").desc()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    offs = d.groupBy(*bucket).agg(
+        *[F.sum(n).alias(f"__t_{n}") for n in names],
+        *[F.max(f"{n}_all").alias(f"__a_{n}") for n in names]).select(
+        *bucket, *[(F.col(f"__a_{n}") - F.sum(f"__t_{n}").over(onward))
+                   .alias(f"__o_{n}") for n in names])
     inside = Window.partitionBy(*bucket).orderBy("__v").rowsBetween(
         Window.unboundedPreceding, -1)
     return d.join(offs, bucket).select(

@@ -30,14 +30,14 @@ def ledger_table(df: DataFrame, rule: str, order: Sequence[str]) -> DataFrame:
                      [(i + 1, r) for i, r in enumerate(order)])
     counts = df.groupBy(F.coalesce(F.col(rule), F.lit("(kept)")).alias("rule")).agg(
         F.count(F.lit(1)).alias("removed"))
-    total = counts.agg(F.sum("removed").alias("__all"))
     w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    joined = steps.join(counts, "rule", "left").crossJoin(total)  # one row
     removed = F.coalesce("removed", F.lit(0))
-    return joined.select(
-        F.col("step").cast("int").alias("step"), "rule",
-        removed.alias("removed"),
-        (F.col("__all") - F.sum(removed).over(w)).alias("remaining"))
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    joined = counts.join(steps, "rule", "full").select(
+        "step", "rule", removed.alias("removed"), F.sum(removed).over(every).alias("__all"))
+    return joined.where(F.col("step").isNotNull()).select(
+        F.col("step").cast("int").alias("step"), "rule", "removed",
+        (F.col("__all") - F.sum("removed").over(w)).alias("remaining"))
 
 
 def class_code(chain: Column, undated: Column, status: Column) -> Column:
