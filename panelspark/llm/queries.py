@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.compression_bands import compression_bands
 from panelspark.llm.shared import read
+from panelspark.llm.simhash import hex16, near_duplicates
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -24,3 +25,9 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("doc_id", *(f"bands.{c}" for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "ratio", "bad_chunk_share")))
+
+
+@query
+def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = near_duplicates(read(spark, sf_dir, "documents"))
+    return got.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
