@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.llm.bpe_automaton import bpe_digest
 from panelspark.llm.compression_bands import compression_bands
 from panelspark.llm.shared import read
 from panelspark.llm.simhash import hex16, near_duplicates
 
+
+
+def BPE_FILE() -> str:
+    """The tokenizer file that the box offers; operators take any path."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -31,3 +40,10 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(read(spark, sf_dir, "documents"))
     return got.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    d = docs.withColumn("d", bpe_digest(spark, F.col("text"), BPE_FILE()))
+    return d.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
