@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.llm.bloom_cascade import judge_urls
 from panelspark.llm.bpe_automaton import bpe_digest
 from panelspark.llm.compression_bands import compression_bands
+from panelspark.llm.secret_novelty import secret_digest
 from panelspark.llm.shared import read
 from panelspark.llm.simhash import hex16, near_duplicates
 
@@ -47,3 +49,47 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     d = docs.withColumn("d", bpe_digest(spark, F.col("text"), BPE_FILE()))
     return d.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+
+
+@query
+def op10_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    d = docs.withColumn("d", secret_digest(F.col("text")))
+    return d.select("doc_id", "d.n_assign", "d.n_access", "d.n_hex", "d.base_sha256", "d.spans")
+
+
+# Path rules: fixed by contract.
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
+         ("com/fr/", "allow"), ("com/de/", "block")]
+SPAM_WORDS = ["casino", "bet", "bets", "betting", "poker", "jackpot", "lottery", "pills",
+              "viagra", "loans", "porn", "xxx"]
+
+
+@query
+def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"), RULES, SPAM_WORDS)
+
+
+def _fits(rule: str) -> str:
+    site, _, start = rule.partition("/")
+    return (f"(host = '{site}' OR ends_with(host, '.{site}')) "
+            f"AND starts_with(path, '/{start}')")
+
+
+_BY_LENGTH = sorted(RULES, key=lambda r: -len(r[0]))
+SQL["op7_bloom_cascade"] = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://')
+    THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+listed AS (
+  SELECT DISTINCT host FROM parts
+  WHERE list_has_any(regexp_split_to_array(host, '[.-]'), {SPAM_WORDS}))
+SELECT page_id, host, path,
+  CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for r, _ in _BY_LENGTH)} END AS rule,
+  CASE {" ".join(f"WHEN {_fits(r)} THEN '{v}'" for r, v in _BY_LENGTH)}
+    WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM parts"""
