@@ -11,6 +11,7 @@ from panelspark.llm.compression_bands import compression_bands
 from panelspark.llm.secret_novelty import secret_digest
 from panelspark.llm.shared import read
 from panelspark.llm.simhash import hex16, near_duplicates
+from panelspark.llm.warc_index import archive_and_read
 
 
 
@@ -93,3 +94,18 @@ SELECT page_id, host, path,
   CASE {" ".join(f"WHEN {_fits(r)} THEN '{v}'" for r, v in _BY_LENGTH)}
     WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM parts"""
+
+
+@query
+def op4_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(read(spark, sf_dir, "pages"))
+
+
+SQL["op4_warc_capture_index"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100
+  THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to FROM f"""
