@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.bloom_cascade import judge_urls
 from panelspark.llm.bpe_automaton import bpe_digest
 from panelspark.llm.compression_bands import compression_bands
+from panelspark.llm.decontaminate import contaminated
 from panelspark.llm.secret_novelty import secret_digest
 from panelspark.llm.shared import read
 from panelspark.llm.simhash import hex16, near_duplicates
@@ -109,3 +110,8 @@ f AS (SELECT *, CASE WHEN payload_bytes >= 100
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first < page_id THEN first END AS refers_to FROM f"""
+
+
+@query
+def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
