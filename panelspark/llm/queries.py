@@ -12,6 +12,7 @@ from panelspark.llm.decontaminate import contaminated
 from panelspark.llm.secret_novelty import secret_digest
 from panelspark.llm.shared import read
 from panelspark.llm.simhash import hex16, near_duplicates
+from panelspark.llm.sparse_suffixes import repeated_passages
 from panelspark.llm.warc_index import archive_and_read
 
 
@@ -115,3 +116,8 @@ SELECT page_id, payload_bytes, payload_digest,
 @query
 def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))

@@ -154,8 +154,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = nodes.join(first, nodes["node"] == first["fp"]).select("node", "root", "first")
     low = linked.groupBy("root").agg(F.min("first").alias("low"))
     group = linked.join(low, "root").select(F.col("node").alias("fp"), "low")
-    ids = first.join(group, "fp", "left").select(
-        "fp", F.coalesce("low", "first").alias("component_id"))
+    # written apart: a plain table on both sides lets Spark split a crowded fingerprint
+    ids = write_stage(first.join(group, "fp", "left").select(
+        "fp", F.coalesce("low", "first").alias("component_id")), "components")
     return prints.join(ids, "fp").select(id_col, "fp", "component_id")
 
 
