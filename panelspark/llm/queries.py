@@ -9,8 +9,9 @@ from panelspark.llm.bloom_cascade import judge_urls
 from panelspark.llm.bpe_automaton import bpe_digest
 from panelspark.llm.compression_bands import compression_bands
 from panelspark.llm.decontaminate import contaminated
+from panelspark.llm.quality_fm import score_quality
 from panelspark.llm.secret_novelty import secret_digest
-from panelspark.llm.shared import read
+from panelspark.llm.shared import fold, read
 from panelspark.llm.simhash import hex16, near_duplicates
 from panelspark.llm.sparse_suffixes import repeated_passages
 from panelspark.llm.warc_index import archive_and_read
@@ -121,3 +122,11 @@ def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    got = score_quality(docs, read(spark, sf_dir, "labels"))
+    return got.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
+                      (F.col("score") >= 0.7).cast("int").alias("predicted"))
