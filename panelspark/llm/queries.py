@@ -9,6 +9,7 @@ from panelspark.llm.bloom_cascade import judge_urls
 from panelspark.llm.bpe_automaton import bpe_digest
 from panelspark.llm.compression_bands import compression_bands
 from panelspark.llm.decontaminate import contaminated
+from panelspark.llm.noisy_channel import score_toxicity
 from panelspark.llm.quality_fm import score_quality
 from panelspark.llm.secret_novelty import secret_digest
 from panelspark.llm.shared import fold, read
@@ -130,3 +131,11 @@ def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = score_quality(docs, read(spark, sf_dir, "labels"))
     return got.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
                       (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op2_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    got = score_toxicity(docs, read(spark, sf_dir, "labels"))
+    return got.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
