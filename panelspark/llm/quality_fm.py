@@ -110,6 +110,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, fit: Fi
     rng = np.random.default_rng(fit.seed)
     m = Machine(0.0, np.zeros(SIZE), rng.normal(0, 0.02, (SIZE, fit.factors)))
     if not len(rows):
+        m.v[:] = 0
         return m
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     m.bias = float(np.log(share / (1 - share)))
