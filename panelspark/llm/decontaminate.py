@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash windows of the size of each item.
 
-Every window of an item's length has a fingerprint over its word shingles. Fingerprints
+Every window of an item's size has a fingerprint over its word shingles. Fingerprints
 within RADIUS bits of an item's are found through four blocks of sixteen bits: one of
 them differs in at most RADIUS // 4 bits, and a table of the blocks that close to an
 item's says so in one look. Windows found are compared by their weighted shingles.
@@ -23,7 +23,7 @@ from panelspark.llm.shared import write_stage
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 15  # a similarity of 0.8 turns about eight bits of an item of thirty words
-CHUNK_WORDS = 8192
+CHUNK_WORDS = 4096
 MEMO = 500_000
 ITEM_BYTES = 16 << 20  # item text that one pass sends to the executors
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -81,45 +81,68 @@ def _running(shingles: np.ndarray, kind) -> np.ndarray:
     return out
 
 
-def _prints(run: np.ndarray, m: int, n: int) -> np.ndarray:
-    """Fingerprints of the n windows of m shingles."""
-    votes = run[m:m + n] - run[:n]
-    return np.packbits((votes > m // 2).ravel()).view(np.uint64)
+def _kind(shingles: int):
+    return np.uint8 if shingles < 256 else np.uint16 if shingles < 65536 else np.int64
 
 
-def _near_blocks(values: np.ndarray, radius: int) -> np.ndarray:
-    """Table over sixteen bits: within ``radius`` bits of one of the values."""
-    flips = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(16), r)]
-    table = np.zeros(1 << 16, bool)
-    table[np.bitwise_xor.outer(values.astype(np.uint16), np.array(flips, np.uint16))] = True
-    return table
+def _prints(run: np.ndarray, m: int, n: int, space: dict | None = None) -> np.ndarray:
+    """Fingerprints of the n windows of m shingles; ``space`` keeps arrays for the next call."""
+    space = {} if space is None else space
+    key = run.dtype
+    if key not in space or len(space[key][0]) < n:
+        space[key] = np.empty((n, 64), key), np.empty((n, 64), bool)
+    votes, ones = (x[:n] for x in space[key])
+    np.subtract(run[m:m + n], run[:n], out=votes)
+    np.greater(votes, m // 2, out=ones)
+    return np.packbits(ones.ravel()).view(np.uint64)
+
+
+GROUP = 64  # items of one length whose block tables are one
+
+
+def _block_tables(fps: np.ndarray, radius: int) -> list[np.ndarray]:
+    """Per block of sixteen bits: does an item's block lie within ``radius`` bits?"""
+    flips = np.array([sum(1 << b for b in c) for r in range(radius + 1)
+                      for c in combinations(range(16), r)], np.uint16)
+    tables = []
+    for blocks in fps.view(np.uint16).reshape(-1, 4).T:
+        tables.append(np.zeros(1 << 16, bool))
+        tables[-1][np.bitwise_xor.outer(blocks, flips)] = True
+    return tables
+
+
+def window_words(size: int) -> int:
+    """Words of the windows that look for an item: its length, less an eighth at most.
+
+    Items of nearly one length then share a window, which holds their first words.
+    """
+    return size - size % max(1, size // 8)
 
 
 class Bench:
-    """Items by length with their block tables."""
+    """Items by window size with their block tables."""
 
     def __init__(self, items: list[tuple], shingle: int, similarity: float, radius: int):
         self.shingle, self.similarity, self.radius = shingle, similarity, radius
-        self.hasher = _Hasher()
+        self.hasher, self.space = _Hasher(), {}
         sizes: dict[int, list] = {}
         for item_id, text in items:
             words = split_words(text)
             if words:
-                sizes.setdefault(len(words), []).append((item_id, words))
+                sizes.setdefault(window_words(len(words)), []).append((item_id, words))
         self.sizes = []
-        for size, own in sorted(sizes.items()):
-            k = min(shingle, size)
-            m = size - k + 1
-            fps = np.concatenate([_prints(self.run(w, k, m), m, 1) for _, w in own])
-            blocks = fps.view(np.uint16).reshape(-1, 4)
-            tables = [_near_blocks(blocks[:, b], radius // 4) for b in range(4)]
-            self.sizes.append((size, k, m, [i for i, _ in own], fps, tables,
-                               [weighted_shingles(w, k) for _, w in own]))
-        self.longest = max(sizes, default=0)
-
-    def run(self, words: list[bytes], k: int, most: int) -> np.ndarray:
-        return _running(shingle_hashes(self.hasher.words(words), k),
-                        np.uint8 if most < 256 else np.uint16 if most < 65536 else np.int64)
+        for base, own in sorted(sizes.items()):
+            k = min(shingle, base)
+            m = base - k + 1
+            for start in range(0, len(own), GROUP):
+                part = own[start:start + GROUP]
+                grams = [shingle_hashes(self.hasher.words(w), k) for _, w in part]
+                first, whole = (np.concatenate([
+                    _prints(_running(g, np.int64), n or len(g), 1) for g in grams]) for n in (m, 0))
+                self.sizes.append((
+                    base, k, m, [i for i, _ in part], np.array([len(w) for _, w in part]),
+                    first, whole, _block_tables(first, radius // 4),
+                    [weighted_shingles(w, k) for _, w in part], [set(g.tolist()) for g in grams]))
 
     def scan(self, docs: list[list[bytes]]) -> list[dict]:
         """Per text: item number -> (similarity, start, words) of its best window."""
@@ -136,31 +159,38 @@ class Bench:
         room = ends[owner] - np.arange(len(words))  # words to the end of the text
         h = self.hasher.words(words)
         runs: dict = {}
-        for size, k, m, ids, fps, tables, sets in self.sizes:
-            kind = np.uint8 if m < 256 else np.uint16 if m < 65536 else np.int64
-            if (k, kind) not in runs:
-                runs[k, kind] = _running(shingle_hashes(h, k), kind)
-            run = runs[k, kind]
-            n = len(words) - size + 1
+        for base, k, m, ids, sizes, fps, whole, tables, weights, sets in self.sizes:
+            if k not in runs:
+                runs[k] = shingle_hashes(h, k), {}
+            grams, made = runs[k]
+            run = made.get(_kind(m))
+            if run is None:
+                run = made[_kind(m)] = _running(grams, _kind(m))
+            n = len(words) - base + 1
             if n > 0:
-                fp = _prints(run, m, n)
-                b = fp.view(np.uint16).reshape(-1, 4)
-                near = tables[0][b[:, 0]]
-                for t in range(1, 4):
-                    near |= tables[t][b[:, t]]
-                at = np.flatnonzero(near & (room[:n] >= size))
-                for j, one in enumerate(fps):
-                    for i in at[np.bitwise_count(fp[at] ^ one) <= self.radius].tolist():
-                        self._compare(words[i:i + size], k, ids[j], sets[j],
-                                      found[group[owner[i]]], i - int(ends[owner[i]] - lengths[owner[i]]))
-            # a text a little shorter than the item is one window
-            least = k - 1 + self.similarity * m
-            for g in np.flatnonzero((lengths < size) & (lengths >= max(k, least))).tolist():
+                fp = _prints(run, m, n, self.space)
+                blocks = fp.view(np.uint16).reshape(-1, 4).T.astype(np.intp)
+                near = tables[0].take(blocks[0])
+                for table, b in zip(tables[1:], blocks[1:]):
+                    near |= table.take(b)
+                at = np.flatnonzero(near)
+                hit, items = np.nonzero(np.bitwise_count(fp[at][:, None] ^ fps) <= self.radius)
+                hit = at[hit]
+                fits = room[hit] >= sizes[items]
+                for i, j in zip(hit[fits].tolist(), items[fits].tolist()):
+                    size = int(sizes[j])
+                    own = grams[i:i + size - k + 1].tolist()
+                    if sum(map(sets[j].__contains__, own)) >= self.similarity * len(own):
+                        self._compare(words[i:i + size], k, ids[j], weights[j], found[group[owner[i]]],
+                                      i - int(ends[owner[i]] - lengths[owner[i]]))
+            # a text a little shorter than an item is one window
+            least = k - 1 + self.similarity * (sizes.min() - k + 1)
+            for g in np.flatnonzero((lengths < sizes.max()) & (lengths >= max(k, least))).tolist():
                 a, z = int(ends[g] - lengths[g]), int(ends[g])
-                own = z - a - k + 1
-                fp = np.packbits((run[a + own] - run[a]) > own // 2).view(np.uint64)[0]
-                for j in np.flatnonzero(np.bitwise_count(fps ^ fp) <= self.radius).tolist():
-                    self._compare(words[a:z], k, ids[j], sets[j], found[group[g]], 0)
+                fp = _prints(_running(grams[a:z - k + 1], np.int64), z - a - k + 1, 1)
+                near = (np.bitwise_count(whole ^ fp) <= self.radius) & (sizes > z - a)
+                for j in np.flatnonzero(near).tolist():
+                    self._compare(words[a:z], k, ids[j], weights[j], found[group[g]], 0)
 
     def _compare(self, window, k, item, weights, best, start) -> None:
         s = weighted_similarity(weighted_shingles(window, k), weights)
