@@ -15,7 +15,7 @@ Z975 = 1.959963984540054  # fixed value: 97.5 percent point of the normal
 
 @F.pandas_udf(DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: math.erfc(v) if v == v else np.nan)
+    return pd.Series(np.vectorize(math.erfc, otypes=[float])(x.to_numpy(float)))
 
 
 def two_sided_p(statistic: Column) -> Column:
@@ -38,8 +38,8 @@ def _betacf(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError("the continued fraction of the tail did not converge")
 
 
 def binomial_upper_tail(k: int, n: int, p: float) -> float:

@@ -55,6 +55,11 @@ def apply_rules(value: Column, layer: Column, reference: Column,
     return out
 
 
+def _needs_reference(rules: Sequence[tuple], reference: DataFrame | None) -> None:
+    if reference is None and any(r[1] == "mask_by_reference" for r in rules):
+        raise ValueError("the masking rule needs a reference layer")
+
+
 def clean_layer(stored: DataFrame, units: Mapping, carbon_fraction: float,
                 sentinels: Mapping[str, float], rules: Sequence[tuple],
                 reference: DataFrame | None = None) -> DataFrame:
@@ -69,9 +74,8 @@ def clean_layer(stored: DataFrame, units: Mapping, carbon_fraction: float,
     out = stored.withColumn("__s", sentinel_hit(raw, layer, sentinels))
     out = out.withColumn("value", convert_units(
         F.when(~F.col("__s"), raw), layer, units, carbon_fraction)).drop("__s")
+    _needs_reference(rules, reference)
     if reference is None:
-        if any(r[1] == "mask_by_reference" for r in rules):
-            rules = [r for r in rules if r[1] != "mask_by_reference"]
         ref = F.lit(None)
     else:
         out = out.join(reference, ["pixel_id", "year"], "left")
@@ -84,6 +88,7 @@ def rule_effects(stored: DataFrame, units: Mapping, carbon_fraction: float,
                  sentinels: Mapping[str, float], rules: Sequence[tuple],
                  reference: DataFrame | None = None) -> DataFrame:
     """Rows touched per layer, year and rule, in one pass."""
+    _needs_reference(rules, reference)
     layer = F.col("layer")
     raw = F.col("value").cast("double")
     d = stored.withColumn("__s", sentinel_hit(raw, layer, sentinels))
@@ -93,7 +98,6 @@ def rule_effects(stored: DataFrame, units: Mapping, carbon_fraction: float,
         d = d.join(reference, ["pixel_id", "year"], "left")
         ref = F.col("ref_value")
     else:
-        rules = [r for r in rules if r[1] != "mask_by_reference"]
         ref = F.lit(None)
     hits = {"sentinel": F.col("__s"), **rule_hits(F.col("__v"), layer, ref, rules)}
     agg = d.groupBy("layer", "year").agg(

@@ -63,7 +63,7 @@ def _octave_bucket(v: Column) -> Column:
 
 
 def ordered_cumulative(df: DataFrame, keys: Sequence[str], value: str,
-                       sums: dict[str, Column | str]) -> DataFrame:
+                       sums: dict[str, Column | str], whole: bool = False) -> DataFrame:
     """Exact running totals in value order for groups of any size.
 
     One row per (keys, distinct value) with, for each name in ``sums``, the
@@ -75,27 +75,29 @@ def ordered_cumulative(df: DataFrame, keys: Sequence[str], value: str,
     the bucket totals (a bounded number) are accumulated across the group, so
     no task ever sorts a whole group. Every step is a deterministic function of
     the data: a recomputed task gives the same buckets. Keys travel as one
-    struct, which matches nulls and keeps one partitioning throughout.
+    struct, which matches nulls and keeps one partitioning throughout. ``whole``
+    keeps integers as they are, so that ids beyond 2**53 stay apart. The constants
+    above only shape the plan, never the result.
     """
     keys, names = list(keys), list(sums)
     key = F.struct(*keys) if keys else F.lit(0)
     v = F.col("__v")
     exprs = [(F.sum(F.expr(s) if isinstance(s, str) else s)).alias(n)
              for n, s in sums.items()]
+    number = F.col(value).cast("long") if whole else F.col(value).cast("double") + F.lit(0.0)
     d = (df.where(finite(F.col(value)))
-         .groupBy(key.alias("__k"), (F.col(value).cast("double") + F.lit(0.0))
-                  .alias("__v")).agg(*exprs)
-         .select("*", _octave_bucket(v).alias("__b1")))
+         .groupBy(key.alias("__k"), number.alias("__v")).agg(*exprs)
+         .select("*", _octave_bucket(v.cast("double")).alias("__b1")))
     # every branch below reads all columns of ``d``, so its shuffle is shared
-    whole = Window.partitionBy("__k")
+    group = Window.partitionBy("__k")
     range_ = d.groupBy("__k", "__b1").agg(
         F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
         F.count(F.lit(1)).alias("__n"), *[F.sum(n).alias(f"__t_{n}") for n in names]
     ).select("__k", "__b1", "__lo", "__hi", "__n", *[
-        F.sum(f"__t_{n}").over(whole).alias(f"{n}_all") for n in names])
-    lo, hi = F.col("__lo"), F.col("__hi")
+        F.sum(f"__t_{n}").over(group).alias(f"{n}_all") for n in names])
+    lo, hi = F.col("__lo").cast("double"), F.col("__hi").cast("double")
     step = F.when((F.col("__n") > CROWDED) & (hi > lo), F.least(
-        F.floor((v - lo) / (hi - lo) * SPLIT), F.lit(SPLIT - 1))).otherwise(F.lit(0))
+        F.floor((v.cast("double") - lo) / (hi - lo) * SPLIT), F.lit(SPLIT - 1))).otherwise(F.lit(0))
     d = d.join(range_, ["__k", "__b1"]).select(
         "__k", "__b1", step.cast("long").alias("__b2"), "__v", *names,
         *[f"{n}_all" for n in names])

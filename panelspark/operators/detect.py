@@ -298,7 +298,9 @@ def harmless_rates(records: DataFrame, clean_cells: DataFrame,
 
     ``records`` (pixel_id, event_year, activity) are harmless records on cells
     that carry nothing else; ``clean_cells`` carry nothing at all. The expected
-    rate of a record is the clean cells' rate in its zone and year.
+    rate of a record is the clean cells' rate in its zone and year: zero where none of
+    them was hit, unknown (and the record left out) where the zone or the year has no
+    hit at all.
     """
     cov = coverage(det, window).withColumn("__hit", F.lit(1))
     ref = clean_cells.select("pixel_id").distinct().join(zones, "pixel_id")
@@ -306,14 +308,16 @@ def harmless_rates(records: DataFrame, clean_cells: DataFrame,
         F.count(F.lit(1)).alias("__d"))
     ref_hit = ref.join(cov, "pixel_id").groupBy("zone", "year").agg(
         F.count(F.lit(1)).alias("__h"))
-    rate = ref_hit.join(ref_n, "zone").select(
-        "zone", F.col("year").alias("event_year"),
-        (F.col("__h") / F.col("__d")).alias("__exp"))
+    ref_hit = ref_hit.withColumnRenamed("year", "event_year")
+    known = ref_n.join(ref_hit.select("zone").distinct(), "zone")
+    years = ref_hit.where(F.col("zone").isNotNull()).select("event_year").distinct()
     a = records.where(F.col("event_year").isNotNull()).join(zones, "pixel_id")
     a = a.where(F.col("zone").isNotNull())
     a = a.join(cov.withColumnRenamed("year", "event_year"),
                ["pixel_id", "event_year"], "left")
-    a = a.join(rate, ["zone", "event_year"])
+    a = (a.join(known, "zone").join(years, "event_year")
+         .join(ref_hit, ["zone", "event_year"], "left")
+         .withColumn("__exp", F.coalesce("__h", F.lit(0)) / F.col("__d")))
     n = F.count(F.lit(1))
     return a.groupBy("activity").agg(
         n.alias("n_records"), F.count_distinct("pixel_id").alias("n_pixels"),
@@ -332,7 +336,3 @@ def harmless_decision(rates: DataFrame, ratio_min: float = 2.0,
            & (F.col("p_value") < p_max))
     return out.withColumn("decision", F.when(
         F.coalesce(hit, F.lit(False)), "disturbing").otherwise("non_disturbing"))
-
-
-def rate_pct(part: Column, whole: Column) -> Column:
-    return pct(part, whole, 2)

@@ -137,7 +137,9 @@ def fit_scores(df: DataFrame, by: Sequence[str], covariates: Sequence[str],
     Each round is one aggregation of the Newton sums (a p x p table per level)
     over the rows, for all levels together; the small systems are solved in one
     Arrow batch per level. Covariates are standardised within the level. With
-    ``lam`` the penalty is elastic net and the intercept is free.
+    ``lam`` the penalty is elastic net and the intercept is free. ``converged`` is false
+    where the last step was still above ``tol``, ``separated`` true where a coefficient
+    stands at the limit of 30: such a level has no likelihood optimum to report.
     """
     by, p = list(by), len(covariates)
     x = [F.col(c).cast("double") for c in covariates]
@@ -197,7 +199,10 @@ def fit_scores(df: DataFrame, by: Sequence[str], covariates: Sequence[str],
                 break
     finally:
         d.unpersist()
-    return null_safe_join(stats.drop("n"), beta.select(*by, "beta"), by)
+    flags = beta.select(
+        *by, "beta", (F.col("step") < tol).alias("converged"),
+        F.exists("beta", lambda b: F.abs(b) >= 30).alias("separated"))
+    return null_safe_join(stats.drop("n"), flags, by)
 
 
 def linear_score(df: DataFrame, fit: DataFrame, by: Sequence[str],
@@ -209,7 +214,7 @@ def linear_score(df: DataFrame, fit: DataFrame, by: Sequence[str],
         sd = F.col("sd")[i]
         eta = eta + F.col("beta")[i + 1] * F.when(
             sd > 0, (F.col(c).cast("double") - F.col("mu")[i]) / sd).otherwise(0.0)
-    return j.withColumn(out, eta).drop("mu", "sd", "beta")
+    return j.withColumn(out, eta).drop("mu", "sd", "beta", "converged", "separated")
 
 
 def choose_penalty(df: DataFrame, by: Sequence[str], covariates: Sequence[str],
@@ -255,7 +260,7 @@ def tree_scores(df: DataFrame, level: str, levels: Sequence[str],
     va = VectorAssembler(inputCols=list(covariates), outputCol="__x")
     out = None
     for v in levels:
-        d = va.transform(df.where(F.col(level) == v).withColumn(
+        d = va.transform(df.where(F.col(level).eqNullSafe(F.lit(v))).withColumn(
             "__label", F.col("treat").cast("double")))
         model = GBTClassifier(featuresCol="__x", labelCol="__label", maxIter=trees,
                               maxDepth=depth, seed=seed).fit(d)
@@ -372,14 +377,13 @@ def rank_match(df: DataFrame, cell: Sequence[str], key: str = "pixel_id") -> Dat
     """
     cell = list(cell)
 
-    k = df.withColumn("__k", F.col(key).cast("double"))
-    c = ordered_cumulative(k, cell, "__k", {
-        "t": F.col("treat").cast("long"), "c": 1 - F.col("treat").cast("long")})
-    one = F.col("__k").cast("long")
-    t = c.where("t > 0").select(*cell, F.col("t_before").alias("__pos"),
-                                one.alias("treated_id"))
-    u = c.where("c > 0").select(*cell, F.col("c_before").alias("__pos"),
-                                one.alias("control_id"))
+    k = df.withColumn("__id", F.col(key).cast("long"))
+    c = ordered_cumulative(k, cell, "__id", {
+        "__nt": F.col("treat").cast("long"), "__nc": 1 - F.col("treat").cast("long")}, True)
+    t = c.where("__nt > 0").select(*cell, F.col("__nt_before").alias("__pos"),
+                                   F.col("__id").alias("treated_id"))
+    u = c.where("__nc > 0").select(*cell, F.col("__nc_before").alias("__pos"),
+                                   F.col("__id").alias("control_id"))
     return null_safe_join(t, u, [*cell, "__pos"]).drop("__pos")
 
 
@@ -395,7 +399,11 @@ def _greedy(tid, tprio, tx, ts, tv, cid, cx, cs, cv, cal, vcal):
     free = np.ones(len(cid), dtype=bool)
     rows = []
     for i in np.lexsort((tid, tprio)):
-        d = np.sqrt(((cx - tx[i]) ** 2).sum(axis=1))
+        d2 = np.zeros(len(cx))
+        for k in range(cx.shape[1]):  # axis by axis, the order in which the rounds add up
+            gap = cx[:, k] - tx[i, k]
+            d2 += gap * gap
+        d = np.sqrt(d2)
         ok = free.copy()
         if cal is not None:
             ok &= np.abs(cs - ts[i]) <= cal
@@ -478,8 +486,10 @@ def nearest_match(df: DataFrame, cell: Sequence[str], key: str = "pixel_id",
         one_cell, out_schema)
     if sizes.where("large").isEmpty():
         return small
-    big = _match_rounds(rows.where("large").drop("large"), cell, has_cal, has_lim)
-    return small.unionByName(big)
+    # a struct matches null exact columns in every join of the rounds
+    one = rows.where("large").withColumn("__cell", F.struct(*cell)).drop("large", *cell)
+    big = _match_rounds(one, ["__cell"], has_cal, has_lim)
+    return small.unionByName(big.select("__cell.*", "treated_id", "control_id", "distance"))
 
 
 def _match_rounds(rows: DataFrame, cell: list[str], has_cal: bool,

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import grid_col, grid_row, seeded_order
 from panelspark.functions.text import code_prefix, pad_code
-from panelspark.operators.core import exact_quantiles, first_k_per_group, registry
+from panelspark.operators.core import (exact_quantiles, first_k_per_group, null_safe_join,
+                                       registry)
 from panelspark.session import cut_lineage
 
 NEIGHBOURS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
@@ -30,10 +31,10 @@ def cell_table(raster: DataFrame, classes: Mapping[int, str], n_col: int,
 
 def cell_at(x: Column, y: Column, n_col: int, x0: float, y0: float,
             size: float) -> Column:
-    """Id of the cell holding a point."""
+    """Id of the cell holding a point; null beyond the first row or the side columns."""
     col = F.floor((x - x0) / size).cast("long")
     row = F.floor((F.lit(y0) - y) / size).cast("long")
-    return row * n_col + col + 1
+    return F.when((row >= 0) & (col >= 0) & (col < n_col), row * n_col + col + 1)
 
 
 def sample_nearest(points: DataFrame, layer: DataFrame, n_col: int, x0: float,
@@ -63,7 +64,9 @@ def sample_bilinear(points: DataFrame, layer: DataFrame, n_col: int, x0: float,
 
     def corner(dr: int, dc: int) -> Column:
         w = (wy if dr else 1 - wy) * (wx if dc else 1 - wx)
-        return F.struct(((r0 + dr) * n_col + c0 + dc + 1).cast("long").alias("cell"),
+        row, col = r0 + dr, c0 + dc
+        inside = (row >= 0) & (col >= 0) & (col < n_col)
+        return F.struct(F.when(inside, (row * n_col + col + 1).cast("long")).alias("cell"),
                         w.alias("w"))
 
     four = F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1))
@@ -152,16 +155,12 @@ def block_representatives(df: DataFrame, group: str, n_col: int, block: int,
                           centre: int) -> DataFrame:
     """Best-centred cell of each occupied block, lowest id on ties.
 
-    Priority and id share one integer, so this is a plain minimum with map-side
-    combining; ids stay below 2**56.
+    The smallest (distance, id) pair, a plain minimum with map-side combining.
     """
     b = block_columns(df, n_col, block, centre)
-    code = F.shiftleft(F.col("d2"), 56) + F.col("pixel_id")
-    best = b.groupBy(group, "brow", "bcol").agg(F.min(code).alias("__m"))
-    mask = F.lit((1 << 56) - 1)
-    return best.select(
-        group, "brow", "bcol", F.col("__m").bitwiseAND(mask).alias("pixel_id"),
-        F.shiftright("__m", 56).alias("d2")).withColumn(
+    best = b.groupBy(group, "brow", "bcol").agg(
+        F.min(F.struct("d2", F.col("pixel_id").cast("long").alias("pixel_id"))).alias("__m"))
+    return best.select(group, "brow", "bcol", "__m.pixel_id", "__m.d2").withColumn(
         "row", grid_row(F.col("pixel_id"), n_col)).withColumn(
         "col", grid_col(F.col("pixel_id"), n_col))
 
@@ -247,16 +246,17 @@ def cell_density(df: DataFrame, group: Sequence[str],
         whole = whole & F.col(c).isNotNull()
     n = df.where(whole).groupBy(*group, *cell).agg(F.count(F.lit(1)).alias("units"))
     q = exact_quantiles(n, group, "units", {"median": .5, "q25": .25})
-    return n.groupBy(*group).agg(F.count(F.lit(1)).alias("n_cells")).join(q, list(group))
+    return null_safe_join(n.groupBy(*group).agg(F.count(F.lit(1)).alias("n_cells")), q,
+                          list(group))
 
 
 def cells_emptied(before: DataFrame, after: DataFrame, group: Sequence[str],
                   cell: Sequence[str]) -> DataFrame:
     """Exact cells per group that lost their last unit."""
     a = before.select(*group, *cell).distinct()
-    b = after.select(*group, *cell).distinct()
-    return a.join(b, [*group, *cell], "left_anti").groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_emptied"))
+    b = after.select(*group, *cell).distinct().withColumn("__left", F.lit(1))
+    return null_safe_join(a, b, [*group, *cell], "left").where(
+        F.col("__left").isNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("n_emptied"))
 
 
 def spacing_check(sample: DataFrame, group: str, n_col: int, block: int,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import back_transform, lookup
-from panelspark.operators.core import (null_safe_join, ordered_cumulative,
+from panelspark.operators.core import (null_safe_join, ordered_cumulative, require,
                                        registry, small_side)
 
 
@@ -272,7 +272,9 @@ def window_diff(auto: DataFrame, used: DataFrame, cell: Sequence[str]) -> DataFr
 
 def wide_by(df: DataFrame, keys: Sequence[str], column: str,
             levels: Sequence[str], value: str) -> DataFrame:
-    """Long to wide over known levels."""
+    """Long to wide over known levels; the job fails on a level that is not among them."""
+    known = F.col(column).isNull() | ~F.col(column).isin(list(levels))
+    df = require(df, known, f"a level of {column} is not in the list")
     return df.groupBy(*keys).pivot(column, list(levels)).agg(F.min(value))
 
 
@@ -284,11 +286,9 @@ def number_runs(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     """
     keys = list(keys)
     c = ordered_cumulative(df.select(*keys, number).distinct(), keys, number,
-                           {"n": F.lit(1)})
-    island = (F.col(number) - F.col("n_before")).cast("long")
-    return c.withColumn("__i", island).groupBy(*keys, "__i").agg(
-        F.min(number).cast("long").alias("run_first"),
-        F.max(number).cast("long").alias("run_last"),
+                           {"__one": F.lit(1)}, True)
+    return c.withColumn("__i", F.col(number) - F.col("__one_before")).groupBy(*keys, "__i").agg(
+        F.min(number).alias("run_first"), F.max(number).alias("run_last"),
         F.count(F.lit(1)).alias("n")).drop("__i")
 
 

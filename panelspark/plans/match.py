@@ -19,8 +19,8 @@ def with_score(df: DataFrame, level: str, covariates: Sequence[str],
                kind: str, lam: float = 0.01) -> DataFrame:
     """Treatment score of every level: logistic, elastic net or trees."""
     if kind == "trees":
-        names = [r[0] for r in df.select(level).distinct().limit(
-            10_000).collect()]  # level names: a short list of year windows
+        # one distributed fit per level, and none is left out
+        names = [r[0] for r in df.select(level).distinct().toLocalIterator()]
         return M.tree_scores(df, level, names, covariates)
     alpha, pen = (0.5, lam) if kind == "elasticnet" else (0.0, 0.0)
     fit = M.fit_scores(df, [level], covariates, alpha, pen)

@@ -42,7 +42,7 @@ def isum(expr: str) -> str:
 
 TOKEN = {"1-URGENT": "F4", "2-HIGH": "F3", "3-MEDIUM": "T2",
          "4-NOT SPECIFIED": "Td", "5-LOW": "Fu"}
-RECORD_PRICE = 400_000.0   # an order above it is a recorded event
+RECORD_PRICE = 400_000.0   # orders up to it are records that disturb nothing
 FIRST, LAST = 1996, 2000   # treatment years inside the order years 1995-2001
 
 
@@ -139,19 +139,20 @@ def event_frame(spark, sf):
     from panelspark.sources.scans import fit_columns
     from panelspark.sources.schemas import EVENTS
 
-    o = table(spark, sf, "orders").where(F.col("o_totalprice") > RECORD_PRICE)
+    o = table(spark, sf, "orders")
     pr, st = F.col("o_orderpriority"), F.col("o_orderstatus")
-    fire = pr.isin("1-URGENT", "2-HIGH")
-    dated = F.when(~((st == "O") & (pr == "3-MEDIUM")), F.year("o_orderdate"))
+    large = F.col("o_totalprice") > RECORD_PRICE
+    fire = large & pr.isin("1-URGENT", "2-HIGH")
+    dated = F.when(~(large & (st == "O") & (pr == "3-MEDIUM")), F.year("o_orderdate"))
     rec = fit_columns(o.select(
         F.col("o_custkey").alias("pixel_id"),
         F.when(fire, "fire").otherwise("thin").alias("arm"),
         F.concat(F.lit("src_"), st).alias("source_layer"),
         F.col("o_orderkey").cast("string").alias("poly_uid"),
-        F.when(fire, F.year("o_orderdate")).otherwise(dated).alias("event_year"),
-        F.when(pr == "1-URGENT", "4").when(pr == "2-HIGH", "3")
+        dated.alias("event_year"),
+        F.when(~large, None).when(pr == "1-URGENT", "4").when(pr == "2-HIGH", "3")
         .when(pr == "3-MEDIUM", "Medium").alias("class_value"),
-        F.when(pr == "3-MEDIUM", "treatment_LMH").when(
+        F.when(~large, "non_disturbing").when(pr == "3-MEDIUM", "treatment_LMH").when(
             pr == "4-NOT SPECIFIED", "disturbance_only").when(
             pr == "5-LOW", "wildfire").alias("record_class")), EVENTS)
     c = table(spark, sf, "customer")
@@ -232,16 +233,18 @@ CTE = {
         p_brand AS brand, p_size AS size, p_retailprice AS price,
         p_partkey // 50 AS row, p_partkey % 50 AS col FROM part""",
     "frame": """SELECT o_custkey AS pixel_id,
-          CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fire' ELSE 'thin' END AS arm,
+          CASE WHEN o_totalprice > 400000 AND o_orderpriority IN ('1-URGENT', '2-HIGH')
+            THEN 'fire' ELSE 'thin' END AS arm,
           'src_' || o_orderstatus AS source_layer,
-          CAST(CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '3-MEDIUM' THEN NULL
+          CAST(CASE WHEN o_totalprice > 400000 AND o_orderstatus = 'O'
+            AND o_orderpriority = '3-MEDIUM' THEN NULL
             ELSE year(o_orderdate) END AS INTEGER) AS event_year,
-          CASE o_orderpriority WHEN '1-URGENT' THEN '4' WHEN '2-HIGH' THEN '3'
-            WHEN '3-MEDIUM' THEN 'Medium' END AS class_value,
-          CASE o_orderpriority WHEN '3-MEDIUM' THEN 'treatment_LMH'
-            WHEN '4-NOT SPECIFIED' THEN 'disturbance_only'
-            WHEN '5-LOW' THEN 'wildfire' END AS record_class
-        FROM orders WHERE o_totalprice > 400000
+          CASE WHEN o_totalprice > 400000 THEN CASE o_orderpriority WHEN '1-URGENT' THEN '4'
+            WHEN '2-HIGH' THEN '3' WHEN '3-MEDIUM' THEN 'Medium' END END AS class_value,
+          CASE WHEN o_totalprice > 400000 THEN CASE o_orderpriority
+            WHEN '3-MEDIUM' THEN 'treatment_LMH' WHEN '4-NOT SPECIFIED' THEN 'disturbance_only'
+            WHEN '5-LOW' THEN 'wildfire' END ELSE 'non_disturbing' END AS record_class
+        FROM orders
         UNION ALL SELECT c_custkey, 'own', 'own', NULL,
           CASE WHEN c_nationkey < 2 THEN 'Federal' WHEN c_nationkey < 4 THEN 'Non Profit'
             WHEN c_nationkey < 5 THEN 'Tribal' ELSE 'Unlisted' END, NULL
@@ -261,11 +264,12 @@ CTE = {
           WHEN arm = 'fire' AND class_value = '3' THEN 'F3'
           WHEN record_class = 'treatment_LMH' THEN 'T2'
           WHEN record_class = 'disturbance_only' THEN 'Td'
-          WHEN record_class = 'wildfire' THEN 'Fu' END AS token
+          WHEN record_class = 'wildfire' THEN 'Fu'
+          WHEN record_class = 'non_disturbing' THEN 'Tn' END AS token
         FROM frame WHERE arm IN ('fire', 'thin') AND event_year IS NOT NULL""",
     "k_entry": """SELECT pixel_id, event_year, left(token, 1) AS arm, arg_min(token,
           CASE token WHEN 'F4' THEN 1 WHEN 'F3' THEN 2 WHEN 'Fu' THEN 4
-            WHEN 'T2' THEN 2 WHEN 'Td' THEN 5 END) AS token
+            WHEN 'T2' THEN 2 WHEN 'Td' THEN 5 WHEN 'Tn' THEN 6 END) AS token
         FROM k_log GROUP BY ALL""",
     "k_near": """SELECT *, lag(arm) OVER w AS pa, lead(arm) OVER w AS na,
           event_year - lag(event_year) OVER w AS gp,
@@ -277,9 +281,10 @@ CTE = {
             na = arm AND gn <= 1 AND nt NOT IN ('Fu', 'Td'), false)))""",
     "k_hist": """SELECT pixel_id,
           string_agg(token, '' ORDER BY event_year, arm DESC) AS event_chain,
-          count(*) AS n_events, count(*) FILTER (event_year <= 2000) AS n_effective,
-          min(token) FILTER (event_year <= 2000) AS tok,
-          min(event_year) FILTER (event_year <= 2000) AS yr
+          count(*) AS n_events,
+          count(*) FILTER (event_year <= 2000 AND token <> 'Tn') AS n_effective,
+          min(token) FILTER (event_year <= 2000 AND token <> 'Tn') AS tok,
+          min(event_year) FILTER (event_year <= 2000 AND token <> 'Tn') AS yr
         FROM k_kept GROUP BY pixel_id""",
     "k_land": """SELECT pixel_id, max(CASE
           WHEN arm = 'tribal' OR (arm = 'own' AND class_value = 'Tribal') THEN 7

@@ -371,12 +371,14 @@ def read_estimates(spark, sf):
 
 
 @query("edited_windows", """SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS ecoregion,
-    n_regionkey AS cap_use FROM nation""")
+    n_regionkey AS cap_use, 'edited' AS copy FROM nation UNION ALL
+    SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0'), n_nationkey, 'auto' FROM nation""")
 def edited_windows(spark, sf):
-    n = table(spark, sf, "nation").select(
-        F.col("n_nationkey").cast("string").alias("ecoregion"),
-        F.col("n_regionkey").alias("cap_use"))
-    return S.read_windows(n.limit(0), n)
+    code = F.col("n_nationkey").cast("string").alias("ecoregion")
+    n = table(spark, sf, "nation")
+    auto = n.select(code, F.col("n_nationkey").alias("cap_use"), F.lit("auto").alias("copy"))
+    edited = n.select(code, F.col("n_regionkey").alias("cap_use"), F.lit("edited").alias("copy"))
+    return S.read_windows(auto, edited).unionByName(S.read_windows(auto, None))
 
 
 @query("named_threshold", """SELECT max(c_acctbal) AS value FROM customer

@@ -281,10 +281,11 @@ HARM = with_("units", "event_log", "detections", rec="""SELECT pixel_id, event_y
     detections""", rn="""SELECT zone, count(*) AS d FROM clean JOIN units USING (pixel_id)
     GROUP BY zone""", rh="""SELECT zone, year, count(*) AS h FROM clean JOIN units USING
     (pixel_id) JOIN cov USING (pixel_id) GROUP BY ALL""",
-    a="""SELECT r.activity, r.pixel_id, h / d AS e, EXISTS (SELECT 1 FROM cov c
+    a="""SELECT r.activity, r.pixel_id, coalesce(h, 0) / d AS e, EXISTS (SELECT 1 FROM cov c
     WHERE c.pixel_id = r.pixel_id AND c.year = r.event_year) AS hit FROM rec r
-    JOIN units u USING (pixel_id) JOIN rn ON rn.zone = u.zone JOIN rh ON rh.zone = u.zone
-    AND rh.year = r.event_year""")
+    JOIN units u USING (pixel_id) JOIN rn ON rn.zone = u.zone
+    LEFT JOIN rh ON rh.zone = u.zone AND rh.year = r.event_year
+    WHERE u.zone IN (SELECT zone FROM rh) AND r.event_year IN (SELECT year FROM rh)""")
 
 
 def _harm(spark, sf):
@@ -304,7 +305,16 @@ def harmless_rates(spark, sf):
         F.round(c, 6).alias(c) for c in ("exp_rate", "obs_rate")])
 
 
-@query("harmless_decision")
+# the binomial tail term by term, an expected rate of 0 or 1 has no p value
+@query("harmless_decision", HARM + f"""SELECT activity, round(ratio, 6) AS ratio,
+    round(p, 9) AS p_value, CASE WHEN coalesce(ratio >= 2 AND n_pixels >= 100 AND p < 0.001, false)
+      THEN 'disturbing' ELSE 'non_disturbing' END AS decision
+    FROM (SELECT *, CASE WHEN e > 0 THEN k / n / e END AS ratio,
+      CASE WHEN e > 0 AND e < 1 THEN CASE WHEN k <= 0 THEN 1.0 ELSE list_sum(list_transform(
+        range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+          + i * ln(e) + (n - i) * ln(1 - e)))) END END AS p
+      FROM (SELECT activity, count(*) AS n, count(DISTINCT pixel_id) AS n_pixels,
+        {n_if("hit")} AS k, avg(e) AS e FROM a GROUP BY activity))""")
 def harmless_decision(spark, sf):
     return D.harmless_decision(_harm(spark, sf)).select(
         "activity", F.round("ratio", 6).alias("ratio"), F.round("p_value", 9).alias("p_value"),

@@ -100,13 +100,12 @@ def category_events(spark, sf):
     CAST(1994 + n_regionkey AS INTEGER) AS event_year,
     CAST(2000 + n_regionkey AS INTEGER) AS aux_year, count(*) AS n
     FROM orders JOIN customer ON o_custkey = c_custkey
-    JOIN nation ON c_nationkey = n_nationkey
-    WHERE o_totalprice > 400000 GROUP BY ALL""")
+    JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
 def project_events(spark, sf):
-    from panelspark.queries.base import RECORD_PRICE, table
+    from panelspark.queries.base import table
 
     n = table(spark, sf, "nation")
-    rec = (table(spark, sf, "orders").where(F.col("o_totalprice") > RECORD_PRICE)
+    rec = (table(spark, sf, "orders")
            .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
            .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
            .select(F.col("o_custkey").alias("pixel_id"),
@@ -122,7 +121,8 @@ def project_events(spark, sf):
 @query("token_assignment", with_("frame") + f"""SELECT arm, CASE
     WHEN arm = 'fire' AND class_value = '4' THEN 'F4' WHEN arm = 'fire' THEN 'F3'
     WHEN record_class = 'treatment_LMH' THEN 'T2'
-    WHEN record_class = 'disturbance_only' THEN 'Td' ELSE 'Fu' END AS token,
+    WHEN record_class = 'disturbance_only' THEN 'Td'
+    WHEN record_class = 'non_disturbing' THEN 'Tn' ELSE 'Fu' END AS token,
     count(*) AS n, {n_if("event_year IS NULL")} AS n_undated
     FROM frame WHERE arm IN ('fire', 'thin') GROUP BY ALL""")
 def token_assignment(spark, sf):

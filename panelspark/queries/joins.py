@@ -219,15 +219,13 @@ def side_sources(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("number_runs", with_("event_log", d="""SELECT DISTINCT token, pixel_id FROM event_log
-    WHERE amount > 450000""", i="""SELECT *, pixel_id - row_number() OVER (PARTITION BY token
+@query("number_runs", with_("event_log", d="""SELECT DISTINCT token, pixel_id FROM event_log""", i="""SELECT *, pixel_id - row_number() OVER (PARTITION BY token
     ORDER BY pixel_id) AS g FROM d""") + """SELECT token, min(pixel_id) AS run_first,
     max(pixel_id) AS run_last, count(*) AS n FROM i GROUP BY token, g""")
 def number_runs(spark, sf):
     from panelspark.operators.support import number_runs as op
 
-    e = event_log(spark, sf).where(F.col("amount") > 450000)
-    return op(e, ["token"], "pixel_id")
+    return op(event_log(spark, sf), ["token"], "pixel_id")
 
 
 @query("run_compaction", with_("cohorts", "yearly_value", i="""SELECT pixel_id, year, year -
@@ -243,7 +241,7 @@ def run_compaction(spark, sf):
 
 
 @query("wide_reshape", with_("cohorts") + """SELECT lulc, """ + ", ".join(
-    f'count(*) FILTER (gvar = {g}) AS "{g}"' for g in (0, 1995, 1998)).replace(
+    f'count(*) FILTER (gvar = {g}) AS "{g}"' for g in (0, *range(1995, 2002))).replace(
     "count(*) FILTER", "nullif(count(*) FILTER").replace(") AS", "), 0) AS")
     + " FROM cohorts GROUP BY lulc")
 def wide_reshape(spark, sf):
@@ -251,7 +249,7 @@ def wide_reshape(spark, sf):
 
     n = cohorts(spark, sf).groupBy("lulc", F.col("gvar").cast("string").alias("g")).agg(
         F.count(F.lit(1)).alias("n"))
-    return wide_by(n, ["lulc"], "g", ["0", "1995", "1998"], "n")
+    return wide_by(n, ["lulc"], "g", ["0", *map(str, range(1995, 2002))], "n")
 
 
 @query("union_intersect", """SELECT 'union' AS op, count(*) AS n FROM (SELECT c_nationkey FROM

@@ -11,13 +11,13 @@ from panelspark.sources import loads as D
 
 LOADED = with_("layer_values", ld="""SELECT layer, year, pixel_id, CASE WHEN layer = 'LA' THEN
     CASE WHEN value <> 25 THEN value * 0.5 END WHEN layer = 'LN' THEN CASE WHEN value <> 10 THEN
-    value * 2.0 END END AS value FROM layer_values WHERE layer <> 'LR'""")
+    value * 2.0 END ELSE value END AS value FROM layer_values""")
 
 
 def loaded(spark, sf):
-    """LA takes its source's no-data code and its own scale, LN the reverse."""
+    """LA takes its source's no-data code and its own scale, LN the reverse, LR neither."""
     one = F.lit(None).cast("double")
-    lay = registry(spark, ["layer", "source"], [("LA", "s1"), ("LN", "s2")]).withColumns({
+    lay = registry(spark, ["layer", "source"], [("LA", "s1"), ("LN", "s2"), ("LR", "s3")]).withColumns({
         "nodata": F.when(F.col("layer") == "LN", F.lit(10.0)).otherwise(one),
         "scale": F.when(F.col("layer") == "LA", F.lit(0.5)).otherwise(one)})
     src = registry(spark, ["source", "nodata", "scale"], [("s1", 25.0, 9.0), ("s2", 25.0, 2.0)])
@@ -53,10 +53,9 @@ def load_static(spark, sf):
     AS pixel_id, CAST(o_orderkey AS VARCHAR) AS poly_uid, CAST(CASE WHEN year(o_orderdate) = 1995
     THEN 1800 + o_custkey % 100 ELSE year(o_orderdate) END AS INTEGER) AS event_year,
     o_orderpriority AS key_value, intensity, record_class, xwalk_origin FROM orders
-    LEFT JOIN x ON k = o_orderpriority WHERE o_orderstatus IN ('F', 'O')
-    AND o_totalprice > 100000""")
+    LEFT JOIN x ON k = o_orderpriority WHERE o_orderstatus IN ('F', 'O')""")
 def load_records(spark, sf):
-    o = table(spark, sf, "orders").where(F.col("o_totalprice") > 100000)
+    o = table(spark, sf, "orders")
     cols = [F.col("o_custkey").alias("pixel_id"), F.col("o_orderkey").alias("OBJECTID"),
             F.date_format("o_orderdate", "yyyy-MM-dd").alias("COMPLETED"),
             (1800 + F.col("o_custkey") % 100).alias("plan_year"),

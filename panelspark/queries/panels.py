@@ -159,18 +159,21 @@ def run_grid(spark, sf):
 
 @query("viable_cohorts", with_("panel") + """SELECT lulc, count(*) AS n_rows,
     count(DISTINCT unit_id) AS n_units FROM (SELECT *, max(year) OVER (PARTITION BY lulc) AS last
-    FROM panel WHERE year < 2000) WHERE gvar = 0 OR gvar <= last GROUP BY lulc""")
+    FROM (SELECT * REPLACE (CASE WHEN gvar > 0 THEN gvar + 2 ELSE 0 END AS gvar) FROM panel))
+    WHERE gvar = 0 OR gvar <= last GROUP BY lulc""")
 def viable_cohorts(spark, sf):
-    d = unit_panel(spark, sf).where(F.col("year") < 2000)
+    # cohorts two years later, so that some lie beyond the panel
+    d = unit_panel(spark, sf).withColumn("gvar", F.when(F.col("gvar") > 0, F.col("gvar") + 2)
+                                         .otherwise(0))
     return U.viable_cohorts(d, ["lulc"]).groupBy("lulc").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("unit_id").alias("n_units"))
 
 
 @query("half_pairs", with_("panel", s="""SELECT lulc, pair_id, min(treat) AS a, max(treat) AS b
-    FROM panel WHERE year = 2001 GROUP BY ALL""") + f"""SELECT lulc, count(*) AS n_pairs,
+    FROM panel GROUP BY ALL""") + f"""SELECT lulc, count(*) AS n_pairs,
     {n_if("a = b")} AS n_half FROM s GROUP BY lulc""")
 def half_pairs(spark, sf):
-    return U.half_pairs(unit_panel(spark, sf).where(F.col("year") == 2001), ["lulc"])
+    return U.half_pairs(unit_panel(spark, sf), ["lulc"])
 
 
 @query("balanced_panel", with_("panel", u="""SELECT lulc, unit_id, count(*) AS n FROM panel

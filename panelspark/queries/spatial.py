@@ -187,13 +187,11 @@ def cells_emptied(spark, sf):
     return G.cells_emptied(g, after, ["analysis_group"], ["size"])
 
 
-@query("control_distance", with_("grid", p="SELECT * FROM grid WHERE analysis_group = 'PROMO' "
-    "AND price < 1000") + """SELECT a.pixel_id, round(30 * sqrt(min((a.row - b.row) ** 2
+@query("control_distance", with_("grid", p="SELECT * FROM grid") + """SELECT a.pixel_id, round(30 * sqrt(min((a.row - b.row) ** 2
     + (a.col - b.col) ** 2)), 6) AS distance FROM p a JOIN p b ON a.pixel_id <> b.pixel_id
     GROUP BY a.pixel_id""")
 def control_distance(spark, sf):
-    p = part_grid(spark, sf).where((F.col("analysis_group") == "PROMO") & (F.col("price") < 1000))
-    return G.nearest_distance(p, N_COL, 20_000, 7).select(
+    return G.nearest_distance(part_grid(spark, sf), N_COL, 20_000, 7).select(
         "pixel_id", F.round("distance", 6).alias("distance"))
 
 

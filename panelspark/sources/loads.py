@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.text import resolve_event_year
-from panelspark.operators.core import small_side
+from panelspark.operators.core import require, small_side
 from panelspark.operators.lookups import crosswalk_join
 from panelspark.sources.scans import fit_columns, stack_common
 from panelspark.sources.schemas import RECORDS
@@ -19,15 +19,17 @@ def load_layers(samples: DataFrame, layers: DataFrame, sources: DataFrame) -> Da
 
     ``layers`` (layer, source, nodata, scale) and ``sources`` (source, nodata,
     scale) are registries; what a layer states wins over its source. All layers
-    and years go through one job.
+    and years go through one job, which fails on a layer that has no registry row.
     """
     s = sources.select("source", F.col("nodata").alias("__sn"), F.col("scale").alias("__ss"))
     reg = small_side(layers.join(s, "source", "left").select(
         "layer", F.coalesce("nodata", "__sn").alias("__nodata"),
         F.coalesce("scale", "__ss", F.lit(1.0)).alias("__scale")), 10_000)
+    samples = require(samples.join(reg, "layer", "left"), F.col("__scale").isNull(),
+                      "a sampled layer has no registry row")
     v = F.col("value").cast("double")
     missing = F.coalesce(v == F.col("__nodata"), F.lit(False))
-    return samples.join(reg, "layer").withColumn(
+    return samples.withColumn(
         "value", F.when(~missing, v * F.col("__scale"))).drop("__nodata", "__scale")
 
 
