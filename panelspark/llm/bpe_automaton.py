@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.shared import sha
 
-MEMO = 300_000  # chunks, pieces or transitions a worker keeps before it starts afresh
+MEMO = 500_000  # chunks, pieces or transitions a worker keeps before it starts afresh
 LONG = 64  # longer chunks are not kept
 # White space by Unicode; Python's own split() also takes U+001C to U+001F.
 SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
@@ -50,20 +50,36 @@ class Automaton:
         self.born: dict[int, float] = {}
         self.lost: dict[tuple[int, int], int] = {}
         self.table: dict[tuple[int, int], bool] = {}
+        dead: set[int] = set()
         for i, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
             if w in self.born or self.born.get(u, -1) >= i or self.born.get(v, -1) >= i:
                 raise ValueError(f"merge {i} uses a later token or repeats a result")
-            if self._arc(u, v):
+            if u in dead or v in dead or not self._arc(u, v):
+                dead.add(w)  # no path has u before v, so no arc ever gets this label
+            else:
                 self.lost[u, v] = i
             self.head[w], self.tail[w], self.born[w] = u, v, i
         if any(part not in self.born and len(self.label[part].removesuffix(end)) > 1
                for pair in self.lost for part in pair):
             raise ValueError("a merge uses a token that no merge makes")
         # Without an end mark, every token may stand anywhere in a word.
-        self.inner = {t: i for t, i in vocab.items() if not end or not t.endswith(end)}
-        self.final = {t.removesuffix(end): i for t, i in vocab.items() if t.endswith(end)}
-        self.longest = max(map(len, [*self.inner, *self.final]), default=1)
+        vocab = {t: i for t, i in vocab.items() if i not in dead}
+        self.inner = self._by_ending(t for t in vocab.items() if not (end and t[0].endswith(end)))
+        self.final = self._by_ending((t.removesuffix(end), i) for t, i in vocab.items()
+                                     if t.endswith(end))
+
+    @staticmethod
+    def _by_ending(tokens: Iterable[tuple[str, int]]) -> dict:
+        """Tree of the tokens read backwards; a token's number stands under ``None``."""
+        root: dict = {}
+        for text, number in tokens:
+            node = root
+            for c in reversed(text):
+                node = node.setdefault(c, {})
+            if text:
+                node[None] = number
+        return root
 
     def _arc(self, last: int, token: int) -> bool:
         """Whether the state behind ``last`` has an arc for ``token``.
@@ -97,11 +113,21 @@ class Automaton:
         """Tokens of one word: each prefix has exactly one last token that an arc allows."""
         n = len(word)
         last, start = [-1] * (n + 1), [0] * (n + 1)
+        table, inner = self.table, self.inner
         for k in range(1, n + 1):
-            known = self.final if k == n else self.inner
-            for a in range(max(0, k - self.longest), k):
-                t = known.get(word[a:k])
-                if t is not None and (a == 0 or last[a] >= 0 and self.arc(last[a], t)):
+            node, a = self.final if k == n else inner, k
+            while a:  # tokens that end here; the one that an arc allows is the only one
+                node = node.get(word[a - 1])
+                if node is None:
+                    break
+                a -= 1
+                t = node.get(None)
+                if t is not None:
+                    if a:
+                        u = last[a]
+                        known = table.get((u, t))
+                        if not (u >= 0 and self.arc(u, t) if known is None else known):
+                            continue
                     last[k], start[k] = t, a
                     break
         out, k = [], n
@@ -132,13 +158,13 @@ class Tokenizer:
         names = sorted(self.added, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.memo: dict[str, tuple[int, str, str]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one pre-split piece; those of short pieces are kept."""
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.automaton.encode("".join(self.letters[b] for b in piece.encode()))
+            ids = tuple(self.automaton.encode("".join([self.letters[b] for b in piece.encode()])))
             if len(piece) <= LONG:
                 if len(self.pieces) >= MEMO:
                     self.pieces.clear()
@@ -158,7 +184,7 @@ class Tokenizer:
         if known is None:
             ids = [i for piece in self.pre_split(chunk) for i in self.piece(piece)]
             known = (len(ids), " ".join(map(str, ids)),
-                     " ".join(self.automaton.label[i] for i in ids))
+                     " ".join([self.automaton.label[i] for i in ids]))
             if len(chunk) <= LONG:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -174,8 +200,8 @@ class Tokenizer:
             part = unicodedata.normalize("NFC", part)
             # a capital sigma is lowered by itself, whatever stands behind it
             part = (part.replace("Σ", "σ") if "Σ" in part else part).lower()
-            words = part.split() if part.isprintable() else SPACE.split(part)
-            for w in words:
+            plain = not any(c in part for c in "\x1c\x1d\x1e\x1f")
+            for w in part.split() if plain else SPACE.split(part):
                 if w:
                     yield self.chunk(w)
 
