@@ -163,6 +163,20 @@ def estimate_p_values(spark, sf):
               "p_value")
 
 
+# the normal tail by Simpson's rule in 400 steps
+@query("etwfe_p_values", ROWS + SCORE + """, es AS (SELECT lulc, e, sum(att * n_gt) / sum(n_gt)
+    AS est FROM fx GROUP BY ALL), se AS (SELECT lulc, e, sqrt(sum(s * s)) AS se FROM sc
+    GROUP BY ALL), z AS (SELECT *, abs(est) / se AS z FROM es JOIN se USING (lulc, e))
+    SELECT lulc, CAST(e AS INTEGER) AS time, round(est, 6) AS estimate, round(se, 6) AS std_error,
+    round(CASE WHEN z > 8 THEN 0.0 ELSE greatest(1 - sqrt(2 / pi()) * z / 1200 * list_sum(
+      list_transform(range(0, 401), lambda i: exp(-((z * i / 400) ** 2) / 2) * CASE WHEN i IN (0, 400)
+        THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)), 0.0) END, 6) AS p_value FROM z""")
+def etwfe_p_values(spark, sf):
+    d = did.estimate(rows(spark, sf), ["lulc"], "etwfe", "event")
+    return _r(d.select("lulc", "time", "estimate", "std_error", "p_value"), "estimate",
+              "std_error", "p_value")
+
+
 @query("pretrend_summary", ROWS + SCORE + """, es AS (SELECT lulc, e, sum(att * n_gt) / sum(n_gt)
     AS est FROM fx GROUP BY ALL), se AS (SELECT lulc, e, sqrt(sum(s * s)) AS se FROM sc
     GROUP BY ALL) SELECT lulc, count(*) AS n_pre, count(*) FILTER (abs(est) >

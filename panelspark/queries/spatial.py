@@ -126,13 +126,39 @@ CONF = REPS[:-1] + """, conf AS (SELECT a.analysis_group, a.pixel_id AS src, b.p
     WHERE (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) < 25) """
 
 
+WIDE_REPS = with_("grid", b="""SELECT *, row // 16 AS br, col // 16 AS bc, (row % 16 - 8)
+    * (row % 16 - 8) + (col % 16 - 8) * (col % 16 - 8) AS d2 FROM grid""", reps="""SELECT * FROM b
+    QUALIFY row_number() OVER (PARTITION BY analysis_group, br, bc ORDER BY d2, pixel_id) = 1""")
+
+
+@query("block_representatives_wide", WIDE_REPS + """SELECT analysis_group, br AS brow, bc AS bcol,
+    pixel_id, d2, row, col FROM reps""")
+def block_representatives_wide(spark, sf):
+    """Blocks whose corners lie more than 127 squared steps from the centre."""
+    return G.block_representatives(part_grid(spark, sf), "analysis_group", N_COL, 16, 8)
+
+
 @query("spacing_conflicts", CONF + "SELECT * FROM conf")
 def spacing_conflicts(spark, sf):
     reps = G.block_representatives(part_grid(spark, sf), "analysis_group", N_COL, 5, 2)
     return G.spacing_conflicts(reps, "analysis_group", 25)
 
 
-@query("spaced_sample")
+# the one-by-one pass: each representative in order, unless one kept before is too close
+@query("spaced_sample", REPS.replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + """, ord AS (
+    SELECT analysis_group AS g, pixel_id, row, col, row_number() OVER (PARTITION BY analysis_group
+      ORDER BY d2, pixel_id) AS k FROM reps WHERE analysis_group <> 'PROMO'),
+    near AS (SELECT a.g, a.k, a.pixel_id, coalesce(list(b.pixel_id) FILTER (b.pixel_id IS NOT NULL),
+      []) AS close FROM ord a LEFT JOIN ord b ON a.g = b.g AND b.k < a.k
+      AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 < 25 GROUP BY a.g, a.k, a.pixel_id),
+    walk AS (SELECT DISTINCT g, 0::BIGINT AS k, []::BIGINT[] AS kept FROM ord UNION ALL
+      SELECT n.g, n.k, CASE WHEN list_has_any(w.kept, n.close) THEN w.kept
+        ELSE list_append(w.kept, n.pixel_id) END FROM walk w JOIN near n ON n.g = w.g
+        AND n.k = w.k + 1)
+    SELECT g AS analysis_group, unnest(kept) AS pixel_id, 'spacing' AS rule_applied
+    FROM (SELECT g, arg_max(kept, k) AS kept FROM walk GROUP BY g)
+    UNION ALL SELECT analysis_group, pixel_id, 'whole_group' FROM grid
+    WHERE analysis_group = 'PROMO'""")
 def spaced_sample(spark, sf):
     return G.spaced_sample(part_grid(spark, sf), "analysis_group", N_COL, 5, 2, ["PROMO"])
 
