@@ -423,6 +423,7 @@ def nearest_match(df: DataFrame, cell: Sequence[str], key: str = "pixel_id",
                   coords: str = "coords", priority: str | None = None,
                   score: str | None = None, caliper: str | None = None,
                   limits: Mapping[str, str] | None = None,
+                  axis_caliper: bool = False,
                   small_pairs: int = SMALL_PAIRS,
                   small_rows: int = SMALL_ROWS) -> DataFrame:
     """Nearest one-to-one match without replacement inside exact cells.
@@ -431,6 +432,9 @@ def nearest_match(df: DataFrame, cell: Sequence[str], key: str = "pixel_id",
     takes the nearest control still free. ``caliper`` names the column with the
     largest allowed gap in ``score``; ``limits`` maps covariates to the columns
     with theirs. Cells that lack a side fall out first, by a semi join.
+    ``axis_caliper`` says that the score is the first coordinate; a search then ends
+    where the buckets left lie beyond the caliper, so a treated unit without a control
+    in reach costs its neighbourhood and never the cell.
 
     A cell within the counted limits is matched in one task. A larger cell is
     matched in rounds of proposals over the whole cluster: every unmatched
@@ -488,12 +492,12 @@ def nearest_match(df: DataFrame, cell: Sequence[str], key: str = "pixel_id",
         return small
     # a struct matches null exact columns in every join of the rounds
     one = rows.where("large").withColumn("__cell", F.struct(*cell)).drop("large", *cell)
-    big = _match_rounds(one, ["__cell"], has_cal, has_lim)
+    big = _match_rounds(one, ["__cell"], has_cal, has_lim, axis_caliper and has_cal)
     return small.unionByName(big.select("__cell.*", "treated_id", "control_id", "distance"))
 
 
 def _match_rounds(rows: DataFrame, cell: list[str], has_cal: bool,
-                  has_lim: bool) -> DataFrame:
+                  has_lim: bool, axis_cal: bool = False) -> DataFrame:
     """Proposal rounds for cells too large for one task."""
     z = F.col("x")[0]
     d = rows.withColumn("z", z)
@@ -518,7 +522,8 @@ def _match_rounds(rows: DataFrame, cell: list[str], has_cal: bool,
     holds = None
     free = treated
     while True:
-        props = _nearest_available(free, controls, edges, holds, cell, has_cal, has_lim)
+        props = _nearest_available(free, controls, edges, holds, cell, has_cal, has_lim,
+                                   axis_cal)
         props = props.where(F.col("cid").isNotNull())
         pool = props if holds is None else props.unionByName(holds)
         best = pool.groupBy(*cell, "cid").agg(
@@ -538,7 +543,7 @@ def _match_rounds(rows: DataFrame, cell: list[str], has_cal: bool,
 
 def _nearest_available(free: DataFrame, controls: DataFrame, edges: DataFrame,
                        holds: DataFrame | None, cell: list[str], has_cal: bool,
-                       has_lim: bool) -> DataFrame:
+                       has_lim: bool, axis_cal: bool = False) -> DataFrame:
     """Nearest control each free unit may still win, searched outward by bucket.
 
     Buckets follow the first coordinate, whose gap bounds the distance from
@@ -593,8 +598,11 @@ def _nearest_available(free: DataFrame, controls: DataFrame, edges: DataFrame,
             F.when(F.col("bl") < 0, float("inf")).otherwise(F.col("tz") - F.col("zl")),
             F.when(F.col("br") > F.col("blast"), float("inf")).otherwise(
                 F.col("zr") - F.col("tz")))
-        m = cut_lineage(m.withColumn("__done", (F.coalesce(gap, F.lit(0.0)) == float("inf"))
-                                     | F.coalesce(F.col("bd") <= gap, F.lit(False))))
+        over = (F.coalesce(gap, F.lit(0.0)) == float("inf")) | F.coalesce(
+            F.col("bd") <= gap, F.lit(False))
+        if axis_cal:
+            over = over | F.coalesce(gap > F.col("cal"), F.lit(False))
+        m = cut_lineage(m.withColumn("__done", over))
         ready = m.where("__done").select(
             *cell, F.col("bc").alias("cid"), "prio", "tid", F.col("bd").alias("dist"))
         done = ready if done is None else done.unionByName(ready)

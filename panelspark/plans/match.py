@@ -57,7 +57,7 @@ def match_config(df: DataFrame, level: str, cell: Sequence[str],
         width = M.score_spread(d, [level], cols, caliper_sd)
         d = null_safe_join(d, small_side(width), [level])
         if score:
-            opts.update(score="score", caliper="caliper_score")
+            opts.update(score="score", caliper="caliper_score", axis_caliper=distance == "score")
         else:
             opts.update(limits={c: f"caliper_{c}" for c in cols})
     pairs = M.nearest_match(cut_lineage(d), keys, **opts, **sizes)

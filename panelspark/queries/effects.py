@@ -124,7 +124,7 @@ def etwfe_cluster_se(spark, sf):
     return _r(did.clustered_se(did.pair_scores(d, m, w, ["lulc"]), ["lulc"]), "std_error")
 
 
-@query("att_cluster_se", ROWS + """, w AS (SELECT *, n_gt / sum(n_gt) OVER (PARTITION BY e) AS w,
+ATT_SCORE = """, w AS (SELECT *, n_gt / sum(n_gt) OVER (PARTITION BY e) AS w,
     sum(n_gt * att) OVER (PARTITION BY e) / sum(n_gt) OVER (PARTITION BY e) AS th,
     sum(n_gt) OVER (PARTITION BY e) AS nk FROM gt),
     k AS (SELECT e, gvar, year, w AS c FROM w UNION ALL SELECT e, gvar, base_year, -w FROM w
@@ -133,7 +133,17 @@ def etwfe_cluster_se(spark, sf):
     z AS (SELECT e, pair_id, c / n * (y - m) AS s FROM br JOIN bm USING (gvar, year)
       JOIN kc USING (gvar, year) UNION ALL SELECT e, pair_id, (att - th) / nk FROM w
       JOIN (SELECT DISTINCT unit_id, pair_id, gvar FROM br) USING (gvar)),
-    sc AS (SELECT e, pair_id, sum(s) AS s FROM z GROUP BY ALL) SELECT CAST(e AS INTEGER) AS time,
+    sc AS (SELECT e, pair_id, sum(s) AS s FROM z GROUP BY ALL) """
+
+
+def tail(z: str) -> str:
+    """SQL of the two-sided normal tail, by Simpson's rule in 400 steps."""
+    return f"""CASE WHEN {z} > 8 THEN 0.0 ELSE greatest(1 - sqrt(2 / pi()) * {z} / 1200 * list_sum(
+      list_transform(range(0, 401), lambda i: exp(-(({z} * i / 400) ** 2) / 2) * CASE
+        WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)), 0.0) END"""
+
+
+@query("att_cluster_se", ROWS + ATT_SCORE + """SELECT CAST(e AS INTEGER) AS time,
     round(sqrt(sum(s * s)), 6) AS std_error, count(*) AS n_clusters FROM sc GROUP BY e""")
 def att_cluster_se(spark, sf):
     d = balanced(spark, sf)
@@ -156,21 +166,22 @@ def estimate_rows(spark, sf):
         .alias("statistic"))
 
 
-@query("estimate_p_values")
+@query("estimate_p_values", ROWS + ATT_SCORE + f""", v AS (SELECT e, any_value(th) AS est,
+    any_value(se) AS se FROM w JOIN (SELECT e, sqrt(sum(s * s)) AS se FROM sc GROUP BY e) USING (e)
+    GROUP BY e), x AS (SELECT *, abs(est) / se AS z FROM v) SELECT CAST(e AS INTEGER) AS time,
+    round(est, 6) AS estimate, round(se, 6) AS std_error, round({tail("z")}, 6) AS p_value
+    FROM x""")
 def estimate_p_values(spark, sf):
     d = did.estimate(balanced(spark, sf), [], "attgt", "event")
     return _r(d.select("time", "estimate", "std_error", "p_value"), "estimate", "std_error",
               "p_value")
 
 
-# the normal tail by Simpson's rule in 400 steps
-@query("etwfe_p_values", ROWS + SCORE + """, es AS (SELECT lulc, e, sum(att * n_gt) / sum(n_gt)
+@query("etwfe_p_values", ROWS + SCORE + f""", es AS (SELECT lulc, e, sum(att * n_gt) / sum(n_gt)
     AS est FROM fx GROUP BY ALL), se AS (SELECT lulc, e, sqrt(sum(s * s)) AS se FROM sc
     GROUP BY ALL), z AS (SELECT *, abs(est) / se AS z FROM es JOIN se USING (lulc, e))
     SELECT lulc, CAST(e AS INTEGER) AS time, round(est, 6) AS estimate, round(se, 6) AS std_error,
-    round(CASE WHEN z > 8 THEN 0.0 ELSE greatest(1 - sqrt(2 / pi()) * z / 1200 * list_sum(
-      list_transform(range(0, 401), lambda i: exp(-((z * i / 400) ** 2) / 2) * CASE WHEN i IN (0, 400)
-        THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)), 0.0) END, 6) AS p_value FROM z""")
+    round({tail("z")}, 6) AS p_value FROM z""")
 def etwfe_p_values(spark, sf):
     d = did.estimate(rows(spark, sf), ["lulc"], "etwfe", "event")
     return _r(d.select("lulc", "time", "estimate", "std_error", "p_value"), "estimate",

@@ -100,3 +100,23 @@ def test_balance_against_numpy(spark):
     assert r.smd == pytest.approx((t.mean() - c.mean()) / t.std())
     assert r.vr == pytest.approx(t.var() / c.var())
     assert (r.ecdf_mean, r.ecdf_max) == pytest.approx((dd.mean(), dd.max()))
+
+
+@pytest.mark.parametrize("small_pairs", [10**9, 0])
+def test_caliper_on_the_axis_ends_the_search(spark, monkeypatch, small_pairs):
+    monkeypatch.setattr(M, "BUCKET", 8)
+    rng = np.random.default_rng(8)
+    n = 600
+    s = np.where(np.arange(n) % 2, rng.normal(size=n), rng.normal(size=n) + 2)
+    pdf = pd.DataFrame({"pixel_id": np.arange(n), "cell": "x", "treat": (np.arange(n) % 2 == 0).astype(int), "s": s})
+    df = spark.createDataFrame(pdf).withColumn("coords", F.array("s")).withColumn("cal", F.lit(.02))
+    got = {r.treated_id: r.control_id for r in M.nearest_match(
+        df, ["cell"], priority="s", score="s", caliper="cal", axis_caliper=True, small_pairs=small_pairs).collect()}
+    free = dict(pdf[pdf.treat == 0][["pixel_id", "s"]].to_numpy())
+    want = {}
+    for r in pdf[pdf.treat == 1].sort_values(["s", "pixel_id"], ascending=[False, True]).itertuples():
+        near = min(((abs(v - r.s), k) for k, v in free.items() if abs(v - r.s) <= .02), default=None)
+        if near:
+            want[r.pixel_id] = int(near[1])
+            free.pop(near[1])
+    assert got == want
