@@ -11,6 +11,7 @@ within its pair.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.stats import Z975, two_sided_p
-from panelspark.operators.core import exact_quantiles, small_side
+from panelspark.operators.core import exact_quantiles, null_safe_join, small_side
+from panelspark.session import cut_lineage
 
 G, T, Y = "gvar", "year", "y"
 
@@ -95,9 +97,10 @@ def target_weights(att: DataFrame, by: Sequence[str], kind: str,
         "w", F.col(weight) / F.col("__w")).drop("__w")
 
 
-def aggregate(weighted: DataFrame, by: Sequence[str]) -> DataFrame:
+def aggregate(weighted: DataFrame, by: Sequence[str],
+              target: Sequence[str] = ("time",)) -> DataFrame:
     """Weighted mean effect per target, with the cohorts behind it."""
-    return weighted.groupBy(*by, "time").agg(
+    return weighted.groupBy(*by, *target).agg(
         F.sum(F.col("w") * F.col("att")).alias("estimate"),
         F.count(F.lit(1)).alias("n_effects"),
         F.count_distinct(G).alias("n_cohorts"))
@@ -110,7 +113,8 @@ def overall_row(agg: DataFrame, by: Sequence[str], kind: str) -> DataFrame:
                               F.count(F.lit(1)).alias("n_targets"))
 
 
-def _coefficients(weighted: DataFrame, by: Sequence[str]) -> DataFrame:
+def _coefficients(weighted: DataFrame, by: Sequence[str],
+                  target: Sequence[str]) -> DataFrame:
     """Coefficient of each cell mean in each target (four per effect)."""
     w = F.col("w")
     def term(g: Column, t: str, c: Column) -> Column:
@@ -120,14 +124,15 @@ def _coefficients(weighted: DataFrame, by: Sequence[str]) -> DataFrame:
     g, zero = F.col(G), F.lit(0)
     terms = F.array(term(g, T, w), term(g, "base_year", -w), term(zero, T, -w),
                     term(zero, "base_year", w))
-    x = weighted.select(*by, "time", F.explode(terms).alias("k"))
-    return x.groupBy(*by, "time", F.col("k.g").alias(G), F.col("k.t").alias(T)).agg(
+    x = weighted.select(*by, *target, F.explode(terms).alias("k"))
+    return x.groupBy(*by, *target, F.col("k.g").alias(G), F.col("k.t").alias(T)).agg(
         F.sum("k.c").alias("coef"))
 
 
 def pair_scores(panel: DataFrame, means: DataFrame, weighted: DataFrame,
                 by: Sequence[str], cluster: str = "pair_id",
-                unit: str = "unit_id", random_weights: bool = False) -> DataFrame:
+                unit: str = "unit_id", random_weights: bool = False,
+                target: Sequence[str] = ("time",)) -> DataFrame:
     """(cell, target, pair, score): what each pair adds to an estimate's error.
 
     The coefficient table is counted before it is broadcast. Partial sums are
@@ -136,28 +141,29 @@ def pair_scores(panel: DataFrame, means: DataFrame, weighted: DataFrame,
     """
     by = list(by)
     n = means.select(*by, G, T, F.col("n").alias("__n"), "ybar")
-    coef = small_side(_coefficients(weighted, by).join(n, [*by, G, T]))
+    key = [*by, *target]
+    coef = small_side(_coefficients(weighted, by, target).join(n, [*by, G, T]))
     rows = panel.select(*by, G, T, Y, cluster, unit)
-    s = rows.join(coef, [*by, G, T]).groupBy(*by, "time", cluster).agg(
+    s = rows.join(coef, [*by, G, T]).groupBy(*key, cluster).agg(
         F.sum(F.col("coef") / F.col("__n") * (F.col(Y) - F.col("ybar")))
         .alias("score"))
     if not random_weights:
         return s
-    est = aggregate(weighted, by).select(*by, "time", F.col("estimate").alias("__th"))
-    tot = weighted.groupBy(*by, "time").agg(F.sum("n_gt").alias("__k"))
-    part = small_side(weighted.join(est, [*by, "time"]).join(tot, [*by, "time"]).groupBy(
-        *by, "time", G).agg(F.sum(
+    est = aggregate(weighted, by, target).select(*key, F.col("estimate").alias("__th"))
+    tot = weighted.groupBy(*key).agg(F.sum("n_gt").alias("__k"))
+    part = small_side(weighted.join(est, key).join(tot, key).groupBy(
+        *key, G).agg(F.sum(
             (F.col("att") - F.col("__th")) / F.col("__k")).alias("__wif")))
     who = panel.where(F.col(G) > 0).select(*by, G, cluster, unit).distinct()
-    extra = who.join(part, [*by, G]).select(*by, "time", cluster,
-                                            F.col("__wif").alias("score"))
-    return s.unionByName(extra).groupBy(*by, "time", cluster).agg(
+    extra = who.join(part, [*by, G]).select(*key, cluster, F.col("__wif").alias("score"))
+    return s.unionByName(extra).groupBy(*key, cluster).agg(
         F.sum("score").alias("score"))
 
 
-def clustered_se(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+def clustered_se(scores: DataFrame, by: Sequence[str],
+                 target: Sequence[str] = ("time",)) -> DataFrame:
     """Pair-clustered standard error per target, without small-sample factors."""
-    return scores.groupBy(*by, "time").agg(
+    return scores.groupBy(*by, *target).agg(
         F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("std_error"),
         F.count(F.lit(1)).alias("n_clusters"))
 
@@ -235,17 +241,35 @@ def tidy(est: DataFrame, crit: Column | None = None) -> DataFrame:
     return out.withColumn("p_value", two_sided_p("statistic"))
 
 
-def estimate(panel: DataFrame, by: Sequence[str], estimator: str, kind: str,
-             cluster: str = "pair_id") -> DataFrame:
-    """Targets of one estimator with clustered errors, every cell in one job."""
+def estimate(panel: DataFrame, by: Sequence[str], estimator: str,
+             kind: str | Sequence[str], cluster: str = "pair_id", draws: int = 0,
+             seed: int = 1) -> DataFrame:
+    """Targets of one estimator with clustered errors, every cell in one job.
+
+    Several kinds share the cell means, one coefficient table and one pass for the
+    pair scores. With ``draws`` the intervals are simultaneous over the targets of a
+    cell and kind, from that many signed sums of the scores.
+    """
+    kinds = [kind] if isinstance(kind, str) else list(kind)
+    by, target = list(by), ["aggregation", "time"]
     base = "varying" if estimator == "attgt" else "fixed"
     means = cell_means(panel, by)
     att = group_time(means, by, base)
-    w = target_weights(att, by, kind)
-    agg = aggregate(w, by)
-    s = pair_scores(panel, means, w, by, cluster, random_weights=estimator == "attgt")
-    return tidy(agg.join(clustered_se(s, by), [*by, "time"], "left")).withColumn(
-        "estimator", F.lit(estimator)).withColumn("aggregation", F.lit(kind))
+    w = reduce(DataFrame.unionByName, [
+        target_weights(att, by, k).withColumn("aggregation", F.lit(k)) for k in kinds])
+    s = pair_scores(panel, means, w, by, cluster, random_weights=estimator == "attgt",
+                    target=target)
+    if draws:
+        s = cut_lineage(s)
+    est = aggregate(w, by, target).join(clustered_se(s, by, target), [*by, *target], "left")
+    crit = None
+    if draws:
+        cell = [*by, "aggregation"]
+        bands = simultaneous_bands(bootstrap_draws(s, cell, draws, seed, cluster), cell)
+        est = est.join(bands.select(*cell, "time", F.col("crit_val").alias("__crit")),
+                       [*cell, "time"], "left")
+        crit = F.col("__crit")
+    return tidy(est, crit).drop("__crit").withColumn("estimator", F.lit(estimator))
 
 
 def pretrend_summary(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -259,18 +283,23 @@ def pretrend_summary(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def cell_status(panel: DataFrame, by: Sequence[str], min_treated: int,
-                unit: str = "unit_id") -> DataFrame:
-    """ok or the reason a cell is skipped, from counts of its units."""
+                unit: str = "unit_id", expected: DataFrame | None = None) -> DataFrame:
+    """ok or the reason a cell is skipped, from counts of its units.
+
+    ``expected`` lists the cells of the run grid; those without a row in the panel
+    get their row here too.
+    """
     t = F.col(G) > 0
     c = panel.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct(F.when(t, F.col(unit))).alias("n_treated"),
         F.count_distinct(F.when(F.col(G) == 0, F.col(unit))).alias("n_never"))
-    reason = (F.when(F.col("n_rows") == 0, "no rows after balancing")
-              .when(F.col("n_treated") == 0, "no treated units after the cohort filter")
-              .when(F.col("n_never") == 0, "no never-treated units in this cell")
-              .when(F.col("n_treated") < min_treated, F.concat(
-                  F.lit("treated units "), F.col("n_treated").cast("string"),
-                  F.lit(f" below floor {min_treated}"))))
+    if expected is not None:
+        c = null_safe_join(expected.select(*by).distinct(), c, list(by), "left").fillna(
+            0, ["n_rows", "n_treated", "n_never"])
+    reason = (F.when(F.col("n_rows") == 0, "no_rows")
+              .when(F.col("n_treated") == 0, "no_treated")
+              .when(F.col("n_never") == 0, "no_never")
+              .when(F.col("n_treated") < min_treated, "below_floor"))
     return c.withColumn("status", F.when(reason.isNull(), "ok").otherwise("skipped")
                         ).withColumn("reason", reason)

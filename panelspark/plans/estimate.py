@@ -43,15 +43,16 @@ def estimation_rows(panel: DataFrame, by: Sequence[str], transform: Column,
 
 
 def estimate_all(panel: DataFrame, by: Sequence[str], transform: str,
-                 base_shift: int = 0) -> DataFrame:
-    """Both estimators: event and calendar targets of every cell."""
+                 base_shift: int = 0, draws: int = 0,
+                 kinds: Sequence[str] = ("event", "calendar", "simple")) -> DataFrame:
+    """Both estimators, all targets of every cell; one pass of scores per estimator.
+
+    ``draws`` gives the varying-base estimator simultaneous bands.
+    """
     tf = F.lit(transform)
     # each table is read by three aggregations twice over: written once
     un = cut_lineage(estimation_rows(panel, by, tf, base_shift))
     bal = cut_lineage(estimation_rows(panel, by, tf, base_shift, balanced=True))
-    out = None
-    for est, rows in (("etwfe", un), ("attgt", bal)):
-        for kind in ("event", "calendar", "simple"):
-            one = did.estimate(rows, by, est, kind)
-            out = one if out is None else out.unionByName(one)
+    out = did.estimate(un, by, "etwfe", kinds).unionByName(
+        did.estimate(bal, by, "attgt", kinds, draws=draws))
     return out.withColumn("transform", tf)

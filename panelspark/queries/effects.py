@@ -212,7 +212,44 @@ def bootstrap_bands(spark, sf):
 @query("cell_status", ROWS + """, c AS (SELECT lulc, count(*) AS n_rows, count(DISTINCT CASE
     WHEN gvar > 0 THEN unit_id END) AS n_treated, count(DISTINCT CASE WHEN gvar = 0 THEN unit_id
     END) AS n_never FROM r GROUP BY lulc) SELECT *, CASE WHEN n_treated < 142 THEN 'skipped'
-    ELSE 'ok' END AS status, CASE WHEN n_treated < 142 THEN 'treated units ' || n_treated
-    || ' below floor 142' END AS reason FROM c""")
+    ELSE 'ok' END AS status, CASE WHEN n_treated < 142 THEN 'below_floor' END AS reason FROM c""")
 def cell_status(spark, sf):
     return did.cell_status(rows(spark, sf), ["lulc"], 142)
+
+
+# the run grid is every segment and cohort year; a cell keeps the rows of one cohort
+@query("cell_status_grid", ROWS + """, g AS (SELECT lulc, CAST(z AS INTEGER) AS z FROM (SELECT
+    DISTINCT lulc FROM units0), range(1994, 2002) t(z)), p AS (SELECT lulc, gvar AS z, unit_id,
+    gvar FROM r WHERE gvar > 0), c AS (SELECT g.lulc, g.z, count(unit_id) AS n_rows,
+    count(DISTINCT unit_id) AS n_treated, CAST(0 AS BIGINT) AS n_never FROM g LEFT JOIN p
+    ON p.lulc = g.lulc AND p.z = g.z GROUP BY ALL) SELECT *, 'skipped' AS status,
+    CASE WHEN n_rows = 0 THEN 'no_rows' ELSE 'no_never' END AS reason FROM c""".replace(
+    "units0", "(SELECT c_mktsegment AS lulc FROM customer)"))
+def cell_status_grid(spark, sf):
+    from panelspark.queries.base import table
+
+    seg = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("lulc")).distinct()
+    grid = seg.withColumn("z", F.explode(F.sequence(F.lit(1994), F.lit(2001))))
+    d = rows(spark, sf).where("gvar > 0").withColumn("z", F.col("gvar"))
+    return did.cell_status(d, ["lulc", "z"], 1, expected=grid)
+
+
+@query("estimate_kinds", ROWS + """, fk AS (SELECT 'event' AS kind, e AS time, * FROM fx UNION ALL
+    SELECT 'calendar', year, * FROM fx WHERE e >= 0 UNION ALL SELECT 'simple', 0, * FROM fx
+    WHERE e >= 0), w AS (SELECT *, n_gt / sum(n_gt) OVER (PARTITION BY lulc, kind, time) AS w
+    FROM fk), k AS (SELECT lulc, kind, time, gvar, year, w AS c FROM w UNION ALL
+      SELECT lulc, kind, time, gvar, base_year, -w FROM w UNION ALL
+      SELECT lulc, kind, time, 0, year, -w FROM w UNION ALL
+      SELECT lulc, kind, time, 0, base_year, w FROM w),
+    kc AS (SELECT lulc, kind, time, gvar, year, sum(c) AS c FROM k GROUP BY ALL),
+    sc AS (SELECT r.lulc, kind, time, pair_id, sum(c / n * (y - m)) AS s FROM r JOIN cm
+      USING (lulc, gvar, year) JOIN kc USING (lulc, gvar, year) GROUP BY ALL),
+    se AS (SELECT lulc, kind, time, sqrt(sum(s * s)) AS se FROM sc GROUP BY ALL),
+    es AS (SELECT lulc, kind, time, sum(att * w) AS est FROM w GROUP BY ALL)
+    SELECT lulc, kind AS aggregation, CAST(time AS INTEGER) AS time, round(est, 6) AS estimate,
+    round(se, 6) AS std_error FROM es JOIN se USING (lulc, kind, time)""")
+def estimate_kinds(spark, sf):
+    """Event, calendar and simple targets from one pass of scores."""
+    d = did.estimate(rows(spark, sf), ["lulc"], "etwfe", ("event", "calendar", "simple"))
+    return _r(d.select("lulc", "aggregation", "time", "estimate", "std_error"), "estimate",
+              "std_error")

@@ -96,6 +96,12 @@ def test_all_targets_in_one_job(spark):
     r = estimate_all(spark.createDataFrame(pdf), ["cell"], "none", base_shift=1).toPandas()
     assert set(r.estimator) == {"etwfe", "attgt"} and set(r.cell) == {"a", "b"}
     assert set(r.aggregation) == {"event", "calendar", "simple"} and r.estimate.notna().all()
+    b = estimate_all(spark.createDataFrame(pdf), ["cell"], "none", base_shift=1, draws=400).toPandas()
+    key = ["estimator", "cell", "aggregation", "time"]
+    j = r.merge(b, on=key, suffixes=("", "_b"))
+    assert len(j) == len(r) and np.allclose(j.estimate, j.estimate_b)
+    wide = j[(j.estimator == "attgt") & (j.aggregation == "event")]
+    assert (wide.crit_val_b > 1.96).all() and (j[j.estimator == "etwfe"].crit_val_b < 1.97).all()
 
 
 def cap(spark, n, k=None, r=None, e0=-2):
