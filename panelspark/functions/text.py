@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from panelspark.functions.numeric import lookup
+
 MISSING = "<MISSING>"
 
 
@@ -32,6 +36,13 @@ def pad_code(value: Column, width: int = 2) -> Column:
     return F.lpad(digits.cast("string"), width, "0")
 
 
+def zone_label(code: Column, labels: Mapping[str, str], whole: str = "Statewide") -> Column:
+    """Display name of a zone code; the empty or missing code is the whole area, a code
+    that is not shown is null."""
+    return F.when(F.coalesce(code, F.lit("")) == "", F.lit(whole)).otherwise(
+        lookup(code, labels))
+
+
 def code_prefix(value: Column, width: int = 8) -> Column:
     """Leading characters of a code; shorter codes give null."""
     text = F.trim(value.cast("string"))

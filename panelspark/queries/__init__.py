@@ -2,7 +2,7 @@
 
 from panelspark.queries import (cleaning, detection, effects, history,  # noqa: F401
                                 joins, loads, matching, panels, quality, results,
-                                spatial)
+                                spatial, stores)
 from panelspark.queries.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

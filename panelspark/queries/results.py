@@ -103,6 +103,25 @@ def cap_sweep(spark, sf):
     return S.sweep_summary(d, ["outcome"], "cap").drop("n_bind_cohorts")
 
 
+@query("cap_sweep_cohorts", CAP + """, st AS (SELECT *, unnest([1.0, 3.0, 5.0])::DOUBLE AS setting
+    FROM cw)""" + _cap_sql("20", "setting", "0.3", frm="st", key="setting, lulc, outcome")
+    + """SELECT setting, outcome, count(*) AS n_cells, count(cap) AS n_capped, min(cap) AS cap_min,
+    median(cap) AS cap_med, max(cap) AS cap_max FROM cap GROUP BY setting, outcome""")
+def cap_sweep_cohorts(spark, sf):
+    d = S.cap_sweep(cap_rows(spark, sf), CELL, "cohorts", [1.0, 3.0, 5.0], 20, 3, 0.3)
+    return S.sweep_summary(d, ["outcome"], "cap").drop("n_bind_cohorts")
+
+
+@query("cap_sweep_width", CAP + """, st AS (SELECT *, unnest([1.2, 1.6, 2.0])::DOUBLE AS setting
+    FROM cw)""" + _cap_sql("20", "3", "0.3", "setting", frm="st", key="setting, lulc, outcome")
+    + """SELECT setting, outcome, count(*) AS n_cells, count(cap_ci) AS n_capped,
+    min(cap_ci) AS cap_min, median(cap_ci) AS cap_med, max(cap_ci) AS cap_max FROM cap
+    GROUP BY setting, outcome""")
+def cap_sweep_width(spark, sf):
+    d = S.cap_sweep(cap_rows(spark, sf), CELL, "width", [1.2, 1.6, 2.0], 20, 3, 0.3)
+    return S.sweep_summary(d, ["outcome"], "cap_ci").drop("n_bind_cohorts")
+
+
 @query("shared_caps", CAP + _cap_sql("20", "3", "0.3") + """SELECT lulc, outcome,
     min(cap) OVER (PARTITION BY lulc) AS cap_use, max(cap_lo) OVER (PARTITION BY lulc)
     AS cap_lo_use, min(cap_ci) OVER (PARTITION BY lulc) AS cap_ci_use FROM cap""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from panelspark.functions.text import pad_code, year_from_path
+from panelspark.operators.core import require
 
 
 def read_columns(spark: SparkSession, path: str,
@@ -133,7 +134,16 @@ def layer_index(files: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def layer_registry(parts: Mapping[str, DataFrame]) -> DataFrame:
-    """Union of the layer registries with a count that must be one per name."""
+    """Union of the layer registries; the job fails on a name that occurs twice.
+
+    :func:`layer_name_counts` reports the names instead.
+    """
+    return require(layer_name_counts(parts), F.col("n_entries") > 1,
+                   "layer names must be unique across registries")
+
+
+def layer_name_counts(parts: Mapping[str, DataFrame]) -> DataFrame:
+    """Union of the layer registries with the number of entries of each name."""
     stacked = stack_files([d.withColumn("store", F.lit(s))
                            for s, d in parts.items()])
     dup = stacked.groupBy("layer").agg(F.count(F.lit(1)).alias("n_entries"))

@@ -143,3 +143,11 @@ def test_emptied_cells_keep_null_groups(spark):
     a = spark.createDataFrame([(None, 1), (None, 2), ("g", 1)], "g string, c int")
     got = spatial.cells_emptied(a, a.where("c = 1"), ["g"], ["c"]).collect()
     assert [(r.g, r.n_emptied) for r in got] == [(None, 1)]
+
+
+def test_registry_refuses_repeated_names(spark):
+    from panelspark.sources import scans
+    a = spark.createDataFrame([("x",), ("y",)], "layer string")
+    assert scans.layer_registry({"a": a.where("layer = 'x'"), "b": a.where("layer = 'y'")}).count() == 2
+    with pytest.raises(Exception, match="unique"):
+        scans.layer_registry({"a": a, "b": a.where("layer = 'y'")}).collect()
