@@ -122,12 +122,14 @@ def add_bearing(df: DataFrame, aspect: str = "aspect") -> DataFrame:
 
 def covariate_table(grid: DataFrame, statics: Mapping[str, DataFrame],
                     zones: Mapping[str, DataFrame],
-                    zone_width: Mapping[str, int]) -> DataFrame:
+                    zone_width: Mapping[str, int],
+                    ranges: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
     """Grid cells with one column per static layer, gates included.
 
     Long inputs are pivoted by one aggregation instead of one join per layer:
-    every layer is tagged, stacked and reduced by cell. A duplicated id or a
-    code of the wrong width fails the job.
+    every layer is tagged, stacked and reduced by cell. A duplicated id, of a layer or
+    of the grid, a code of the wrong width or a value outside its entry in ``ranges``
+    fails the job, so the table has the rows of the grid or none.
     """
     parts = [d.select("pixel_id", F.lit(n).alias("__layer"),
                       F.col("value").cast("double").alias("__num"),
@@ -155,7 +157,12 @@ def covariate_table(grid: DataFrame, statics: Mapping[str, DataFrame],
         wide = require(wide, F.coalesce(F.length(n) != w, F.lit(False)),
                        f"ragged code width in {n}")
     wide = wide.drop(*[f"__n_{n}" for n in [*statics, *zones]])
-    return grid.join(wide, "pixel_id", "left")
+    for n, (low, high) in (ranges or {}).items():
+        wide = require(wide, F.coalesce(~F.col(n).between(low, high), F.lit(False)),
+                       f"{n} outside its range")
+    once = require(grid.groupBy("pixel_id").agg(F.count(F.lit(1)).alias("__n")),
+                   F.col("__n") > 1, "duplicate id in the grid").select("pixel_id")
+    return grid.join(once, "pixel_id").join(wide, "pixel_id", "left")
 
 
 def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:

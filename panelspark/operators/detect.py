@@ -192,6 +192,41 @@ def separation(events: DataFrame, level: str, value: str,
         F.when(both > 0, F.round(2 * F.col("__u") / both - 1, 3)).alias("delta"))
 
 
+def separation_table(events: DataFrame, level: str, value: str,
+                     contrasts: Sequence[tuple[str, str]], stratum: str, threshold: float,
+                     detected: Column) -> DataFrame:
+    """Separation of the levels over each stratum and all of them (``pooled``).
+
+    Beside the delta of all events that of the detected ones, with the counts it rests
+    on, and the difference of the shares above ``threshold`` in percent points. The
+    events are copied twice at most, then counted per distinct value.
+    """
+    d = events.where(F.col(value).isNotNull()).select(
+        F.explode(F.array_distinct(F.array(F.lit("pooled"), F.col(stratum).cast("string"))))
+        .alias("stratum"), level, value, F.coalesce(detected, F.lit(False)).alias("__det"))
+    key = ["stratum", "contrast"]
+    every = separation(d, level, value, contrasts, ["stratum"]).withColumnRenamed(
+        "delta", "delta_uncond")
+    det = separation(d.where("__det"), level, value, contrasts, ["stratum"]).select(
+        *key, F.col("n_hi").alias("n_det_hi"), F.col("n_lo").alias("n_det_lo"),
+        F.col("delta").alias("delta_detected"))
+    rate = d.groupBy("stratum", level).agg(
+        F.avg((F.col(value) > threshold).cast("double")).alias("__r"))
+    con = registry(events.sparkSession, ["contrast", "__hi", "__lo"],
+                   [(f"{hi} vs {lo}", hi, lo) for hi, lo in contrasts])
+    hi = rate.select("stratum", F.col(level).alias("__hi"), F.col("__r").alias("__rh"))
+    lo = rate.select("stratum", F.col(level).alias("__lo"), F.col("__r").alias("__rl"))
+    out = (null_safe_join(every, det, key, "left").join(con, "contrast"))
+    out = null_safe_join(out, hi, ["stratum", "__hi"], "left")
+    out = null_safe_join(out, lo, ["stratum", "__lo"], "left")
+    zero = F.lit(0).cast("long")
+    return out.select(
+        *key, "n_hi", "n_lo", F.coalesce("n_det_hi", zero).alias("n_det_hi"),
+        F.coalesce("n_det_lo", zero).alias("n_det_lo"),
+        F.round(100 * (F.col("__rh") - F.col("__rl")), 2).alias("detect_rate_diff_pp"),
+        "tie_frac", "delta_uncond", "delta_detected")
+
+
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rank correlation, ties averaged.
 

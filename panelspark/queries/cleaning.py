@@ -195,7 +195,8 @@ def covariate_table(spark, sf):
         {"n_orders": o.select("pixel_id", F.col("n").alias("value")),
          "max_price": o.select("pixel_id", F.col("mx").alias("value")),
          "balance": u.select("pixel_id", F.col("x1").alias("value"))},
-        {"zone": u.select("pixel_id", F.col("zone").alias("value"))}, {"zone": 2})
+        {"zone": u.select("pixel_id", F.col("zone").alias("value"))}, {"zone": 2},
+        {"n_orders": (1, 1e9), "balance": (-1e5, 1e5)})
     return t.select("pixel_id", "lulc", "n_orders", F.round("max_price", 4).alias("max_price"),
                     F.round("balance", 4).alias("balance"), "zone")
 

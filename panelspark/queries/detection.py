@@ -157,6 +157,29 @@ def cliffs_delta(spark, sf):
                         [("F4", "F3"), ("F4", "Fu")], ["layer"])
 
 
+@query("separation_table", ATTACH + """, c AS (SELECT * FROM (VALUES ('F4 vs F3', 'F4', 'F3'),
+    ('F4 vs Fu', 'F4', 'Fu')) v(contrast, hi, lo)), b AS (SELECT stratum, contrast,
+    CAST(token = hi AS INTEGER) AS side, v, unnest(CASE WHEN v > 0 THEN [0, 1] ELSE [0] END) AS d
+    FROM (SELECT unnest(['pooled', layer]) AS stratum, token, treefrac_loss AS v FROM ev) JOIN c
+    ON token IN (hi, lo)), r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY stratum,
+    contrast, d, v) - 1) / 2.0 AS rk FROM b WINDOW w AS (PARTITION BY stratum, contrast, d
+    ORDER BY v)), g AS (SELECT stratum, contrast, d, CAST(sum(side) AS BIGINT) AS nh,
+    CAST(sum(1 - side) AS BIGINT) AS nl, avg(CASE WHEN v = 0 THEN 1.0 ELSE 0 END) AS z,
+    sum(CASE WHEN side = 1 THEN rk END) AS sr, avg(CASE WHEN side = 1 THEN CAST(v > 0.05 AS DOUBLE)
+    END) AS rh, avg(CASE WHEN side = 0 THEN CAST(v > 0.05 AS DOUBLE) END) AS rl FROM r GROUP BY ALL),
+    t AS (SELECT *, CASE WHEN nh > 0 AND nl > 0 THEN round(2 * (sr - nh * (nh + 1) / 2.0)
+      / (CAST(nh AS DOUBLE) * nl) - 1, 3) END AS delta FROM g)
+    SELECT a.stratum, a.contrast, a.nh AS n_hi, a.nl AS n_lo, coalesce(b.nh, 0) AS n_det_hi,
+    coalesce(b.nl, 0) AS n_det_lo, round(100 * (a.rh - a.rl), 2) AS detect_rate_diff_pp,
+    round(a.z, 3) AS tie_frac, a.delta AS delta_uncond, b.delta AS delta_detected FROM t a
+    LEFT JOIN t b ON a.stratum = b.stratum AND a.contrast = b.contrast AND b.d = 1
+    WHERE a.d = 0""")
+def separation_table(spark, sf):
+    return D.separation_table(attached(spark, sf), "token", "treefrac_loss",
+                              [("F4", "F3"), ("F4", "Fu")], "layer", 0.05,
+                              F.col("treefrac_loss") > 0)
+
+
 @query("spearman", """WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag
     ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0
     AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER

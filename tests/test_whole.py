@@ -151,3 +151,13 @@ def test_registry_refuses_repeated_names(spark):
     assert scans.layer_registry({"a": a.where("layer = 'x'"), "b": a.where("layer = 'y'")}).count() == 2
     with pytest.raises(Exception, match="unique"):
         scans.layer_registry({"a": a, "b": a.where("layer = 'y'")}).collect()
+
+
+def test_covariate_gates(spark):
+    grid = spark.createDataFrame([(1, "a"), (2, "b")], "pixel_id long, lulc string")
+    v = spark.createDataFrame([(1, 0.5), (2, 1.5)], "pixel_id long, value double")
+    assert cleaning.covariate_table(grid, {"north": v}, {}, {}, {"north": (-2, 2)}).count() == 2
+    with pytest.raises(Exception, match="outside its range"):
+        cleaning.covariate_table(grid, {"north": v}, {}, {}, {"north": (-1, 1)}).collect()
+    with pytest.raises(Exception, match="duplicate id in the grid"):
+        cleaning.covariate_table(grid.union(grid.where("pixel_id = 1")), {"north": v}, {}, {}).collect()
