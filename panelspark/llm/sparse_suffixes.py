@@ -23,7 +23,7 @@ from panelspark.llm.shared import write_stage
 
 MIN_WORDS = 50
 WINDOW = 31
-CROWD = 50_000  # suffixes with one head that one task takes; others are counted by passage
+CROWD = 200_000  # suffixes with one head that one task takes; others are counted by passage
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
 
