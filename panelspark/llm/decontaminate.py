@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.hashing import WordHasher
 from panelspark.llm.shared import write_stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 15  # a similarity of 0.8 turns about eight bits of an item of thirty words
 CHUNK_WORDS = 4096
-MEMO = 500_000
 ITEM_BYTES = 16 << 20  # item text that one pass sends to the executors
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,25 +44,6 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return low / max(1, sum(a.values()) + sum(b.values()) - low)
 
 
-class _Hasher:
-    """64-bit hashes of words, kept for the words met lately."""
-
-    def __init__(self):
-        self.memo: dict[bytes, int] = {}
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        memo, digest = self.memo, xxhash.xxh64_intdigest
-        if len(memo) > MEMO:
-            memo.clear()
-        out = []
-        for w in words:
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = digest(w, 7)
-            out.append(h)
-        return np.array(out, np.uint64)
-
-
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     out = np.zeros(max(n, 0), np.uint64)
@@ -124,7 +105,7 @@ class Bench:
 
     def __init__(self, items: list[tuple], shingle: int, similarity: float, radius: int):
         self.shingle, self.similarity, self.radius = shingle, similarity, radius
-        self.hasher, self.space = _Hasher(), {}
+        self.hasher, self.space = WordHasher(), {}
         sizes: dict[int, list] = {}
         for item_id, text in items:
             words = split_words(text)
@@ -136,7 +117,7 @@ class Bench:
             m = base - k + 1
             for start in range(0, len(own), GROUP):
                 part = own[start:start + GROUP]
-                grams = [shingle_hashes(self.hasher.words(w), k) for _, w in part]
+                grams = [shingle_hashes(self.hasher(w), k) for _, w in part]
                 first, whole = (np.concatenate([
                     _prints(_running(g, np.int64), n or len(g), 1) for g in grams]) for n in (m, 0))
                 self.sizes.append((
@@ -157,7 +138,7 @@ class Bench:
         ends = np.cumsum(lengths)
         owner = np.repeat(np.arange(len(group)), lengths)
         room = ends[owner] - np.arange(len(words))  # words to the end of the text
-        h = self.hasher.words(words)
+        h = self.hasher(words)
         runs: dict = {}
         for base, k, m, ids, sizes, fps, whole, tables, weights, sets in self.sizes:
             if k not in runs:
@@ -174,7 +155,8 @@ class Bench:
                 for table, b in zip(tables[1:], blocks[1:]):
                     near |= table.take(b)
                 at = np.flatnonzero(near)
-                hit, items = np.nonzero(np.bitwise_count(fp[at][:, None] ^ fps) <= self.radius)
+                close = np.bitwise_count(fp[at][:, None] ^ fps) <= self.radius
+                hit, items = np.divmod(np.flatnonzero(close), len(fps))
                 hit = at[hit]
                 fits = room[hit] >= sizes[items]
                 for i, j in zip(hit[fits].tolist(), items[fits].tolist()):

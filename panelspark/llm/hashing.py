@@ -8,24 +8,28 @@ import xxhash
 MEMO = 500_000
 
 
+class _Known(dict):
+    """Hashes by word; an unknown word is hashed and kept."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, self.seed)
+        return h
+
+
 class WordHasher:
     """64-bit hashes of words; the memory is bounded and no result depends on it."""
 
     def __init__(self, seed: int = 7):
-        self.memo: dict[bytes, int] = {}
-        self.seed = seed
+        self.known = _Known(seed)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo, digest, seed = self.memo, xxhash.xxh64_intdigest, self.seed
-        if len(memo) > MEMO:
-            memo.clear()
-        out = []
-        for w in words:
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = digest(w, seed)
-            out.append(h)
-        return np.array(out, np.uint64)
+        if len(self.known) > MEMO:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
