@@ -297,6 +297,39 @@ def exclusion_accounting(entries: DataFrame) -> DataFrame:
                  _sum(multi_t | multi_f | both).alias("n_union"))
 
 
+def exclusion_table(events: DataFrame, grid: DataFrame, eligible: Sequence[str],
+                    unclassified: Sequence[str]) -> DataFrame:
+    """The ten exclusion quantities with their shares of the grid and of the arm.
+
+    Distinct events are distinct years of a cell, a missing year being one of them, so two
+    polygons of one entry count once. Everything is a flag on one row per cell; the grid
+    enters as a count.
+    """
+    thin = F.col("arm") == "thin"
+    odd = thin & ~F.coalesce(F.col("class_value").isin(list(eligible)), F.lit(False))
+    unc = ~thin & F.coalesce(F.col("class_value").isin(list(unclassified)), F.lit(False))
+    e = events.where(F.col("arm").isin("thin", "fire")).groupBy(
+        "pixel_id", "arm", "event_year").agg(F.max(odd).alias("odd"), F.max(unc).alias("unc"))
+    c = e.groupBy("pixel_id").agg(
+        _sum(thin).alias("nt"), _sum(~thin).alias("nf"),
+        F.max(thin & F.col("event_year").isNull()).alias("undated"), F.max("odd").alias("odd"),
+        F.max("unc").alias("unc"))
+    t, f, mt, mf = (F.col("nt") > 0, F.col("nf") > 0, F.col("nt") > 1, F.col("nf") > 1)
+    sets = [("any_thin", t), ("any_fire", f), ("multi_thin", mt), ("multi_fire", mf),
+            ("both_arms", t & f), ("undated_thin", F.col("undated")),
+            ("ineligible_thin", F.col("odd")), ("unclassified_fire", F.col("unc") & ~mf),
+            ("single_event_only", mt | mf | (t & f))]
+    n = c.agg(*[_sum(v).alias(k) for k, v in sets], F.count(F.lit(1)).alias("either")).crossJoin(
+        grid.agg(F.count(F.lit(1)).alias("grid")))  # one row on both sides
+    arm = {"multi_thin": "any_thin", "multi_fire": "any_fire", "both_arms": "either"}
+    rows = [F.struct(F.lit(k).alias("quantity"), F.coalesce(k, F.lit(0)).cast("long").alias("n"),
+                     F.round(100.0 * F.col(k) / F.col("grid"), 3).alias("pct_of_grid"),
+                     (F.round(100.0 * F.col(k) / F.col(arm[k]), 2) if k in arm
+                      else F.lit(None).cast("double")).alias("pct_of_arm"))
+            for k in ["grid", *[k for k, _ in sets]]]
+    return n.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def reburn(entries: DataFrame) -> DataFrame:
     """Cells burned again, by the severity of their first fire."""
     f = entries.where(F.col("arm_id") == 2).groupBy("pixel_id").agg(

@@ -260,6 +260,30 @@ def establishment_eras(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+@query("exclusion_table", with_("frame", "units", e="""SELECT DISTINCT pixel_id, arm, event_year
+    FROM frame WHERE arm IN ('thin', 'fire')""", c="""SELECT pixel_id, count(*) FILTER (arm = 'thin')
+    AS nt, count(*) FILTER (arm = 'fire') AS nf FROM e GROUP BY pixel_id""", x="""SELECT pixel_id,
+    bool_or(arm = 'thin' AND event_year IS NULL) AS undated, bool_or(arm = 'thin' AND
+    coalesce(class_value NOT IN ('Low', 'Medium', 'High'), true)) AS odd, bool_or(arm = 'fire' AND
+    coalesce(class_value IN ('1', '5'), false)) AS unc FROM frame WHERE arm IN ('thin', 'fire')
+    GROUP BY pixel_id""", q="""SELECT unnest([{'q': 'any_thin', 'v': nt > 0}, {'q': 'any_fire',
+    'v': nf > 0}, {'q': 'multi_thin', 'v': nt > 1}, {'q': 'multi_fire', 'v': nf > 1},
+    {'q': 'both_arms', 'v': nt > 0 AND nf > 0}, {'q': 'undated_thin', 'v': undated},
+    {'q': 'ineligible_thin', 'v': odd}, {'q': 'unclassified_fire', 'v': unc AND nf <= 1},
+    {'q': 'single_event_only', 'v': nt > 1 OR nf > 1 OR (nt > 0 AND nf > 0)}]) AS s
+    FROM c JOIN x USING (pixel_id)""", g="SELECT count(*) AS n FROM units",
+    k="SELECT s.q AS q, count(*) FILTER (s.v) AS n FROM q GROUP BY s.q") + """SELECT
+    'grid' AS quantity, n, 100.0 AS pct_of_grid, NULL::DOUBLE AS pct_of_arm FROM g UNION ALL
+    SELECT k.q, k.n, round(100.0 * k.n / g.n, 3), CASE k.q
+      WHEN 'multi_thin' THEN round(100.0 * k.n / (SELECT n FROM k WHERE q = 'any_thin'), 2)
+      WHEN 'multi_fire' THEN round(100.0 * k.n / (SELECT n FROM k WHERE q = 'any_fire'), 2)
+      WHEN 'both_arms' THEN round(100.0 * k.n / (SELECT count(*) FROM c), 2) END FROM k, g""")
+def exclusion_table(spark, sf):
+    from panelspark.operators.quality import exclusion_table as op
+
+    return op(event_frame(spark, sf), units(spark, sf), ["Low", "Medium", "High"], ["1", "5"])
+
+
 @query("exclusion_accounting", with_("merged", c=f"""SELECT pixel_id,
     {n_if("arm_id = 1")} AS nt, {n_if("arm_id = 2")} AS nf FROM merged GROUP BY pixel_id""")
     + f"""SELECT count(*) AS n_cells, {n_if("nt > 1")} AS n_multi_thin,
