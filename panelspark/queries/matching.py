@@ -314,7 +314,45 @@ def _matched(spark, sf, config, **kw):
     return d, match_config(d, "win_key", ["lulc"], X, config, **kw)
 
 
-@query("nearest_match")
+# one treated unit after the other takes the nearest control still free; distances by the
+# inverse of the pooled within-side covariance, written out for three covariates
+ONE_BY_ONE = LEVELS.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT o_custkey AS pixel_id,
+    avg(o_totalprice) AS x2, CAST(count(*) AS DOUBLE) AS x3 FROM orders GROUP BY 1),
+    x AS (SELECT win_key, lulc, treat, lv.pixel_id, x1, x2, x3 FROM lv JOIN o USING (pixel_id)
+      WHERE x1 IS NOT NULL),
+    m AS (SELECT win_key, treat, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM x GROUP BY ALL),
+    s AS (SELECT x.win_key, count(*) - count(DISTINCT x.treat) AS f, sum((x1 - m1) ** 2) / f AS a,
+      sum((x1 - m1) * (x2 - m2)) / f AS b, sum((x1 - m1) * (x3 - m3)) / f AS c,
+      sum((x2 - m2) ** 2) / f AS e, sum((x2 - m2) * (x3 - m3)) / f AS g,
+      sum((x3 - m3) ** 2) / f AS h FROM x JOIN m ON x.win_key = m.win_key AND x.treat = m.treat
+      GROUP BY x.win_key),
+    i AS (SELECT win_key, a * (e * h - g * g) - b * (b * h - g * c) + c * (b * g - e * c) AS det,
+      (e * h - g * g) / det AS i11, (c * g - b * h) / det AS i12, (b * g - c * e) / det AS i13,
+      (a * h - c * c) / det AS i22, (b * c - a * g) / det AS i23, (a * e - b * b) / det AS i33
+      FROM s),
+    tr AS (SELECT *, row_number() OVER (PARTITION BY win_key, lulc ORDER BY pixel_id) AS k FROM x
+      WHERE treat = 1),
+    cand AS (SELECT tr.win_key, tr.lulc, tr.k, tr.pixel_id AS tid, u.pixel_id AS cid,
+      sqrt(i11 * (tr.x1 - u.x1) ** 2 + i22 * (tr.x2 - u.x2) ** 2 + i33 * (tr.x3 - u.x3) ** 2
+        + 2 * (i12 * (tr.x1 - u.x1) * (tr.x2 - u.x2) + i13 * (tr.x1 - u.x1) * (tr.x3 - u.x3)
+        + i23 * (tr.x2 - u.x2) * (tr.x3 - u.x3))) AS d,
+      (tr.pixel_id % 1000003 * 7919 + u.pixel_id % 1000003 * 104729) % 1000003 AS mix
+      FROM tr JOIN x u ON u.win_key = tr.win_key AND u.lulc = tr.lulc AND u.treat = 0
+      JOIN i ON i.win_key = tr.win_key),
+    walk AS (SELECT DISTINCT win_key, lulc, 0::BIGINT AS k, []::BIGINT[] AS used,
+        []::STRUCT(tid BIGINT, cid BIGINT, d DOUBLE)[] AS pairs FROM cand
+      UNION ALL SELECT w.win_key, w.lulc, w.k + 1, list_append(any_value(w.used),
+        arg_min(c.cid, (c.d, c.mix, c.cid))), list_append(any_value(w.pairs),
+        arg_min({'tid': c.tid, 'cid': c.cid, 'd': c.d}, (c.d, c.mix, c.cid)))
+      FROM walk w JOIN cand c ON c.win_key = w.win_key AND c.lulc = w.lulc AND c.k = w.k + 1
+        AND NOT list_contains(w.used, c.cid) GROUP BY w.win_key, w.lulc, w.k),
+    p AS (SELECT win_key, lulc, unnest(pairs) AS p FROM (SELECT win_key, lulc,
+      arg_max(pairs, k) AS pairs FROM walk GROUP BY ALL)) """
+
+
+@query("nearest_match", ONE_BY_ONE + """SELECT win_key, lulc, win_key || ':' || p.tid AS subclass,
+    unnest([1, 0])::INTEGER AS treat, unnest([p.tid, p.cid]) AS pixel_id,
+    round(p.d, 6) AS distance FROM p""")
 def nearest_match(spark, sf):
     _d, m = _matched(spark, sf, "mahal_nocal")
     return m.select("win_key", "lulc", "subclass", "treat", "pixel_id",
