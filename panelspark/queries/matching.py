@@ -316,16 +316,29 @@ def _matched(spark, sf, config, **kw):
 
 # one treated unit after the other takes the nearest control still free; distances by the
 # inverse of the pooled within-side covariance, written out for three covariates
-ONE_BY_ONE = LEVELS.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT o_custkey AS pixel_id,
+_ROWS = LEVELS.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT o_custkey AS pixel_id,
     avg(o_totalprice) AS x2, CAST(count(*) AS DOUBLE) AS x3 FROM orders GROUP BY 1),
     x AS (SELECT win_key, lulc, treat, lv.pixel_id, x1, x2, x3 FROM lv JOIN o USING (pixel_id)
-      WHERE x1 IS NOT NULL),
+      WHERE x1 IS NOT NULL),"""
+_WITHIN = """
     m AS (SELECT win_key, treat, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM x GROUP BY ALL),
     s AS (SELECT x.win_key, count(*) - count(DISTINCT x.treat) AS f, sum((x1 - m1) ** 2) / f AS a,
       sum((x1 - m1) * (x2 - m2)) / f AS b, sum((x1 - m1) * (x3 - m3)) / f AS c,
       sum((x2 - m2) ** 2) / f AS e, sum((x2 - m2) * (x3 - m3)) / f AS g,
       sum((x3 - m3) ** 2) / f AS h FROM x JOIN m ON x.win_key = m.win_key AND x.treat = m.treat
-      GROUP BY x.win_key),
+      GROUP BY x.win_key),"""
+_RANKS = """
+    x AS (SELECT win_key, lulc, treat, pixel_id, r1 AS x1, r2 AS x2, r3 AS x3 FROM (SELECT *,
+      rank() OVER w1 + (count(*) OVER (PARTITION BY win_key, x1) - 1) / 2.0 AS r1,
+      rank() OVER w2 + (count(*) OVER (PARTITION BY win_key, x2) - 1) / 2.0 AS r2,
+      rank() OVER w3 + (count(*) OVER (PARTITION BY win_key, x3) - 1) / 2.0 AS r3 FROM x0
+      WINDOW w1 AS (PARTITION BY win_key ORDER BY x1), w2 AS (PARTITION BY win_key ORDER BY x2),
+        w3 AS (PARTITION BY win_key ORDER BY x3))),
+    u AS (SELECT win_key, count(*) * (count(*) + 1) / 12.0 AS a, corr(x1, x2) * a AS b,
+      corr(x1, x3) * a AS c, a AS e, corr(x2, x3) * a AS g, a AS h,
+      0.25 * stddev_samp(x1) AS l1, 0.25 * stddev_samp(x2) AS l2, 0.25 * stddev_samp(x3) AS l3
+      FROM x GROUP BY win_key), s AS (SELECT * FROM u),"""
+_WALK = """
     i AS (SELECT win_key, a * (e * h - g * g) - b * (b * h - g * c) + c * (b * g - e * c) AS det,
       (e * h - g * g) / det AS i11, (c * g - b * h) / det AS i12, (b * g - c * e) / det AS i13,
       (a * h - c * c) / det AS i22, (b * c - a * g) / det AS i23, (a * e - b * b) / det AS i33
@@ -340,16 +353,26 @@ ONE_BY_ONE = LEVELS.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT o
       FROM tr JOIN x u ON u.win_key = tr.win_key AND u.lulc = tr.lulc AND u.treat = 0
       JOIN i ON i.win_key = tr.win_key),
     walk AS (SELECT DISTINCT win_key, lulc, 0::BIGINT AS k, []::BIGINT[] AS used,
-        []::STRUCT(tid BIGINT, cid BIGINT, d DOUBLE)[] AS pairs FROM cand
-      UNION ALL SELECT w.win_key, w.lulc, w.k + 1, list_append(any_value(w.used),
-        arg_min(c.cid, (c.d, c.mix, c.cid))), list_append(any_value(w.pairs),
-        arg_min({'tid': c.tid, 'cid': c.cid, 'd': c.d}, (c.d, c.mix, c.cid)))
-      FROM walk w JOIN cand c ON c.win_key = w.win_key AND c.lulc = w.lulc AND c.k = w.k + 1
+        []::STRUCT(tid BIGINT, cid BIGINT, d DOUBLE)[] AS pairs FROM tr
+      UNION ALL SELECT w.win_key, w.lulc, w.k + 1, CASE WHEN count(c.cid) = 0 THEN any_value(w.used)
+        ELSE list_append(any_value(w.used), arg_min(c.cid, (c.d, c.mix, c.cid))) END,
+      CASE WHEN count(c.cid) = 0 THEN any_value(w.pairs) ELSE list_append(any_value(w.pairs),
+        arg_min({'tid': c.tid, 'cid': c.cid, 'd': c.d}, (c.d, c.mix, c.cid))) END
+      FROM walk w JOIN tr ON tr.win_key = w.win_key AND tr.lulc = w.lulc AND tr.k = w.k + 1
+      LEFT JOIN cand c ON c.win_key = w.win_key AND c.lulc = w.lulc AND c.k = w.k + 1
         AND NOT list_contains(w.used, c.cid) GROUP BY w.win_key, w.lulc, w.k),
     p AS (SELECT win_key, lulc, unnest(pairs) AS p FROM (SELECT win_key, lulc,
       arg_max(pairs, k) AS pairs FROM walk GROUP BY ALL)) """
 
 
+ONE_BY_ONE = _ROWS + _WITHIN + _WALK
+IN_REACH = """ AND abs(tr.x1 - u.x1) <= q.l1 AND abs(tr.x2 - u.x2) <= q.l2
+      AND abs(tr.x3 - u.x3) <= q.l3"""
+RANKED = _ROWS.replace("    x AS (SELECT", "    x0 AS (SELECT") + _RANKS + _WALK.replace(
+    "JOIN i ON i.win_key = tr.win_key", "JOIN i ON i.win_key = tr.win_key JOIN u q ON q.win_key = "
+    "tr.win_key" + IN_REACH)
+
+
 @query("nearest_match", ONE_BY_ONE + """SELECT win_key, lulc, win_key || ':' || p.tid AS subclass,
     unnest([1, 0])::INTEGER AS treat, unnest([p.tid, p.cid]) AS pixel_id,
     round(p.d, 6) AS distance FROM p""")
@@ -366,7 +389,9 @@ def nearest_match_caliper(spark, sf):
                     F.round("distance", 6).alias("distance"))
 
 
-@query("robust_match")
+@query("robust_match", RANKED + """SELECT win_key, lulc, win_key || ':' || p.tid AS subclass,
+    unnest([1, 0])::INTEGER AS treat, unnest([p.tid, p.cid]) AS pixel_id,
+    round(p.d, 6) AS distance FROM p""")
 def robust_match(spark, sf):
     _d, m = _matched(spark, sf, "rmahal_cal025")
     return m.select("win_key", "lulc", "subclass", "treat", "pixel_id",
