@@ -16,7 +16,8 @@ HEADLINE = [
     "lag_sweep", "clean_layer", "value_profile", "pip_join", "bilinear_sample",
     "spaced_sample", "cap_sample", "balance_table", "exact_rank_match", "score_fit",
     "nearest_match", "panel_manifest", "subset_levels", "att_dynamic", "etwfe_event",
-    "etwfe_cluster_se", "event_support", "support_cap",
+    "etwfe_cluster_se", "estimate_kinds", "separation_table", "exclusion_table",
+    "event_support", "support_cap",
 ]
 
 
