@@ -192,6 +192,90 @@ def group_table_checks(c=F.col) -> dict[str, Column]:
     }
 
 
+def declared_checks(first: int, last: int, rules: Sequence[str], groups: Mapping[str, tuple],
+                    c=F.col) -> dict[str, Column]:
+    """Conditions of a group table against its registries; ``groups`` gives arm, role and
+    stratum of each group."""
+    g, e, y = c("analysis_group"), c("eligibility"), c("cohort_year")
+    assigned, role = g.isNotNull(), e.isin("treatment", "control")
+    arm = lookup(g, {k: v[0] for k, v in groups.items()})
+    stratum = lookup(g, {k: v[2] or "" for k, v in groups.items()})
+    timed = assigned & c("arm").isin("fire", "thin", "offset")
+    protected = assigned & (c("status_code") == "P") & c("arm").isin("fire", "thin")
+
+    def if_(a: Column, b: Column) -> Column:
+        return ~F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
+
+    return {
+        "class_complete": c("class_code").isNotNull(),
+        "status_complete": c("status_code").isNotNull(),
+        "eligibility_complete": e.isNotNull(),
+        "group_declared": if_(assigned, g.isin(list(groups))),
+        "eligibility_declared": if_(e.isNotNull(), e.isin(
+            [*rules, "treatment", "control", "unassigned"])),
+        "assigned_has_role": if_(assigned, role),
+        "role_has_group": if_(role, assigned),
+        "none_falls_through": if_(e.isNotNull(), e != "unassigned"),
+        "group_and_arm": if_(assigned, c("arm") == arm),
+        "group_and_stratum": if_(assigned, F.coalesce(c("stratum"), F.lit("")) == stratum),
+        "cohort_present": if_(timed, y.isNotNull()),
+        "cohort_absent": if_(assigned & c("arm").isin("pa", "control"), y.isNull()),
+        "cohort_in_window": if_(timed & y.isNotNull(), y.between(first, last)),
+        "undisturbed_without_event": if_(g.isin("UP", "UNP", "OP", "ONP"),
+                                         c("n_effective") == 0),
+        "protected_before_cohort": if_(protected & c("pa_est_year").isNotNull(),
+                                       c("pa_est_year") <= y),
+    }
+
+
+def source_checks(groups: DataFrame, grid: DataFrame, events: DataFrame,
+                  detections: DataFrame, tribal: Sequence[str], first: int) -> DataFrame:
+    """The group table against the grid, the event frame and the detections.
+
+    Every source becomes flags on one row per cell; cells that the table lacks are counted
+    by the grid check and left out of the others.
+    """
+    arm = F.col("arm")
+    src = events.groupBy("pixel_id").agg(
+        F.max(arm == "thin").alias("thin"), F.max(arm == "fire").alias("fire"),
+        F.max((arm == "offset") & F.col("event_year").isNotNull()).alias("off"),
+        F.max((arm == "tribal") | ((arm == "own") & F.coalesce(
+            F.col("class_value").isin(list(tribal)), F.lit(False)))).alias("tr"))
+    det = detections.select("pixel_id").distinct().withColumn("det", F.lit(True))
+    g = groups.groupBy("pixel_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("lulc").alias("g_lulc"),
+        F.max(F.col("n_thin") > 0).alias("g_thin"), F.max(F.col("n_fire") > 0).alias("g_fire"),
+        F.max("undated_thin").alias("g_und"), F.max(F.col("n_events") > 0).alias("g_ev"),
+        F.max(F.col("offset_start").isNotNull()).alias("g_off"),
+        F.max(F.coalesce(F.col("status_code") == "TR", F.lit(False))).alias("g_tr"),
+        F.max(F.col("n_detect") > 0).alias("g_det"), _sum(
+            (F.col("analysis_group") == "UP") & (F.col("pa_est_year") < first)).alias("early"))
+    j = (grid.select("pixel_id", F.col("lulc").alias("lulc0")).join(g, "pixel_id", "full")
+         .join(src, "pixel_id", "left").join(det, "pixel_id", "left"))
+    there = F.col("n").isNotNull()
+
+    def on(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(False))
+
+    here = {
+        "lulc_as_grid": ~F.col("g_lulc").eqNullSafe(F.col("lulc0")),
+        "thin_present": on("thin") & ~(on("g_thin") | on("g_und") | on("g_fire")),
+        "fire_present": on("fire") & ~on("g_fire"),
+        "none_invented": on("g_ev") & ~(on("thin") | on("fire")),
+        "offset_set": on("off") != on("g_off"), "tribal_set": on("tr") != on("g_tr"),
+        "detected_set": on("det") != on("g_det")}
+    n = F.coalesce(F.col("n"), F.lit(0))
+    in_grid = F.col("lulc0").isNotNull()
+    rows = {
+        "row_count": F.abs(F.sum(n) - _sum(in_grid)), "id_unique": F.sum(F.greatest(n - 1, F.lit(0))),
+        "id_set": _sum(in_grid != there), **{k: _sum(there & v) for k, v in here.items()},
+        "keeps_early_protection": (F.coalesce(F.sum("early"), F.lit(0)) == 0).cast("long")}
+    agg = j.agg(*[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in rows.items()])
+    pairs = ", ".join(f"'{k}', `{k}`" for k in rows)
+    return agg.selectExpr(f"stack({len(rows)}, {pairs}) AS (check_name, n_bad)").withColumn(
+        "ok", F.col("n_bad") == 0)
+
+
 def unit_checks(first: int, last: int, c=F.col) -> dict[str, Column]:
     """Conditions every unit row must meet."""
     t = c("treat") == 1

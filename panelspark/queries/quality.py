@@ -139,6 +139,71 @@ def group_invariants(spark, sf):
     return Q.assertions(groups(spark, sf), Q.group_table_checks())
 
 
+def _verified(spark, sf, g):
+    from panelspark import profile as P
+    from panelspark.operators.ledger import exclusion_rules
+    from panelspark.queries.base import FIRST, LAST, detections, event_frame, units
+
+    names = list(exclusion_rules(FIRST, LAST, True))
+    return Q.assertions(g, Q.declared_checks(FIRST, LAST, names, P.GROUPS)).unionByName(
+        Q.source_checks(g, units(spark, sf), event_frame(spark, sf), detections(spark, sf),
+                        ["Tribal"], FIRST))
+
+
+# counts of what breaks each rule, from the classification written in SQL
+_VERIFY = """SELECT unnest(map_entries(MAP {'class_complete': 0, 'status_complete': 0,
+    'eligibility_complete': 0, 'group_declared': 0, 'eligibility_declared': 0,
+    'assigned_has_role': 0, 'role_has_group': 0, 'none_falls_through': 0, 'group_and_arm': 0,
+    'group_and_stratum': 0, 'cohort_present': 0, 'cohort_absent': 0,
+    'cohort_in_window': (SELECT count(*) FROM k_group WHERE grp IS NOT NULL AND ne = 1
+      AND NOT yr BETWEEN 1996 AND 2000),
+    'undisturbed_without_event': (SELECT count(*) FROM k_group WHERE ne > 0
+      AND left(grp, 1) IN ('U', 'O')),
+    'protected_before_cohort': (SELECT count(*) FROM k_group WHERE status = 'P' AND ne = 1
+      AND grp IS NOT NULL AND est > yr),
+    'keeps_early_protection': (SELECT CAST(count(*) = 0 AS BIGINT) FROM k_group
+      WHERE grp = 'UP' AND est < 1996), 'none_invented': 0, 'tribal_set': 0, %s})) AS e"""
+
+
+@query("group_verifier", with_("k_group", v=_VERIFY % """'row_count': 0, 'id_unique': 0, 'id_set':
+    0, 'lulc_as_grid': 0, 'thin_present': 0, 'fire_present': 0, 'offset_set': 0,
+    'detected_set': 0""") + """SELECT e.key AS check_name, CAST(e.value AS BIGINT) AS n_bad,
+    e.value = 0 AS ok FROM v""")
+def group_verifier(spark, sf):
+    from panelspark.queries.history import groups
+
+    return _verified(spark, sf, groups(spark, sf))
+
+
+# the table damaged by cell number: lost, doubled, unclassed, moved, undetected, unset, emptied
+@query("group_verifier_damaged", with_("k_group", "frame", "detections", "units",
+    m="SELECT pixel_id % 50 AS m, pixel_id FROM units", v=(_VERIFY % """
+    'row_count': (SELECT abs(count(*) FILTER (m = 2) - count(*) FILTER (m = 1)) FROM m),
+    'id_unique': (SELECT count(*) FROM m WHERE m = 2), 'id_set': (SELECT count(*) FROM m WHERE m = 1),
+    'lulc_as_grid': (SELECT count(*) FROM m WHERE m = 4),
+    'thin_present': (SELECT count(DISTINCT pixel_id) FROM m JOIN frame USING (pixel_id)
+      WHERE m = 7 AND arm = 'thin'), 'fire_present': (SELECT count(DISTINCT pixel_id) FROM m
+      JOIN frame USING (pixel_id) WHERE m = 7 AND arm = 'fire'),
+    'offset_set': (SELECT count(DISTINCT pixel_id) FROM m JOIN frame USING (pixel_id) WHERE m = 6
+      AND arm = 'offset' AND event_year IS NOT NULL), 'detected_set': (SELECT count(DISTINCT
+      pixel_id) FROM m JOIN detections USING (pixel_id) WHERE m = 5)""").replace(
+    "'class_complete': 0", "'class_complete': (SELECT count(*) FROM m WHERE m = 3)")) + """SELECT
+    e.key AS check_name, CAST(e.value AS BIGINT) AS n_bad, e.value = 0 AS ok FROM v""")
+def group_verifier_damaged(spark, sf):
+    from panelspark.queries.history import groups
+
+    m = F.col("pixel_id") % 50
+    g = groups(spark, sf).where(m != 1)
+    g = g.withColumns({
+        "class_code": F.when(m != 3, F.col("class_code")),
+        "lulc": F.when(m == 4, "elsewhere").otherwise(F.col("lulc")),
+        "n_detect": F.when(m == 5, 0).otherwise(F.col("n_detect")),
+        "offset_start": F.when(m != 6, F.col("offset_start")),
+        **{k: F.when(m == 7, 0).otherwise(F.col(k)) for k in ("n_thin", "n_fire", "n_events")},
+        "undated_thin": (m != 7) & F.col("undated_thin")})
+    return _verified(spark, sf, g.unionByName(g.where(m == 2)))
+
+
 @query("unit_invariants", with_("matched_units", c=f"""SELECT {n_if("treat = 1 AND gvar < 1996")}
     AS b FROM matched_units""") + """SELECT check_name, CASE WHEN check_name =
     'treated_gvar_in_range' THEN b ELSE 0 END AS n_bad, NOT (check_name = 'treated_gvar_in_range'
