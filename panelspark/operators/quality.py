@@ -276,6 +276,29 @@ def source_checks(groups: DataFrame, grid: DataFrame, events: DataFrame,
         "ok", F.col("n_bad") == 0)
 
 
+def pair_structure(units: DataFrame, stratum: str, pair: str = "pair_id",
+                   cell: str = "pixel_id") -> DataFrame:
+    """Pairs must hold one treated and one control row with one stratum and one cohort.
+
+    Minima and maxima per pair tell a split value; cells treated twice are counted by
+    their surplus rows. Both tables combine before the shuffle.
+    """
+    t = F.col("treat") == 1
+    s, g = F.coalesce(F.col(stratum).cast("string"), F.lit("")), F.when(F.col("gvar") > 0, F.col("gvar"))
+    p = units.groupBy(pair).agg(F.count(F.lit(1)).alias("n"), _sum(t).alias("t"),
+                                (F.min(s) != F.max(s)).alias("s"), (F.min(g) != F.max(g)).alias("g"))
+    rows = {"pairs_not_two": _sum(F.col("n") != 2), "pairs_not_one_treated": _sum(F.col("t") != 1),
+            "pairs_split_stratum": _sum(F.col("s")),
+            "pairs_split_gvar": _sum(F.coalesce(F.col("g"), F.lit(False)))}
+    agg = p.agg(*[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in rows.items()])
+    twice = units.where(t).groupBy(cell).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_treated_cells"))
+    names = [*rows, "duplicate_treated_cells"]
+    pairs = ", ".join(f"'{k}', `{k}`" for k in names)
+    return agg.crossJoin(twice).selectExpr(  # one row on both sides
+        f"stack({len(names)}, {pairs}) AS (check_name, n_bad)").withColumn("ok", F.col("n_bad") == 0)
+
+
 def unit_checks(first: int, last: int, c=F.col) -> dict[str, Column]:
     """Conditions every unit row must meet."""
     t = c("treat") == 1

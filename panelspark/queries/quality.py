@@ -204,6 +204,39 @@ def group_verifier_damaged(spark, sf):
     return _verified(spark, sf, g.unionByName(g.where(m == 2)))
 
 
+_PAIRS = """, p AS (SELECT pair_id, count(*) AS n, sum(treat) AS t, count(DISTINCT lulc) AS s,
+    count(DISTINCT CASE WHEN gvar > 0 THEN gvar END) AS g FROM d GROUP BY pair_id),
+    v AS (SELECT unnest(map_entries(MAP {'pairs_not_two': (SELECT count(*) FROM p WHERE n <> 2),
+      'pairs_not_one_treated': (SELECT count(*) FROM p WHERE t <> 1),
+      'pairs_split_stratum': (SELECT count(*) FROM p WHERE s > 1),
+      'pairs_split_gvar': (SELECT count(*) FROM p WHERE g > 1),
+      'duplicate_treated_cells': (SELECT count(*) - count(DISTINCT pixel_id) FROM d
+        WHERE treat = 1)})) AS e) SELECT e.key AS check_name, CAST(e.value AS BIGINT) AS n_bad,
+    e.value = 0 AS ok FROM v"""
+
+
+@query("pair_structure", with_("matched_units", d="SELECT * FROM matched_units")[:-1] + _PAIRS)
+def pair_structure(spark, sf):
+    return Q.pair_structure(matched_units(spark, sf), "lulc")
+
+
+# damaged by cell number: lost, doubled, moved to another stratum, another cohort, both treated
+@query("pair_structure_damaged", with_("matched_units", d="""SELECT pair_id, pixel_id,
+    CASE WHEN pixel_id % 20 = 5 THEN 1 ELSE treat END AS treat,
+    CASE WHEN pixel_id % 20 = 3 THEN 'elsewhere' ELSE lulc END AS lulc,
+    CASE WHEN pixel_id % 20 = 4 THEN gvar + 1 WHEN pixel_id % 20 = 6 THEN 1990 ELSE gvar END AS gvar
+    FROM (SELECT * FROM matched_units UNION ALL SELECT * FROM matched_units
+      WHERE pixel_id % 20 = 2) WHERE pixel_id % 20 <> 1""")[:-1] + _PAIRS)
+def pair_structure_damaged(spark, sf):
+    u = matched_units(spark, sf)
+    m = F.col("pixel_id") % 20
+    d = u.unionByName(u.where(m == 2)).where(m != 1)
+    return Q.pair_structure(d.withColumns({
+        "treat": F.when(m == 5, 1).otherwise(F.col("treat")),
+        "lulc": F.when(m == 3, "elsewhere").otherwise(F.col("lulc")),
+        "gvar": F.when(m == 4, F.col("gvar") + 1).when(m == 6, 1990).otherwise(F.col("gvar"))}), "lulc")
+
+
 @query("unit_invariants", with_("matched_units", c=f"""SELECT {n_if("treat = 1 AND gvar < 1996")}
     AS b FROM matched_units""") + """SELECT check_name, CASE WHEN check_name =
     'treated_gvar_in_range' THEN b ELSE 0 END AS n_bad, NOT (check_name = 'treated_gvar_in_range'
