@@ -54,13 +54,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def stage_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder that the cluster names."""
+    """A fresh folder below the shared folder that the cluster names.
+
+    All of an application's folders lie in one that bears its id; what is left of them
+    may go once the application has ended.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         root = tempfile.mkdtemp(prefix="panelspark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    return f"{root.rstrip('/')}/panelspark-{app}/{name}-{uuid.uuid4().hex}"
 
 
 def ship_package(spark: SparkSession) -> None:
