@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.session import cut_lineage
+from panelspark.session import cut_lineage, stage_folder
 
-__all__ = ["cut_lineage", "fold", "read", "sha", "stage_dir", "write_stage"]
+__all__ = ["cut_lineage", "fold", "read", "sha", "stage_folder", "write_stage"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,22 +26,9 @@ def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def stage_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for files below the shared folder that the cluster names.
-
-    Only a local session without ``spark.checkpoint.dir`` may use a temporary one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="panelspark-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
 def write_stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back by column."""
     spark = df.sparkSession
-    path = stage_dir(spark, name)
+    path = stage_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import stage_dir, write_stage
+from panelspark.llm.shared import stage_folder, write_stage
 
 BLOCK_LINES = 512
 READ_BYTES = 8 << 20  # neighbouring ranges are read together up to this size
@@ -280,7 +280,7 @@ def archive_and_read(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     are revisits where another row with the payload has one. An empty table writes
     nothing and gives no rows.
     """
-    folder = folder or stage_dir(pages.sparkSession, "warc")
+    folder = folder or stage_folder(pages.sparkSession, "warc")
     kind = pages.schema[id_col].dataType
     lines = write_archives(mark_revisits(pages, id_col, url_col, html_col), folder)
     parts = write_index(lines, folder)
