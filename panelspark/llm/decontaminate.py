@@ -17,6 +17,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from panelspark.llm.hashing import WordHasher
 from panelspark.llm.shared import write_stage
@@ -25,6 +27,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 15  # a similarity of 0.8 turns about eight bits of an item of thirty words
 CHUNK_WORDS = 4096
+SLICE = 64
 ITEM_BYTES = 16 << 20  # item text that one pass sends to the executors
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -198,19 +201,27 @@ def _groups(docs: list[list[bytes]]) -> Iterator[list[int]]:
 _MADE: dict[int, Bench] = {}  # of the last broadcast met by a worker
 
 
-def _leaks(text: Column, sent, key: int, conf: tuple) -> Column:
-    kind = pa.list_(pa.struct([("item", pa.int64()), ("similarity", pa.float64()),
-                               ("start", pa.int64()), ("n_words", pa.int64())]))
+def _leaks(text: Column, sent, key: int, conf: tuple, item_type: DataType) -> Column:
+    """Hits of one broadcast list of (item text, its ids)."""
+    item = pa.struct([("item_id", to_arrow_type(item_type)), ("similarity", pa.float64()),
+                      ("start", pa.int64()), ("n_words", pa.int64())])
 
     def run(texts: pa.Array) -> pa.Array:
         if key not in _MADE:
             _MADE.clear()
-            _MADE[key] = Bench(list(enumerate(sent.value)), *conf)
-        found = _MADE[key].scan([split_words(t.as_py()) for t in texts])
-        return pa.array([[{"item": i, "similarity": s, "start": a, "n_words": n}
-                          for i, (s, a, n) in sorted(best.items())] for best in found], kind)
-    return F.arrow_udf(run, "array<struct<item:long,similarity:double,start:long,n_words:long>>"
-                       ).asNondeterministic()(text)
+            _MADE[key] = Bench([(i, t) for i, (t, _) in enumerate(sent.value)], *conf)
+        found: list[dict] = []
+        for start in range(0, len(texts), SLICE):  # the words of so many texts at a time
+            found += _MADE[key].scan([split_words(t.as_py()) for t in texts[start:start + SLICE]])
+        return pa.array([[{"item_id": one, "similarity": s, "start": a, "n_words": n}
+                          for i, (s, a, n) in sorted(best.items()) for one in sent.value[i][1]]
+                         for best in found], pa.list_(item))
+    return F.arrow_udf(run, _hits_ddl(item_type)).asNondeterministic()(text)
+
+
+def _hits_ddl(item_type: DataType) -> str:
+    return (f"array<struct<item_id:{item_type.simpleString()},similarity:double,start:bigint,"
+            "n_words:bigint>>")
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", out: str = "leaks",
@@ -218,36 +229,29 @@ def find_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", out: s
                similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``docs`` with ``out``: array of (item_id, similarity, start word, words), best window each.
 
-    Equal item texts are scanned once and reported under each id. Null and empty texts
-    and items never leak; items below the shingle length must occur as they are. Items
-    are sent to the executors; where their text exceeds ITEM_BYTES they are dealt by hash
-    into passes, each written before the next. The windows, not the text size, bound the
-    memory of a task: long texts are scanned whole, short ones many at a time.
+    Equal item texts are scanned once and reported under each id. Null and empty texts and
+    items never leak, items without an id are left out; items below the shingle length must
+    occur as they are. Items are sent to the executors; where their text exceeds ITEM_BYTES
+    they are dealt by hash into passes, each written before the next. The windows, not the
+    text size, bound the memory of a task: long texts are scanned whole, short ones some at
+    a time.
     """
     spark = docs.sparkSession
     items = (bench.where(F.octet_length(F.trim(item_text)) > 0)
              .groupBy(F.col(item_text).alias("t")).agg(F.collect_set(item_col).alias("ids")))
     size = items.agg(F.sum(F.octet_length("t") + 16 * F.size("ids"))).first()[0] or 0
     passes = max(1, -(-size // ITEM_BYTES))
-    item_type = bench.schema[item_col].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<item_id:{item_type},similarity:double,start:bigint,"
-                           "n_words:bigint>>")
-    got = docs.withColumn(out, empty)
+    item_type = bench.schema[item_col].dataType
+    got = docs.withColumn(out, F.array().cast(_hits_ddl(item_type)))
     for p in range(passes):
         rows = items.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == p).orderBy("t").collect()
         if not rows:
             continue
-        texts = [r.t for r in rows]
-        key = xxhash.xxh64_intdigest(repr((texts, shingle, similarity, radius)))
-        hits = _leaks(F.col(text_col), spark.sparkContext.broadcast(texts), key,
-                      (shingle, similarity, radius))
-        ids = F.array(*[F.array(*map(F.lit, sorted(r.ids))).cast(f"array<{item_type}>")
-                        for r in rows])
-        got = got.withColumn("_hits", hits).withColumn(out, F.concat(out, F.flatten(F.transform(
-            "_hits", lambda h: F.transform(F.get(ids, h["item"].cast("int")), lambda i: F.struct(
-                i.alias("item_id"), h["similarity"].alias("similarity"),
-                h["start"].alias("start"), h["n_words"].alias("n_words")))))).cast(
-                    got.schema[out].dataType)).drop("_hits")
+        sent = [(r.t, sorted(r.ids)) for r in rows]
+        key = xxhash.xxh64_intdigest(repr((sent, shingle, similarity, radius)))
+        hits = _leaks(F.col(text_col), spark.sparkContext.broadcast(sent), key,
+                      (shingle, similarity, radius), item_type)
+        got = got.withColumn("_hits", hits).withColumn(out, F.concat(out, "_hits")).drop("_hits")
         if passes > 1:
             got = write_stage(got, f"leaks{p}")
     return got
