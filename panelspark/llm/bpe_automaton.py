@@ -19,6 +19,7 @@ import json
 import unicodedata
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.shared import sha
 
-MEMO = 500_000  # chunks, pieces or transitions a worker keeps before it starts afresh
+MEMO = 200_000  # chunks, pieces or transitions a worker keeps before it starts afresh
 LONG = 64  # longer chunks are not kept
 # White space by Unicode; Python's own split() also takes U+001C to U+001F.
 SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
@@ -205,13 +206,14 @@ class Tokenizer:
                 if w:
                     yield self.chunk(w)
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.chunks(text) for i in ids.split(" ")]
+    def encode(self, text: str) -> np.ndarray:
+        ids = " ".join([ids for _, ids, _ in self.chunks(text)])
+        return np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
         """Arc labels with one space between them."""
         names = {i: t for t, i in self.added.items()}
-        return " ".join(names.get(i) or self.automaton.label[i] for i in ids)
+        return " ".join([names.get(i) or self.automaton.label[i] for i in ids])
 
 
 _MADE: dict[str, Tokenizer] = {}  # one per file and worker
@@ -236,7 +238,9 @@ def bpe_encode(spark: SparkSession, text: Column, path: str) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         t = _tokenizer(spec.value)
-        return pa.array([t.encode(x.as_py() or "") for x in texts], pa.list_(pa.int32()))
+        ids = [t.encode(x.as_py() or "") for x in texts]
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids]))
     return F.arrow_udf(run, "array<int>").asNondeterministic()(text)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MEMO = 500_000
+MEMO = 200_000
 
 
 class _Known(dict):

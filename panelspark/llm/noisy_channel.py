@@ -25,7 +25,7 @@ from panelspark.llm.labels import labelled_sample
 
 GRAMS = 1 << 18  # counters of the language model, whatever the corpus
 FEATURES = 1 << 20
-MEMO = 300_000
+MEMO = 200_000
 SPELLED_WORD = 12
 LONGEST = 40  # longer tokens are codes or links and stay as they are
 
@@ -284,6 +284,50 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, model: CharModel, fit: Fit
                  np.array([r["y"] for r in got], float), fit)
 
 
+class Scorer:
+    """Scores texts; keeps the features of tokens, which are none for most of them."""
+
+    def __init__(self, model: CharModel, fitted: Regression):
+        self.model, self.fitted = model, fitted
+        self.words: dict[str, list[str]] = {}
+        self.tokens: dict[str, tuple[int, ...]] = {}
+
+    def _kept(self, words) -> tuple[int, ...]:
+        weights = self.fitted.weights
+        return tuple(i for w in words for i in word_features(w) if i in weights)
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        """Kept features of the restored words with their counts."""
+        got: dict[int, int] = {}
+        low = (text or "").lower()
+        if SPELLED.search(low):
+            parts = ((self._kept([w]), n) for w, n in
+                     restored_words(text, self.model, self.words).items())
+        else:
+            if len(self.tokens) > MEMO:
+                self.tokens.clear()
+            parts = self._of_tokens(low)
+        for own, n in parts:
+            for i in own:
+                got[i] = got.get(i, 0) + n
+        return got
+
+    def _of_tokens(self, low: str):
+        known = self.tokens
+        for token, n in Counter(low.split()).items():
+            own = known.get(token)
+            if own is None:
+                own = known[token] = self._kept(restore(token, self.model))
+            if own:
+                yield own, n
+
+    def __call__(self, text: str | None) -> float:
+        weights = self.fitted.weights
+        raw = self.fitted.bias + math.fsum(
+            weights[i] * math.log1p(n) for i, n in self.counts(text).items())
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, raw))))
+
+
 def toxicity_score(spark: SparkSession, text: Column, model: CharModel, fitted: Regression) -> Column:
     """Probability of label 1; empty and null texts have no words and score by the bias."""
     sent = spark.sparkContext.broadcast((model.counts.astype(np.float32), fitted.bias,
@@ -291,21 +335,8 @@ def toxicity_score(spark: SparkSession, text: Column, model: CharModel, fitted:
 
     def run(texts: pa.Array) -> pa.Array:
         counts, bias, weights = sent.value
-        lm, memo, known = CharModel(counts), {}, {}
-        out = []
-        for t in texts:
-            got: Counter = Counter()
-            if len(known) > MEMO:
-                known.clear()
-            for w, n in restored_words(t.as_py(), lm, memo).items():
-                f = known.get(w)
-                if f is None:  # few words have a kept feature
-                    f = known[w] = [i for i in word_features(w) if i in weights]
-                for i in f:
-                    got[i] += n
-            raw = bias + sum(weights[i] * math.log1p(n) for i, n in got.items())
-            out.append(1 / (1 + math.exp(-min(30, max(-30, raw)))))
-        return pa.array(out, pa.float64())
+        scorer = Scorer(CharModel(counts), Regression(bias, weights))
+        return pa.array([scorer(t.as_py()) for t in texts], pa.float64())
     return F.arrow_udf(run, "double").asNondeterministic()(text)
 
 

@@ -19,7 +19,7 @@ from panelspark.llm.compression_bands import SYMBOLS, text_stats
 from panelspark.llm.labels import labelled_sample
 
 WORD_BUCKETS = 1 << 15
-MEMO = 500_000
+MEMO = 200_000
 # Statistics and the limits at which each is cut.
 SHARE = (0.002, 0.01, 0.03, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8)
 LIMITS: dict[str, tuple[float, ...]] = {
