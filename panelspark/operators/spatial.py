@@ -273,22 +273,24 @@ def spacing_check(sample: DataFrame, group: str, n_col: int, block: int,
         "n_close", F.coalesce("n_close", F.lit(0)))
 
 
-def nearest_distance(cells: DataFrame, n_col: int, sample: int, seed: int,
+def nearest_distance(cells: DataFrame, n_col: int, sample: int | None = None, seed: int = 0,
                      size: float = 30.0, tile: int = 8) -> DataFrame:
-    """Distance to the nearest other cell for a bounded seeded sample.
+    """Distance to the nearest other cell, for all cells or a bounded seeded sample.
 
-    The sample (at most ``sample`` rows) looks in its own and the eight
-    surrounding tiles. A distance no longer than the tile is final; the others
-    look again in tiles eight times as wide, until a tile spans the grid.
+    The cells (``sample=None``: every one, else at most ``sample``) look in their own
+    and the eight surrounding tiles. A distance no longer than the tile is final; the
+    others look again in tiles eight times as wide, until a tile spans the grid.
     """
     base = cells.select(
         "pixel_id", grid_row(F.col("pixel_id"), n_col).alias("row"),
         grid_col(F.col("pixel_id"), n_col).alias("col"))
-    picked = first_k_per_group(
-        base.withColumn("__g", F.lit(1)).withColumn(
-            "__o", seeded_order(F.col("pixel_id"), seed)),
-        ["__g"], "__o", "pixel_id", sample).select("pixel_id", "row", "col")
-    todo = cut_lineage(picked)
+    if sample is None:
+        todo = base
+    else:
+        todo = cut_lineage(first_k_per_group(
+            base.withColumn("__g", F.lit(1)).withColumn(
+                "__o", seeded_order(F.col("pixel_id"), seed)),
+            ["__g"], "__o", "pixel_id", sample).select("pixel_id", "row", "col"))
     ext = base.agg(F.max("row"), F.max("col"), F.count(F.lit(1))).first()
     extent = max(ext[0] or 0, ext[1] or 0) + 1
     shift = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))

@@ -217,7 +217,7 @@ def cells_emptied(spark, sf):
     + (a.col - b.col) ** 2)), 6) AS distance FROM p a JOIN p b ON a.pixel_id <> b.pixel_id
     GROUP BY a.pixel_id""")
 def control_distance(spark, sf):
-    return G.nearest_distance(part_grid(spark, sf), N_COL, 20_000, 7).select(
+    return G.nearest_distance(part_grid(spark, sf), N_COL).select(
         "pixel_id", F.round("distance", 6).alias("distance"))
 
 

@@ -113,3 +113,21 @@ def test_nearest_distance(spark):
     d = spark.createDataFrame([(1,), (3,), (50,), (9001,)], "pixel_id long")
     got = {r.pixel_id: r.distance for r in spatial.nearest_distance(d, 100, 10, 1, 1.0, 2).collect()}
     assert got == {1: 2.0, 3: 2.0, 50: 47.0, 9001: 90.0}
+
+
+def test_control_distance_covers_every_cell(spark, tmp_path):
+    import numpy as np
+
+    from panelspark.queries.spatial import control_distance
+    keys = np.random.default_rng(5).permutation(150_000)[:20_500]
+    spark.createDataFrame(pd.DataFrame({
+        "p_partkey": keys, "p_type": "t", "p_brand": "b", "p_size": 1, "p_retailprice": 1.0,
+    })).write.parquet(f"{tmp_path}/part.parquet")
+    got = control_distance(spark, str(tmp_path)).toPandas().set_index("pixel_id")["distance"]
+    assert len(got) == len(keys) and got.index.is_unique
+    row, col = (keys // 50).astype(np.int32), (keys % 50).astype(np.int32)
+    assert ((got.index - 1).isin(keys)).all()
+    for at in np.array_split(np.arange(len(keys)), 40):
+        d2 = (row[at, None] - row) ** 2 + (col[at, None] - col) ** 2
+        d2[np.arange(len(at)), at] = 1 << 30
+        assert np.allclose(got.loc[keys[at] + 1], 30 * np.sqrt(d2.min(1)), atol=1e-6)
