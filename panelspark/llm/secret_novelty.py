@@ -30,6 +30,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(
     r"(?ai:pass(?:word|wd|phrase|code)|secret|token|api[_-]?key|auth|credential|bearer|"
     r"private|access|signature|signing|encrypt|session|key)")
+# What may stand between the pieces of one secret, short dotted pieces included.
+LINK = re.compile(r"""(?:[\s."'`,\\]|\+(?=\s)|(?<=\.)[A-Za-z0-9+/_=-]{1,15}(?=\.))*""")
+BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----")
+PIECE = re.compile(r"[A-Za-z0-9+/_=-]+")
 IDENTIFIERS = """
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 xxxxxxxx
 example placeholder changeme default undefined required optional deprecated configuration
@@ -46,8 +50,9 @@ SECRET_ACCESS_KEY aws_access_key_id aws_secret_access_key your_api_key_here
 
 @dataclass(frozen=True)
 class Novelty:
-    """``reach``: characters between a sensitive word and a candidate; ``around``: context
-    on each side; ``least``: added bytes per character from which a string is reported."""
+    """``reach``: characters between a sensitive word and the first piece of a candidate;
+    ``around``: context on each side; ``least``: added bytes per character from which a
+    string is reported."""
 
     identifiers: tuple[str, ...] = tuple(IDENTIFIERS)
     min_chars: int = 16
@@ -88,15 +93,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) between the BEGIN and END marks of private keys."""
+    out, at = [], 0
+    while "-----BEGIN" in text and (m := BEGIN.search(text, at)):
+        at = text.find("-----END", m.end())
+        if at < 0:
+            break
+        out.append((m.end(), at))
+    return out
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]],
                 conf: Novelty) -> list[tuple[int, int, int]]:
     """Unknown strings after a sensitive word that no base span touches.
 
-    A candidate holds letters and digits, begins within ``reach`` of the word and is
-    measured once, however many words stand before it.
+    A candidate holds letters and digits and begins within ``reach`` of the word, or
+    follows the candidate before it with nothing but separators between. Such pieces are
+    one secret where they are new together, and else measured each. What stands between
+    the marks of a private key is one candidate, whatever lines it has. Each is measured
+    once, however many words stand before it.
     """
     out, done = [], -1
     run = _candidate(conf)
+
+    def fits(a: int, b: int) -> bool:
+        body = text[a:b]
+        return not (any(s < b and e > a for s, _, e in known) or body.isalpha()
+                    or not any(c.isdigit() for c in body) or not any(c.isalpha() for c in body))
+
+    def novel(a: int, b: int) -> bool:
+        return added_bytes(text, a, b, conf) >= conf.least * (b - a)
+
+    blocks = key_blocks(text)
+    for start, end in blocks:
+        found = [m.span() for m in PIECE.finditer(text, start, end)]
+        if any(b - a >= conf.min_chars for a, b in found) and novel(found[0][0], found[-1][1]):
+            out.append((found[0][0], 3, found[-1][1]))
     for word in SENSITIVE.finditer(text):
         at = word.end()
         limit = at + conf.reach
@@ -105,14 +138,16 @@ def novel_spans(text: str, known: list[tuple[int, int, int]],
             m = run.search(text, at)
             if m is None or m.start() >= limit:
                 break
-            a, b = m.span()
-            at = done = b
-            body = m.group()
-            if (any(s < b and e > a for s, _, e in known) or body.isalpha()
-                    or not any(c.isdigit() for c in body) or not any(c.isalpha() for c in body)):
-                continue
-            if added_bytes(text, a, b, conf) >= conf.least * (b - a):
-                out.append((a, 3, b))
+            chain = []
+            while m is not None:
+                a, b = m.span()
+                inside = [e for s, e in blocks if s < b and e > a]
+                if not inside:
+                    chain.append((a, b))
+                at = done = max(b, *inside) if inside else b
+                m = run.match(text, LINK.match(text, at).end())
+            whole = len(chain) > 1 and novel(chain[0][0], chain[-1][1])
+            out += [(a, 3, b) for a, b in chain if fits(a, b) and (whole or novel(a, b))]
     return out
 
 
