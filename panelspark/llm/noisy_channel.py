@@ -1,7 +1,7 @@
 """Toxicity after noisy-channel deobfuscation.
 
-A token that mixes letters with digits or signs, stretches a letter, or is spelled out
-with spaces becomes a lattice: a sign may stand for letters or for nothing, a repeated
+A token that mixes letters with digits or signs, consists of them, doubles or stretches a
+letter, or is spelled out with spaces becomes a lattice: a sign may stand for letters or for nothing, a repeated
 letter for one or two. Viterbi picks the path that a character trigram model, counted
 over the whole corpus, and the cost of each arc make likeliest. The restored words are
 then scored by logistic regression on words and word beginnings.
@@ -10,6 +10,7 @@ then scored by logistic regression on words and word beginnings.
 from __future__ import annotations
 
 import math
+import os.path
 import re
 import zlib
 from collections import Counter
@@ -27,7 +28,8 @@ GRAMS = 1 << 18  # counters of the language model, whatever the corpus
 FEATURES = 1 << 20
 MEMO = 200_000
 SPELLED_WORD = 12
-LONGEST = 40  # longer tokens are codes or links and stay as they are
+LONGEST = 40  # longer tokens may be several words, and are none for the language model
+SHORT = 64  # words or features of a token that is remembered
 
 # What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b",
@@ -40,7 +42,9 @@ MASKS = "*(|+"  # signs that also stand between letters for nothing
 WORD = re.compile(r"[^\W\d_]+")
 # Single characters between spaces, dots, hyphens or underscores, three at least.
 SPELLED = re.compile(r"(?<!\S)\S(?:([ ._*-])\S)(?:\1\S)+(?!\S)")
-THRICE = re.compile(r"(\w)\1\1")
+TWICE = re.compile(r"(\w)\1")
+RUN = re.compile(r"([^\W\d_])\1+")
+MANY = re.compile(r"([^\W\d_])\1{2,}")
 TRIM = re.compile(r"^[^\w@$!|+(€£¡§]+|[^\w]+$")
 
 
@@ -96,9 +100,12 @@ def arcs(token: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(token: str, model: CharModel) -> str:
-    """Likeliest letters of a token; ties go to the alphabetically first."""
-    best = {"\x02\x02": (0.0, "")}
-    for place in arcs(token):
+    """Likeliest letters of a token; ties go to the alphabetically first.
+
+    What all paths begin with is set aside on the way, so time grows with the length.
+    """
+    best, done = {"\x02\x02": (0.0, "")}, []
+    for at, place in enumerate(arcs(token), 1):
         step: dict[str, tuple[float, str]] = {}
         for state, (cost, text) in best.items():
             for char, extra in place:
@@ -107,26 +114,41 @@ def viterbi(token: str, model: CharModel) -> str:
                 if new not in step or now < step[new]:
                     step[new] = now
         best = step
-    return min((c + model.cost(s, "\x03"), t) for s, (c, t) in best.items())[1]
+        if at % 64 == 0:
+            done.append(os.path.commonprefix([t for _, t in best.values()]))
+            best = {s: (c, t[len(done[-1]):]) for s, (c, t) in best.items()}
+    return "".join([*done, min((c + model.cost(s, "\x03"), t) for s, (c, t) in best.items())[1]])
 
 
 def suspicious(token: str) -> bool:
-    """Letters with a sign or digit among them, or one letter three times in a row."""
+    """A letter twice in a row, letters with a sign or digit among them, or signs and
+    digits that may stand for letters."""
     if token.isalpha():
-        return THRICE.search(token) is not None
-    return any(c.isalpha() for c in token)
+        return TWICE.search(token) is not None
+    return any(c.isalpha() or c in LEET for c in token)
+
+
+def pieces(decoded: str, least: int) -> Iterator[str]:
+    """What may be a word in letters whose words' ends nothing marks."""
+    for n in range(least, SPELLED_WORD + 1):
+        for i in range(len(decoded) - n + 1):
+            yield decoded[i:i + n]
 
 
 def restore(token: str, model: CharModel) -> list[str]:
     """Words of a lower-case token without white space."""
     core = token.strip(".,;:?")
-    core = core if core.isalpha() else TRIM.sub("", token)
-    if core.isalpha() and not suspicious(core):
-        return [core]
-    if not core or len(core) > LONGEST or not suspicious(core):
+    if any(c.isalpha() for c in core):
+        core = core if core.isalpha() else TRIM.sub("", token)
+    if not suspicious(core):
         return WORD.findall(core)
-    whole = viterbi(core, model)
-    return [w for w in dict.fromkeys([whole, *WORD.findall(core)]) if len(w) > 1 or w == whole]
+    short = MANY.sub(r"\1\1", core)  # any more equal letters cost all paths the same
+    whole = viterbi(short, model)
+    plain, read = WORD.findall(core), [whole]
+    if short != core or sum(1 for _ in RUN.finditer(core)) > 2:  # stretched throughout
+        read.append(viterbi(RUN.sub(r"\1", core), model))
+    words = [w for w in dict.fromkeys([*read, *plain]) if len(w) > 1 or (w == whole and plain)]
+    return words if len(short) <= LONGEST else list(dict.fromkeys([*words, *pieces(whole, 4)]))
 
 
 def restored_words(text: str | None, model: CharModel, memo: dict) -> Counter:
@@ -138,7 +160,9 @@ def restored_words(text: str | None, model: CharModel, memo: dict) -> Counter:
     for token, n in Counter(low.split()).items():
         words = memo.get(token)
         if words is None:
-            words = memo[token] = restore(token, model)
+            words = restore(token, model)
+            if len(words) <= SHORT:
+                memo[token] = words
         for w in words:
             out[w] += n
     for m in SPELLED.finditer(low):  # nothing marks its words' ends: every stretch may be one
@@ -317,7 +341,9 @@ class Scorer:
         for token, n in Counter(low.split()).items():
             own = known.get(token)
             if own is None:
-                own = known[token] = self._kept(restore(token, self.model))
+                own = self._kept(restore(token, self.model))
+                if len(own) <= SHORT:
+                    known[token] = own
             if own:
                 yield own, n
 

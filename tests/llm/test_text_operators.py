@@ -499,6 +499,38 @@ def test_restores_obfuscated_words():
     assert viterbi("1d10t", model) == best
 
 
+@pytest.fixture(scope="module")
+def counted():
+    from panelspark.llm.noisy_channel import GRAMS, CharModel, add_words
+    rng = random.Random(3)
+    seen = Counter({w: 5000 for w in ("stupid", "idiot", "worthless", "clown", "good", "ass", "die", "embarrassment")})
+    seen.update(prose(rng, 400, "aeiourstnl").split())
+    counts = np.zeros(GRAMS)
+    add_words(seen, counts)
+    return CharModel(counts)
+
+
+def test_every_obfuscated_token_is_decoded(counted):
+    from panelspark.llm.noisy_channel import restored_words, viterbi
+    for shown, word in (("i" * 10 + "d" * 10 + "i" * 10 + "o" * 8 + "t" * 8, "idiot"), ("iiddiioott", "idiot"),
+                        ("idiiot", "idiot"), ("4$$", "ass"), ("@$$", "ass"), ("@$$,", "ass"), ("good", "good"),
+                        ("qx-" * 20 + "1d10t" + "-zw" * 20, "idiot")):
+        assert word in restored_words(f"an {shown} here", counted, {}), shown
+    assert restored_words("| ### %", counted, {}) == Counter()
+    long = "$tup1d" * 40
+    best = {("\x02\x02"): (0.0, "")}  # the same search with nothing set aside
+    from panelspark.llm.noisy_channel import arcs
+    for place in arcs(long):
+        step = {}
+        for state, (c, text) in best.items():
+            for char, extra in place:
+                new = state[1:] + char if char else state
+                now = (c + extra + (counted.cost(state, char) if char else 0.0), text + char)
+                step[new] = min(now, step.get(new, now))
+        best = step
+    assert viterbi(long, counted) == min((c + counted.cost(s, "\x03"), t) for s, (c, t) in best.items())[1]
+
+
 def lattice_words(token):
     from panelspark.llm.noisy_channel import arcs
     out = [("", 0.0)]
