@@ -27,7 +27,7 @@ from panelspark.llm.labels import labelled_sample
 GRAMS = 1 << 18  # counters of the language model, whatever the corpus
 FEATURES = 1 << 20
 MEMO = 200_000
-SPELLED_WORD = 12
+SPELLED_WORD = 24  # letters of a word within a longer stretch; a whole stretch may have more
 LONGEST = 40  # longer tokens may be several words, and are none for the language model
 SHORT = 64  # words or features of a token that is remembered
 
@@ -40,8 +40,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SIGN_COST, SPARE_COST, DROP_COST, TWICE_COST, FOLD_COST = 1.0, 12.0, 0.5, 6.0, 0.3
 MASKS = "*(|+"  # signs that also stand between letters for nothing
 WORD = re.compile(r"[^\W\d_]+")
-# Single characters between spaces, dots, hyphens or underscores, three at least.
-SPELLED = re.compile(r"(?<!\S)\S(?:([ ._*-])\S)(?:\1\S)+(?!\S)")
+# Single characters, three at least, between white space, or dots, hyphens or underscores.
+SPELLED = re.compile(r"(?<!\S)\S(?:(?:\s+\S(?!\S)){2,}|([._*-])\S(?:\1\S)+(?!\S))")
 TWICE = re.compile(r"(\w)\1")
 RUN = re.compile(r"([^\W\d_])\1+")
 MANY = re.compile(r"([^\W\d_])\1{2,}")
@@ -166,12 +166,9 @@ def restored_words(text: str | None, model: CharModel, memo: dict) -> Counter:
         for w in words:
             out[w] += n
     for m in SPELLED.finditer(low):  # nothing marks its words' ends: every stretch may be one
-        signs = m.group()[::2]
-        for start in range(0, len(signs), LONGEST - SPELLED_WORD):
-            part = viterbi(signs[start:start + LONGEST], model)
-            for n in range(4, SPELLED_WORD + 1):
-                for i in range(len(part) - n + 1):
-                    out[part[i:i + n]] = max(1, out[part[i:i + n]])
+        whole = viterbi(m.group()[::2] if m[1] else "".join(m.group().split()), model)
+        for w in [whole] * (len(whole) > SPELLED_WORD) + list(pieces(whole, 3)):
+            out[w] = max(1, out[w])
     return out
 
 

@@ -531,6 +531,19 @@ def test_every_obfuscated_token_is_decoded(counted):
     assert viterbi(long, counted) == min((c + counted.cost(s, "\x03"), t) for s, (c, t) in best.items())[1]
 
 
+def test_spelled_stretches_of_any_length(counted):
+    from panelspark.llm.noisy_channel import Regression, Scorer, restored_words, word_features
+    for shown, word in (("d i e", "die"), ("a s s", "ass"), ("d\ni\ne", "die"), ("d  i  e", "die"),
+                        ("d \n i\t e", "die"), ("d-i-e", "die"), (" ".join("embarrassment"), "embarrassment"),
+                        ("  ".join("idiot"), "idiot"), ("y o u " + " ".join("embarrassment"), "embarrassment"),
+                        (" ".join("idiot" * 12), "idiot" * 12)):
+        got = restored_words(f"an {shown} here", counted, {})
+        assert got[word] == 1, shown
+        scorer = Scorer(counted, Regression(0.0, {word_features(word)[0]: 1.0}))
+        assert scorer(f"an {shown} here") > 0.5
+    assert restored_words("so a b then c", counted, {}).keys() == {"so", "a", "b", "then", "c"}
+
+
 def lattice_words(token):
     from panelspark.llm.noisy_channel import arcs
     out = [("", 0.0)]
