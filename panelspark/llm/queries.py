@@ -14,7 +14,9 @@ from panelspark.llm.quality_fm import score_quality
 from panelspark.llm.secret_novelty import secret_digest
 from panelspark.llm.shared import fold, read
 from panelspark.llm.simhash import hex16, near_duplicates
+from panelspark.llm.spelling import spelling_groups
 from panelspark.llm.sparse_suffixes import repeated_passages
+
 from panelspark.llm.warc_index import archive_and_read
 
 
@@ -139,3 +141,9 @@ def op2_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = score_toxicity(docs, read(spark, sf_dir, "labels"))
     return got.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op11_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(read(spark, sf_dir, "documents")).select(
+        "word", "form", "root", "n", "n_near", "form_n")
