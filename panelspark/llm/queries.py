@@ -9,6 +9,7 @@ from panelspark.llm.bloom_cascade import judge_urls
 from panelspark.llm.bpe_automaton import bpe_digest
 from panelspark.llm.compression_bands import compression_bands
 from panelspark.llm.decontaminate import contaminated
+from panelspark.llm.feast_whitening import whiten
 from panelspark.llm.noisy_channel import score_toxicity
 from panelspark.llm.quality_fm import score_quality
 from panelspark.llm.secret_novelty import secret_digest
@@ -16,11 +17,10 @@ from panelspark.llm.shared import fold, read
 from panelspark.llm.simhash import hex16, near_duplicates
 from panelspark.llm.spelling import spelling_groups
 from panelspark.llm.sparse_suffixes import repeated_passages
-
+from panelspark.llm.va_file import exact_top_k
 from panelspark.llm.warc_index import archive_and_read
 
 
-
 def BPE_FILE() -> str:
     """The tokenizer file that the box offers; operators take any path."""
     import public_tokenizers
@@ -147,3 +147,26 @@ def op2_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(read(spark, sf_dir, "documents")).select(
         "word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_va_file"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c:
+    CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c:
+    c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x),
+    lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5"""
