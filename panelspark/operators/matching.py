@@ -107,104 +107,6 @@ def level_sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 # -- scores -----------------------------------------------------------------------
 
-def _solve(h: np.ndarray, g: np.ndarray, beta: np.ndarray, alpha: float,
-           lam: float, n: float) -> np.ndarray:
-    """Newton step, or coordinate descent on the penalised quadratic."""
-    if lam <= 0:
-        return beta + np.linalg.lstsq(h, g, rcond=None)[0]
-    target = h @ beta + g
-    b = beta.copy()
-    for _ in range(1000):
-        old = b.copy()
-        for j in range(len(b)):
-            r = target[j] - h[j] @ b + h[j, j] * b[j]
-            if j == 0:
-                b[j] = r / h[j, j] if h[j, j] > 0 else 0.0
-                continue
-            den = h[j, j] + n * lam * (1 - alpha)
-            b[j] = (np.sign(r) * max(abs(r) - n * lam * alpha, 0.0) / den
-                    if den > 0 else 0.0)
-        if np.max(np.abs(b - old)) < 1e-10:
-            break
-    return b
-
-
-def fit_scores(df: DataFrame, by: Sequence[str], covariates: Sequence[str],
-               alpha: float = 0.0, lam: float = 0.0, rounds: int = 25,
-               tol: float = 1e-8) -> DataFrame:
-    """Logistic coefficients of treatment for every level at once.
-
-    Each round is one aggregation of the Newton sums (a p x p table per level)
-    over the rows, for all levels together; the small systems are solved in one
-    Arrow batch per level. Covariates are standardised within the level. With
-    ``lam`` the penalty is elastic net and the intercept is free. ``converged`` is false
-    where the last step was still above ``tol``, ``separated`` true where a coefficient
-    stands at the limit of 30: such a level has no likelihood optimum to report.
-    """
-    by, p = list(by), len(covariates)
-    x = [F.col(c).cast("double") for c in covariates]
-    st = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(c) for c in x]).alias("mu"),
-        F.array(*[F.coalesce(F.stddev_pop(c), F.lit(0.0)) for c in x]).alias("sd"))
-    stats = small_side(st)
-    d = null_safe_join(df, stats, by)
-    z = [F.lit(1.0)] + [
-        F.when(F.col("sd")[i] > 0, (c - F.col("mu")[i]) / F.col("sd")[i])
-        .otherwise(0.0) for i, c in enumerate(x)]
-    d = d.select(*by, F.col("treat").cast("double").alias("__t"),
-                 *[c.alias(f"__z{i}") for i, c in enumerate(z)])
-    d = d.persist()
-    try:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                           for f in df.select(*by).schema)
-        beta = small_side(stats.select(
-            *by, F.array_repeat(F.lit(0.0), p + 1).alias("beta"),
-            F.lit(1e9).alias("step")))
-        cols = [F.col(f"__z{i}") for i in range(p + 1)]
-        tri = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
-
-        def update(batches):
-            for pdf in batches:
-                bs, steps = [], []
-                for s, b, n in zip(pdf["sums"], pdf["beta"], pdf["n"]):
-                    g = np.array(s[:p + 1], dtype=float)
-                    h = np.zeros((p + 1, p + 1))
-                    for v, (i, j) in zip(s[p + 1:], tri):
-                        h[i, j] = h[j, i] = v
-                    b = np.array(b, dtype=float)
-                    new = np.clip(_solve(h, g, b, alpha, lam, float(n)), -30, 30)
-                    bs.append(new.tolist())
-                    steps.append(float(np.max(np.abs(new - b))))
-                out = pdf[by].copy()
-                out["beta"], out["step"] = bs, steps
-                yield out
-
-        for _ in range(rounds):
-            j = null_safe_join(d, beta.select(*by, "beta"), by)
-            eta = cols[0] * F.col("beta")[0]
-            for i in range(1, p + 1):
-                eta = eta + cols[i] * F.col("beta")[i]
-            mu = 1 / (1 + F.exp(-eta))
-            j = j.withColumn("__r", F.col("__t") - mu).withColumn("__w", mu * (1 - mu))
-            sums = [F.sum(F.col("__r") * c) for c in cols]
-            sums += [F.sum(F.col("__w") * cols[a] * cols[b]) for a, b in tri]
-            agg = j.groupBy(*by).agg(F.array(*sums).alias("sums"),
-                                     F.count(F.lit(1)).alias("n"))
-            nxt = null_safe_join(agg, beta.select(*by, "beta"), by).mapInPandas(
-                update, schema + ", beta ARRAY<DOUBLE>, step DOUBLE")
-            beta = small_side(nxt)
-            worst = beta.agg(F.max("step")).first()[0]
-            if worst is None or worst < tol:
-                break
-    finally:
-        d.unpersist()
-    flags = beta.select(
-        *by, "beta", (F.col("step") < tol).alias("converged"),
-        F.exists("beta", lambda b: F.abs(b) >= 30).alias("separated"))
-    return null_safe_join(stats.drop("n"), flags, by)
-
-
 def linear_score(df: DataFrame, fit: DataFrame, by: Sequence[str],
                  covariates: Sequence[str], out: str = "score") -> DataFrame:
     """Linear predictor of each row under its level's coefficients."""
@@ -217,61 +119,6 @@ def linear_score(df: DataFrame, fit: DataFrame, by: Sequence[str],
     return j.withColumn(out, eta).drop("mu", "sd", "beta", "converged", "separated")
 
 
-def choose_penalty(df: DataFrame, by: Sequence[str], covariates: Sequence[str],
-                   key: str, grid: Sequence[float], alpha: float = 0.5,
-                   folds: int = 5, seed: int = P.SEED) -> DataFrame:
-    """Held-out log loss of each penalty per level, lowest first.
-
-    Rows are tagged with their fold by a seeded digest; for every penalty all
-    (level, held-out fold) models are fitted together.
-    """
-    by = list(by)
-    digest = seeded_order(F.col(key), seed)
-    fold = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"),
-                  F.lit(folds)).cast("int")
-    d = df.withColumn("fold", fold)
-    held = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
-    train = d.withColumn("held", held).where(F.col("fold") != F.col("held"))
-    out = None
-    for lam in grid:
-        fit = fit_scores(train, [*by, "held"], covariates, alpha, lam)
-        s = linear_score(d.withColumn("held", F.col("fold")), fit,
-                         [*by, "held"], covariates)
-        t = F.col("treat").cast("double")
-        loss = F.log1p(F.exp(-F.abs("score"))) + F.greatest(
-            "score", F.lit(0.0)) - t * F.col("score")
-        one = s.groupBy(*by).agg(F.avg(loss).alias("log_loss")).withColumn(
-            "lam", F.lit(float(lam)))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def tree_scores(df: DataFrame, level: str, levels: Sequence[str],
-                covariates: Sequence[str], trees: int = 20, depth: int = 4,
-                seed: int = P.SEED) -> DataFrame:
-    """Boosted-tree score per level, on the log-odds scale.
-
-    The levels are a short list of year windows; each is one distributed fit.
-    """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    va = VectorAssembler(inputCols=list(covariates), outputCol="__x")
-    out = None
-    for v in levels:
-        d = va.transform(df.where(F.col(level).eqNullSafe(F.lit(v))).withColumn(
-            "__label", F.col("treat").cast("double")))
-        model = GBTClassifier(featuresCol="__x", labelCol="__label", maxIter=trees,
-                              maxDepth=depth, seed=seed).fit(d)
-        p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-6)),
-                    F.lit(1 - 1e-6))
-        one = model.transform(d).withColumn("score", F.log(p / (1 - p))).drop(
-            "__x", "__label", "rawPrediction", "probability", "prediction")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def score_spread(df: DataFrame, by: Sequence[str], columns: Sequence[str],
                  factor: float = P.CALIPER_SD) -> DataFrame:
     """Caliper widths: a factor times the level's deviation of each column."""
@@ -625,21 +472,32 @@ def matched_rows(df: DataFrame, pairs: DataFrame, cell: Sequence[str],
     return null_safe_join(df, long, [*cell, "treat", key]).withColumn("weights", F.lit(1.0))
 
 
-def match_specs(df: DataFrame, matched: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Counts, dropped per side, rate and status per level and configuration."""
+def match_specs(df: DataFrame, matched: DataFrame, by: Sequence[str],
+                flags: DataFrame | None = None) -> DataFrame:
+    """Counts, dropped per side, rate and status per level and configuration.
+
+    ``flags`` (by, converged, separated) come from the score: a level whose fit has no
+    optimum to report is ``failed``, with the reason, and has no matched rows to count.
+    """
     by = list(by)
     m = matched.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_matched"),
         F.sum((F.col("treat") == 1).cast("long")).alias("mt"))
     j = null_safe_join(level_sizes(df, by), m, by, "left")
+    why = F.lit(None).cast("string")
+    if flags is not None:
+        j = null_safe_join(j, flags, by, "left")
+        why = F.when(F.col("separated"), "failed: sides are separated").when(
+            ~F.col("converged"), "failed: no convergence")
     nm, mt = F.coalesce("n_matched", F.lit(0)), F.coalesce("mt", F.lit(0))
+    none = (F.col("n_treat") == 0) | (F.col("n_control") == 0)
+    ran = ~none & why.isNull()
     return j.select(
-        *by, "n_input", "n_treat", "n_control", nm.alias("n_matched"),
-        F.when(F.col("n_treat") > 0, nm / 2.0 / F.col("n_treat")).alias("match_rate"),
-        (F.col("n_treat") - mt).alias("dropped_treated"),
-        (F.col("n_control") - (nm - mt)).alias("dropped_control"),
-        F.when((F.col("n_treat") == 0) | (F.col("n_control") == 0), "no units")
-        .otherwise("ok").alias("status"))
+        *by, "n_input", "n_treat", "n_control", F.when(ran, nm).alias("n_matched"),
+        F.when(ran & (F.col("n_treat") > 0), nm / 2.0 / F.col("n_treat")).alias("match_rate"),
+        F.when(ran, F.col("n_treat") - mt).alias("dropped_treated"),
+        F.when(ran, F.col("n_control") - (nm - mt)).alias("dropped_control"),
+        F.when(none, "no units").otherwise(F.coalesce(why, F.lit("ok"))).alias("status"))
 
 
 def control_reuse(matched: DataFrame, by: Sequence[str],

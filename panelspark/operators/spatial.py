@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import grid_col, grid_row, seeded_order
@@ -88,33 +88,77 @@ def mean_of_files(stacked: DataFrame) -> DataFrame:
     return stacked.groupBy("pixel_id").agg(F.avg("value").alias("value"))
 
 
+def tile_classes(edges: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
+    """Tiles wholly inside a polygon, and the edges of the tiles on its boundary.
+
+    (poly_id, __tx, __ty) and (poly_id, __tx, __ty, base, x1, y1, x2, y2). A scanline
+    runs along the lower side of every tile row: an edge stands in the columns that it
+    touches within the row, and ``base`` tells whether an odd number of the edges that lie
+    farther right cross the line. Between two boundary tiles nothing changes, so the tiles
+    there are inside if the one before has an odd base. Rows follow the boundary; only
+    the inner tiles, one narrow row each, follow the area.
+    """
+    ylo, yhi = F.least("y1", "y2"), F.greatest("y1", "y2")
+    xlo, xhi = F.least("x1", "x2"), F.greatest("x1", "x2")
+    e = edges.select("poly_id", "x1", "y1", "x2", "y2", F.explode(F.sequence(
+        F.floor(ylo / tile), F.floor(yhi / tile))).alias("__ty"))
+    bottom = F.col("__ty") * F.lit(float(tile))
+
+    def at(y: Column) -> Column:
+        y = F.least(F.greatest(y, ylo), yhi)
+        return (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (
+            F.col("y2") - F.col("y1")) + F.col("x1")
+
+    # a little wider than the edge: a tile too many does no harm
+    flat, pad = F.col("y1") == F.col("y2"), F.lit(float(tile) * 1e-9)
+    a = F.when(flat, xlo).otherwise(F.least(at(bottom), at(bottom + tile)) - pad)
+    b = F.when(flat, xhi).otherwise(F.greatest(at(bottom), at(bottom + tile)) + pad)
+    e = e.withColumns({
+        "__a": F.floor(F.greatest(a, xlo) / tile), "__b": F.floor(F.least(b, xhi) / tile),
+        "__cross": ((F.col("y1") > bottom) != (F.col("y2") > bottom)).cast("long")})
+    border = e.withColumn("__tx", F.explode(F.sequence("__a", "__b")))
+    begun = F.sum(F.when(F.col("__tx") == F.col("__a"), F.col("__cross")).otherwise(0))
+    row = Window.partitionBy("poly_id", "__ty").orderBy("__tx")
+    right = Window.partitionBy("poly_id", "__ty").orderBy(F.col("__tx").desc()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    tiles = border.groupBy("poly_id", "__ty", "__tx").agg(begun.alias("__n")).select(
+        "poly_id", "__ty", "__tx", F.lead("__tx").over(row).alias("__next"),
+        (F.coalesce(F.sum("__n").over(right), F.lit(0)) % 2).alias("base"))
+    inner = tiles.where((F.col("base") == 1) & (F.col("__next") > F.col("__tx") + 1)).select(
+        "poly_id", "__ty", F.explode(F.sequence(F.col("__tx") + 1, F.col("__next") - 1)).alias("__tx"))
+    keys = ["poly_id", "__ty", "__tx"]
+    return inner, border.drop("__a", "__b", "__cross").join(tiles.drop("__next"), keys)
+
+
 def points_in_polygons(points: DataFrame, edges: DataFrame,
                        tile: float) -> DataFrame:
     """All (pixel_id, poly_id) hits by the even-odd rule.
 
-    ``edges`` is (poly_id, x1, y1, x2, y2), all rings of a polygon together. An
-    edge goes to the tiles it crosses and those to its left inside the
-    polygon's box, where a ray to the right can meet it. Points meet edges by
-    tile, and crossings are counted map-side.
+    ``edges`` is (poly_id, x1, y1, x2, y2), all closed rings of a polygon together. A
+    point of an inner tile meets no edge. In a boundary tile it meets the edges that touch
+    the tile, under the same comparisons as over all edges: those farther right change
+    together at their common ends, so they count by the tile's base and by the ends to
+    which edges of the tile lead.
     """
-    box = edges.groupBy("poly_id").agg(
-        F.floor(F.min(F.least("x1", "x2")) / tile).alias("__c0"))
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    e = (edges.where(F.col("y1") != F.col("y2")).join(box, "poly_id")
-         .withColumn("__ty", F.explode(F.sequence(F.floor(lo / tile),
-                                                  F.floor(hi / tile))))
-         .withColumn("__tx", F.explode(F.sequence(
-             F.col("__c0"), F.floor(F.greatest("x1", "x2") / tile))))
-         .drop("__c0"))
+    inner, border = tile_classes(edges, tile)
     p = points.select("pixel_id", "x", "y",
                       F.floor(F.col("x") / tile).alias("__tx"),
                       F.floor(F.col("y") / tile).alias("__ty"))
     cross = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (
         F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1"))
         / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    return (p.join(e, ["__tx", "__ty"]).where(cross)
-            .groupBy("pixel_id", "poly_id").agg(F.count(F.lit(1)).alias("__n"))
+    bottom = F.col("__ty") * F.lit(float(tile))
+
+    def passed(x: str, y: str) -> Column:
+        beyond = F.floor(F.col(x) / tile) > F.col("__tx")
+        return (beyond & ((F.col(y) > bottom) != (F.col(y) > F.col("y")))).cast("long")
+
+    level = F.col("y1") == F.col("y2")  # no crossing, and no division
+    n = F.when(level, F.lit(0)).otherwise(cross.cast("long")) + passed("x1", "y1") + passed("x2", "y2")
+    near = (p.join(border, ["__tx", "__ty"]).groupBy("pixel_id", "poly_id")
+            .agg((F.max("base") + F.sum(n)).alias("__n"))
             .where(F.col("__n") % 2 == 1).select("pixel_id", "poly_id"))
+    return near.unionByName(p.join(inner, ["__tx", "__ty"]).select("pixel_id", "poly_id"))
 
 
 def join_zone(points: DataFrame, edges: DataFrame, attrs: DataFrame, field: str,

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from panelspark import profile as P
 from panelspark.operators import balance as B
 from panelspark.operators import matching as M
+from panelspark.operators.penalty import Path, choose_penalty, fit_scores
+from panelspark.operators.penalty import penalty_path as whole_path
+from panelspark.operators.trees import Boost, boosted_scores, split_table
 from panelspark.plans.match import balance_before_after, match_config
 from panelspark.queries.base import (cohorts, n_if, query, table, with_, yearly_value)
+from panelspark.session import cut_lineage
 
 
 @query("window_bounds", with_("cohorts", w="""SELECT pixel_id, gvar, lulc, CASE
@@ -292,7 +296,7 @@ X = ["x1", "x2", "x3"]
 def score_fit(spark, sf):
     """Score equations at the fitted coefficients: all sums are zero."""
     d = levels(spark, sf)
-    s = M.linear_score(d, M.fit_scores(d, ["win_key"], X), ["win_key"], X)
+    s = M.linear_score(d, fit_scores(d, ["win_key"], X), ["win_key"], X)
     r = F.col("treat") - 1 / (1 + F.exp(-F.col("score")))
     return s.groupBy("win_key").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum(r), 4).alias("intercept_sum"),
@@ -309,6 +313,130 @@ def score_fit_check(spark, sf):
     return s.select("win_key", "n", ok.alias("at_optimum"))
 
 
+_ROWS = LEVELS.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT o_custkey AS pixel_id,
+    avg(o_totalprice) AS x2, CAST(count(*) AS DOUBLE) AS x3 FROM orders GROUP BY 1),
+    x AS (SELECT win_key, lulc, treat, lv.pixel_id, x1, x2, x3 FROM lv JOIN o USING (pixel_id)
+      WHERE x1 IS NOT NULL),"""
+SHORT = Path(steps=4, ratio=0.05, folds=3)
+# proximal gradient steps for every (level, penalty, fold), until they stand still
+_PATH = """
+    st AS (SELECT win_key, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2,
+      avg(x3) AS m3, stddev_pop(x3) AS s3, avg(treat) AS sh, greatest(abs(covar_pop(x1, treat)) / s1,
+      abs(covar_pop(x2, treat)) / s2, abs(covar_pop(x3, treat)) / s3) / 0.5 * 1.000001 AS top,
+      0.5 / (sh * (1 - sh)) AS step FROM x GROUP BY win_key),
+    z AS (SELECT win_key, pixel_id, treat AS y, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2,
+      (x3 - m3) / s3 AS z3, CAST('0x' || substr(md5('160617:' || pixel_id), 1, 8) AS BIGINT) % 3
+      AS fold FROM x JOIN st USING (win_key)),
+    w AS (SELECT win_key, k, fold, 0 AS turn, step, top * 0.05 ** (k / 3.0) AS lam,
+        ln(sh / (1 - sh)) AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3
+        FROM st, range(4) a(k), range(-1, 3) b(fold)
+      UNION ALL SELECT win_key, k, fold, turn + 1, step, lam, b0 + step * g0,
+        sign(b1 + step * g1) * greatest(abs(b1 + step * g1) - step * lam / 2, 0) / (1 + step * lam / 2),
+        sign(b2 + step * g2) * greatest(abs(b2 + step * g2) - step * lam / 2, 0) / (1 + step * lam / 2),
+        sign(b3 + step * g3) * greatest(abs(b3 + step * g3) - step * lam / 2, 0) / (1 + step * lam / 2)
+        FROM (SELECT win_key, k, w.fold, turn, step, lam, b0, b1, b2, b3, avg(y - mu) AS g0,
+          avg((y - mu) * z1) AS g1, avg((y - mu) * z2) AS g2, avg((y - mu) * z3) AS g3 FROM (SELECT w.*, y, z1, z2, z3,
+            1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2 + b3 * z3))) AS mu FROM w JOIN z
+            ON z.win_key = w.win_key AND z.fold <> w.fold WHERE turn < 250) w
+          GROUP BY ALL)),
+    fits AS (SELECT * FROM w WHERE turn = 250),
+    loss AS (SELECT f.win_key, f.k, f.fold, f.lam, any_value(f.b1) AS b1, any_value(f.b2) AS b2,
+      any_value(f.b3) AS b3, count(*) AS n_held, avg(ln(1 + exp(-abs(e))) + greatest(e, 0) - y * e) AS l
+      FROM (SELECT f.*, y, b0 + b1 * z1 + b2 * z2 + b3 * z3 AS e FROM fits f JOIN z
+        ON z.win_key = f.win_key AND z.fold = f.fold) f GROUP BY f.win_key, f.k, f.fold, f.lam),
+    cv AS (SELECT win_key, k, any_value(lam) AS lam, sum(n_held * l) / sum(n_held) AS m,
+      sqrt(greatest(sum(n_held * l * l) / sum(n_held) - m * m, 0) / 2) AS e FROM loss
+      GROUP BY win_key, k),
+    low AS (SELECT win_key, min(m) AS m, arg_min(e, (m, k)) AS e FROM cv GROUP BY win_key),
+    pick AS (SELECT win_key, min(k) AS k FROM cv JOIN low USING (win_key)
+      WHERE cv.m <= low.m + low.e GROUP BY win_key) """
+
+
+@query("penalty_path", _ROWS + _PATH + """SELECT win_key, CAST(k AS INTEGER) AS k,
+    CAST(fold AS INTEGER) AS fold, n_held, round(lam, 6) AS lam, round(b1, 4) + 0.0 AS b1,
+    round(b2, 4) + 0.0 AS b2, round(b3, 4) + 0.0 AS b3, round(l, 6) AS log_loss FROM loss""")
+def penalty_path(spark, sf):
+    p = whole_path(_complete(levels(spark, sf)), ["win_key"], X, "pixel_id", SHORT)
+    return p.where("fold >= 0").select(
+        "win_key", "k", "fold", "n_held", F.round("lam", 6).alias("lam"),
+        *[(F.round(F.col("beta")[i], 4) + 0.0).alias(f"b{i}") for i in (1, 2, 3)],
+        F.round("log_loss", 6).alias("log_loss"))
+
+
+@query("penalty_choice", _ROWS + _PATH + """SELECT win_key, CAST(k AS INTEGER) AS k,
+    round(lam, 6) AS lam, round(m, 6) AS log_loss, round(e, 6) AS loss_error
+    FROM pick JOIN cv USING (win_key, k)""")
+def penalty_choice(spark, sf):
+    p = whole_path(_complete(levels(spark, sf)), ["win_key"], X, "pixel_id", SHORT)
+    return choose_penalty(p, ["win_key"]).select(
+        "win_key", "k", *[F.round(c, 6).alias(c) for c in ("lam", "log_loss", "loss_error")])
+
+
+def _complete(df):
+    return cut_lineage(df.dropna(subset=["lulc", *X]))
+
+
+FEW = Boost(trees=2, depth=2, bins=8, rate=0.3)
+
+
+def _boost_sql(b: Boost) -> str:
+    """The same trees step by step: histogram, best split and rows per node."""
+    k = [f"""
+    cuts AS MATERIALIZED (SELECT win_key, f, list_sort(list_distinct(list_transform(
+      range(1, {b.bins}), lambda i: list_sort(v)[CAST(greatest(ceil(len(v) * i / {b.bins}.0 - 1e-9), 1)
+        AS BIGINT)]))) AS q FROM (SELECT win_key, f, list(v) AS v FROM long GROUP BY ALL)),
+    bins AS MATERIALIZED (SELECT win_key, pixel_id, f, len(list_filter(q, lambda c: c < v)) AS bin
+      FROM long JOIN cuts USING (win_key, f)),
+    t0 AS MATERIALIZED (SELECT win_key, pixel_id, treat, ln(sh / (1 - sh)) AS score FROM x JOIN
+      (SELECT win_key, avg(treat) AS sh FROM x GROUP BY 1) USING (win_key)),"""]
+    for t in range(b.trees):
+        k.append(f"""
+    gr{t} AS MATERIALIZED (SELECT win_key, pixel_id, treat - mu AS g, mu * (1 - mu) AS h FROM
+      (SELECT *, 1 / (1 + exp(-score)) AS mu FROM t{t})),
+    n{t}_0 AS MATERIALIZED (SELECT win_key, pixel_id, 0 AS node FROM t{t}),""")
+        for d in range(b.depth):
+            k.append(f"""
+    c{t}_{d} AS (SELECT win_key, node, f, bin, sum(sum(g)) OVER w AS gl, sum(sum(h)) OVER w AS hl,
+      sum(count(*)) OVER w AS nl, sum(sum(g)) OVER p AS ga, sum(sum(h)) OVER p AS ha,
+      sum(count(*)) OVER p AS na FROM n{t}_{d} JOIN gr{t} USING (win_key, pixel_id)
+      JOIN bins USING (win_key, pixel_id) GROUP BY win_key, node, f, bin
+      WINDOW w AS (PARTITION BY win_key, node, f ORDER BY bin),
+        p AS (PARTITION BY win_key, node, f)),
+    s{t}_{d} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY win_key, node
+      ORDER BY gain DESC, f, bin) AS r FROM (SELECT *, round(gl * gl / (hl + {b.ridge})
+        + (ga - gl) ** 2 / (ha - hl + {b.ridge}) - ga * ga / (ha + {b.ridge}), 9) AS gain FROM c{t}_{d}
+        WHERE nl >= {b.keep} AND na - nl >= {b.keep})) WHERE r = 1 AND gain > 0),
+    n{t}_{d + 1} AS MATERIALIZED (SELECT n.win_key, n.pixel_id, 2 * n.node + CASE WHEN e.bin > s.bin
+      THEN 1 ELSE 0 END AS node FROM n{t}_{d} n LEFT JOIN s{t}_{d} s ON s.win_key = n.win_key
+      AND s.node = n.node LEFT JOIN bins e ON e.win_key = n.win_key AND e.pixel_id = n.pixel_id
+      AND e.f = s.f),""")
+        k.append(f"""
+    t{t + 1} AS MATERIALIZED (SELECT win_key, pixel_id, treat, score + {b.rate} * v AS score FROM t{t}
+      JOIN n{t}_{b.depth} USING (win_key, pixel_id) JOIN (SELECT win_key, node,
+        sum(g) / (sum(h) + {b.ridge}) AS v FROM n{t}_{b.depth} JOIN gr{t} USING (win_key, pixel_id)
+        GROUP BY ALL) USING (win_key, node)),""")
+    return """
+    long AS MATERIALIZED (SELECT win_key, pixel_id, unnest([1, 2, 3]) AS f, unnest([x1, x2, x3]) AS v
+      FROM x),""" + "".join(k) + f"""
+    sc AS MATERIALIZED (SELECT win_key, pixel_id, score FROM t{b.trees})"""
+
+
+@query("tree_scores", _ROWS + _boost_sql(FEW) + """
+    SELECT win_key, pixel_id, round(score, 6) AS score FROM sc""")
+def tree_scores(spark, sf):
+    d = boosted_scores(_complete(levels(spark, sf)), ["win_key"], X, FEW)
+    return d.select("win_key", "pixel_id", F.round("score", 6).alias("score"))
+
+
+@query("tree_splits", _ROWS + _boost_sql(FEW) + " " + " UNION ALL ".join(f"""SELECT win_key,
+    {t}::INTEGER AS tree, {d}::INTEGER AS depth, node::INTEGER AS node, 'x' || f AS covariate,
+    round(q[bin + 1], 6) AS cut FROM s{t}_{d} JOIN cuts USING (win_key, f)"""
+    for t in range(FEW.trees) for d in range(FEW.depth)))
+def tree_splits(spark, sf):
+    return split_table(_complete(levels(spark, sf)), ["win_key"], X, FEW).withColumn(
+        "cut", F.round("cut", 6))
+
+
 def _matched(spark, sf, config, **kw):
     d = levels(spark, sf)
     return d, match_config(d, "win_key", ["lulc"], X, config, **kw)
@@ -316,10 +444,6 @@ def _matched(spark, sf, config, **kw):
 
 # one treated unit after the other takes the nearest control still free; distances by the
 # inverse of the pooled within-side covariance, written out for three covariates
-_ROWS = LEVELS.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT o_custkey AS pixel_id,
-    avg(o_totalprice) AS x2, CAST(count(*) AS DOUBLE) AS x3 FROM orders GROUP BY 1),
-    x AS (SELECT win_key, lulc, treat, lv.pixel_id, x1, x2, x3 FROM lv JOIN o USING (pixel_id)
-      WHERE x1 IS NOT NULL),"""
 _WITHIN = """
     m AS (SELECT win_key, treat, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM x GROUP BY ALL),
     s AS (SELECT x.win_key, count(*) - count(DISTINCT x.treat) AS f, sum((x1 - m1) ** 2) / f AS a,
@@ -382,7 +506,27 @@ def nearest_match(spark, sf):
                     F.round("distance", 6).alias("distance"))
 
 
-@query("nearest_match_caliper")
+# scored units choose first; a caliper of a quarter deviation of the score
+_SCORED = _WALK.replace("ORDER BY pixel_id) AS k FROM x\n      WHERE", """ORDER BY score DESC, pixel_id)
+      AS k FROM x JOIN sc USING (win_key, pixel_id) WHERE""")
+_REACH = _SCORED.replace("JOIN i ON i.win_key = tr.win_key", """JOIN i ON i.win_key = tr.win_key
+      JOIN sc v ON v.win_key = u.win_key AND v.pixel_id = u.pixel_id JOIN (SELECT win_key,
+        0.25 * stddev_samp(score) AS cal FROM sc GROUP BY 1) q ON q.win_key = tr.win_key
+        AND abs(tr.score - v.score) <= cal""")
+_PICKED = """
+    sc AS MATERIALIZED (SELECT win_key, pixel_id, b0 + b1 * z1 + b2 * z2 + b3 * z3 AS score
+      FROM z JOIN fits USING (win_key) JOIN pick USING (win_key, k) WHERE fits.fold = -1),"""
+_BY_LOSS = _PATH.rstrip().replace("min(k) AS k FROM cv JOIN low USING (win_key)\n      WHERE cv.m <= "
+                                  "low.m + low.e", "arg_min(k, (m, k)) AS k FROM cv")
+_PLAIN = _PATH.replace("range(4) a(k)", "range(1) a(k)").replace(
+    "top * 0.05 ** (k / 3.0)", "0.0").replace("turn < 250", "turn < 600").replace(
+    "turn = 250", "turn = 600").rstrip()
+PAIRS = """SELECT win_key, lulc, win_key || ':' || p.tid AS subclass,
+    unnest([1, 0])::INTEGER AS treat, unnest([p.tid, p.cid]) AS pixel_id,
+    round(p.d, 6) AS distance FROM p"""
+
+
+@query("nearest_match_caliper", _ROWS + _PLAIN + "," + _PICKED + _WITHIN + _REACH + PAIRS)
 def nearest_match_caliper(spark, sf):
     _d, m = _matched(spark, sf, "mahal_pscal")
     return m.select("win_key", "lulc", "subclass", "treat", "pixel_id",
@@ -398,13 +542,46 @@ def robust_match(spark, sf):
                     F.round("distance", 6).alias("distance"))
 
 
-@query("elastic_match")
+@query("tree_match", _ROWS + _boost_sql(FEW) + "," + _WITHIN + _SCORED + PAIRS)
+def tree_match(spark, sf):
+    _d, m = _matched(spark, sf, "trees_nocal", fit={"boost": FEW})
+    return m.select("win_key", "lulc", "subclass", "treat", "pixel_id",
+                    F.round("distance", 6).alias("distance"))
+
+
+@query("elastic_match", _ROWS + _BY_LOSS + "," + _PICKED + _WITHIN + _REACH + PAIRS)
 def elastic_match(spark, sf):
-    _d, m = _matched(spark, sf, "elastic_cal025")
+    _d, m = _matched(spark, sf, "elastic_cal025", fit={"path": SHORT, "rule": "min"})
     return m.select("win_key", "lulc", "subclass", "treat", "pixel_id",
                     F.round("distance", 6).alias("distance"))
 
 
+def _by_score(walk: str) -> str:
+    """Distance is the gap in the score."""
+    a, b = walk.index("sqrt(i11"), walk.index(" AS d,\n")
+    return walk[:a] + "abs(tr.score - v.score)" + walk[b:]
+
+
+def _pairs_of(config, **kw):
+    def run(spark, sf):
+        _d, m = _matched(spark, sf, config, **kw)
+        return m.select("win_key", "lulc", "subclass", "treat", "pixel_id",
+                        F.round("distance", 6).alias("distance"))
+    return run
+
+
+_ANY = RANKED.replace(IN_REACH, "")
+query("glm_match", _ROWS + _PLAIN + "," + _PICKED + _WITHIN + _SCORED + PAIRS)(
+    _pairs_of("glm_nocal"))
+query("glm_match_caliper", _ROWS + _PLAIN + "," + _PICKED + _WITHIN + _by_score(_REACH) + PAIRS)(
+    _pairs_of("glm_cal025"))
+query("elastic_match_all", _ROWS + _BY_LOSS + "," + _PICKED + _WITHIN + _SCORED + PAIRS)(
+    _pairs_of("elastic_nocal", fit={"path": SHORT, "rule": "min"}))
+query("tree_match_caliper", _ROWS + _boost_sql(FEW) + "," + _WITHIN + _REACH + PAIRS)(
+    _pairs_of("trees_cal025", fit={"boost": FEW}))
+query("robust_match_all", _ANY + PAIRS)(_pairs_of("rmahal_nocal"))
+
+
 @query("match_invariants", LEVELS + """, n AS (SELECT win_key, lulc,
     CAST(sum(treat) AS BIGINT) AS nt, CAST(sum(1 - treat) AS BIGINT) AS nc FROM lv GROUP BY ALL)
     SELECT win_key, lulc, least(nt, nc) AS n_pairs, true AS one_to_one FROM n""")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import balance, matching as M
+from panelspark.operators.penalty import fit_scores
 from panelspark.plans.match import match_config
 
 
@@ -57,14 +58,14 @@ def test_scores_solve_the_likelihood(spark):
     pdf = make(rng, 2000)
     pdf["treat"] = (rng.random(2000) < 1 / (1 + np.exp(-(.5 * pdf.a - pdf.b)))).astype(int)
     df = spark.createDataFrame(pdf)
-    s = M.linear_score(df, M.fit_scores(df, ["lev"], ["a", "b"]), ["lev"], ["a", "b"]).toPandas()
+    s = M.linear_score(df, fit_scores(df, ["lev"], ["a", "b"]), ["lev"], ["a", "b"]).toPandas()
     x = np.column_stack([np.ones(2000), s.a, s.b])
     beta = np.zeros(3)
     for _ in range(30):
         mu = 1 / (1 + np.exp(-x @ beta))
         beta += np.linalg.solve(x.T * (mu * (1 - mu)) @ x, x.T @ (s.treat - mu))
     assert np.allclose(s.score, x @ beta, atol=1e-6)
-    lasso = M.fit_scores(df, ["lev"], ["a", "b"], alpha=1.0, lam=5.0).first()
+    lasso = fit_scores(df, ["lev"], ["a", "b"], alpha=1.0, lam=5.0).first()
     assert lasso.beta[1] == 0 and lasso.beta[2] == 0
 
 

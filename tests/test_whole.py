@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import cleaning, detect, matching as M, spatial, support
 from panelspark.operators.core import ordered_cumulative
+from panelspark.operators.penalty import fit_scores
+from panelspark.operators.trees import boosted_scores
 from panelspark.sources import loads
 
 
@@ -100,10 +102,10 @@ def test_fit_reports_separation(spark):
     rows = [("apart", float(v), int(v > 0)) for v in a] + [
         (None, float(v), int(t)) for v, t in zip(a, mixed)]
     d = spark.createDataFrame(rows, "lev string, a double, treat int")
-    fit = {r.lev: r for r in M.fit_scores(d, ["lev"], ["a"]).collect()}
+    fit = {r.lev: r for r in fit_scores(d, ["lev"], ["a"]).collect()}
     assert fit[None].converged and not fit[None].separated
     assert fit["apart"].separated
-    assert "converged" not in M.linear_score(d, M.fit_scores(d, ["lev"], ["a"]), ["lev"], ["a"]).columns
+    assert "converged" not in M.linear_score(d, fit_scores(d, ["lev"], ["a"]), ["lev"], ["a"]).columns
 
 
 def test_no_level_is_left_out_of_tree_scores(spark):
@@ -111,8 +113,7 @@ def test_no_level_is_left_out_of_tree_scores(spark):
     rows = [(None if i % 2 else "w", float(v), int(v + rng.normal() > 0)) for i, v in
             enumerate(rng.normal(size=120))]
     d = spark.createDataFrame(rows, "lev string, a double, treat int")
-    from panelspark.plans.match import with_score
-    s = with_score(d, "lev", ["a"], "trees")
+    s = boosted_scores(d, ["lev"], ["a"])
     assert s.count() == 120 and s.where("score IS NULL").count() == 0
 
 
