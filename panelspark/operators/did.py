@@ -35,12 +35,15 @@ def cell_means(panel: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg(Y).alias("ybar")))
 
 
-def group_time(means: DataFrame, by: Sequence[str], base: str = "varying") -> DataFrame:
+def group_time(means: DataFrame, by: Sequence[str], base: str = "varying",
+               always_treated: str = "drop") -> DataFrame:
     """Effect of each cohort and year against its base year.
 
     ``varying``: the year before for years before treatment, the last untreated
-    year after. ``fixed``: the last untreated year throughout. Cohorts without
-    that year in the data have no effect and are absent (always treated).
+    year after. ``fixed``: the last untreated year throughout. Cohorts without the last
+    untreated year in the data (always treated) have no such effect and are absent;
+    ``level`` gives them their level difference to the controls instead, without a base
+    year.
     """
     by = list(by)
     treated = means.where(F.col(G) > 0).select(
@@ -55,14 +58,25 @@ def group_time(means: DataFrame, by: Sequence[str], base: str = "varying") -> Da
     c = means.where(F.col(G) == 0)
     ct = c.select(*by, T, F.col("ybar").alias("y_0t"))
     cb = c.select(*by, F.col(T).alias("base_year"), F.col("ybar").alias("y_0b"))
-    d = (d.join(gb, [*by, G, "base_year"]).join(ct, [*by, T])
-         .join(cb, [*by, "base_year"]))
+    d = null_safe_join(null_safe_join(d, gb, [*by, G, "base_year"]), ct, [*by, T])
+    d = null_safe_join(d, cb, [*by, "base_year"])
     if base == "fixed":
         d = d.where(F.col(T) != F.col("base_year"))
-    return d.select(
+    out = d.select(
         *by, G, T, (F.col(T) - F.col(G)).alias("e"), "base_year", "n_gt", "n_gb",
         ((F.col("y_gt") - F.col("y_gb")) - (F.col("y_0t") - F.col("y_0b")))
         .alias("att"))
+    if always_treated == "drop":
+        return out
+    if always_treated != "level":
+        raise ValueError(f"no such reading: {always_treated}")
+    dated = means.where(F.col(G) > 0).where(F.col(T) == last).select(
+        *by, G, F.lit(True).alias("__dated"))
+    never = null_safe_join(treated, dated, [*by, G], "left").where(F.col("__dated").isNull())
+    return out.unionByName(null_safe_join(never, ct, [*by, T]).select(
+        *by, G, T, (F.col(T) - F.col(G)).alias("e"), F.lit(None).cast("int").alias("base_year"),
+        "n_gt", F.lit(None).cast("long").alias("n_gb"),
+        (F.col("y_gt") - F.col("y_0t")).alias("att")))
 
 
 def always_treated_levels(means: DataFrame, by: Sequence[str],
@@ -71,7 +85,7 @@ def always_treated_levels(means: DataFrame, by: Sequence[str],
     by = list(by)
     t = means.where((F.col(G) > 0) & (F.col(G) <= first_year))
     c = means.where(F.col(G) == 0).select(*by, T, F.col("ybar").alias("y0"))
-    return t.join(c, [*by, T]).select(
+    return null_safe_join(t, c, [*by, T]).select(
         *by, G, T, F.lit("level").alias("kind"),
         (F.col("ybar") - F.col("y0")).alias("level_difference"))
 
@@ -93,7 +107,7 @@ def target_weights(att: DataFrame, by: Sequence[str], kind: str,
     else:
         raise ValueError(kind)
     tot = d.groupBy(*by, "time").agg(F.sum(weight).alias("__w"))
-    return d.join(tot, [*by, "time"]).withColumn(
+    return null_safe_join(d, tot, [*by, "time"]).withColumn(
         "w", F.col(weight) / F.col("__w")).drop("__w")
 
 
@@ -115,7 +129,7 @@ def overall_row(agg: DataFrame, by: Sequence[str], kind: str) -> DataFrame:
 
 def _coefficients(weighted: DataFrame, by: Sequence[str],
                   target: Sequence[str]) -> DataFrame:
-    """Coefficient of each cell mean in each target (four per effect)."""
+    """Coefficient of each cell mean in each target (four per effect, two without a base)."""
     w = F.col("w")
     def term(g: Column, t: str, c: Column) -> Column:
         return F.struct(g.cast("int").alias("g"), F.col(t).cast("int").alias("t"),
@@ -124,7 +138,7 @@ def _coefficients(weighted: DataFrame, by: Sequence[str],
     g, zero = F.col(G), F.lit(0)
     terms = F.array(term(g, T, w), term(g, "base_year", -w), term(zero, T, -w),
                     term(zero, "base_year", w))
-    x = weighted.select(*by, *target, F.explode(terms).alias("k"))
+    x = weighted.select(*by, *target, F.explode(terms).alias("k")).where("k.t IS NOT NULL")
     return x.groupBy(*by, *target, F.col("k.g").alias(G), F.col("k.t").alias(T)).agg(
         F.sum("k.c").alias("coef"))
 
@@ -142,20 +156,20 @@ def pair_scores(panel: DataFrame, means: DataFrame, weighted: DataFrame,
     by = list(by)
     n = means.select(*by, G, T, F.col("n").alias("__n"), "ybar")
     key = [*by, *target]
-    coef = small_side(_coefficients(weighted, by, target).join(n, [*by, G, T]))
+    coef = small_side(null_safe_join(_coefficients(weighted, by, target), n, [*by, G, T]))
     rows = panel.select(*by, G, T, Y, cluster, unit)
-    s = rows.join(coef, [*by, G, T]).groupBy(*key, cluster).agg(
+    s = null_safe_join(rows, coef, [*by, G, T]).groupBy(*key, cluster).agg(
         F.sum(F.col("coef") / F.col("__n") * (F.col(Y) - F.col("ybar")))
         .alias("score"))
     if not random_weights:
         return s
     est = aggregate(weighted, by, target).select(*key, F.col("estimate").alias("__th"))
     tot = weighted.groupBy(*key).agg(F.sum("n_gt").alias("__k"))
-    part = small_side(weighted.join(est, key).join(tot, key).groupBy(
+    part = small_side(null_safe_join(null_safe_join(weighted, est, key), tot, key).groupBy(
         *key, G).agg(F.sum(
             (F.col("att") - F.col("__th")) / F.col("__k")).alias("__wif")))
     who = panel.where(F.col(G) > 0).select(*by, G, cluster, unit).distinct()
-    extra = who.join(part, [*by, G]).select(*key, cluster, F.col("__wif").alias("score"))
+    extra = null_safe_join(who, part, [*by, G]).select(*key, cluster, F.col("__wif").alias("score"))
     return s.unionByName(extra).groupBy(*key, cluster).agg(
         F.sum("score").alias("score"))
 
@@ -222,12 +236,12 @@ def simultaneous_bands(draws: DataFrame, by: Sequence[str],
     width = 2 * 0.6744897501960817  # fixed value: normal interquartile range
     sig = q.select(*by, "time", ((F.col("q75") - F.col("q25")) / width)
                    .alias("std_error"))
-    t = draws.join(sig, [*by, "time"]).where(F.col("std_error") > 0).groupBy(
+    t = null_safe_join(draws, sig, [*by, "time"]).where(F.col("std_error") > 0).groupBy(
         *by, "draw").agg(F.max(F.abs(F.col("value") / F.col("std_error"))).alias("t"))
     crit = exact_quantiles(t, by, "t", {"crit_val": level}, 1)
     if not by:
         return sig.crossJoin(crit)  # one row
-    return sig.join(crit, by, "left")
+    return null_safe_join(sig, crit, by, "left")
 
 
 def tidy(est: DataFrame, crit: Column | None = None) -> DataFrame:
@@ -241,33 +255,73 @@ def tidy(est: DataFrame, crit: Column | None = None) -> DataFrame:
     return out.withColumn("p_value", two_sided_p("statistic"))
 
 
+POOLED = ("event", "calendar")  # aggregations with a pooled row
+
+
+def _pooled_targets() -> Column:
+    """Targets that the pooled row of their aggregation averages."""
+    return (F.col("aggregation") == "calendar") | (
+        (F.col("aggregation") == "event") & (F.col("time") >= 0))
+
+
+def pooled_rows(est: DataFrame, scores: DataFrame, by: Sequence[str],
+                cluster: str = "pair_id") -> tuple[DataFrame, DataFrame]:
+    """Pooled row of each event and calendar aggregation, and its pair scores; time is null.
+
+    The mean of the targets (event times from zero on, all calendar years). A mean of
+    estimates has the mean of their scores, so its error needs no other pass.
+    """
+    cell = [*by, "aggregation"]
+    part = est.where(_pooled_targets()).groupBy(*cell).agg(
+        F.avg("estimate").alias("estimate"), F.count(F.lit(1)).alias("n_effects"))
+    none = F.lit(None)
+    rows = part.select(*cell, none.cast("int").alias("time"), "estimate", "n_effects",
+                       none.cast("long").alias("n_cohorts"))
+    s = null_safe_join(scores.where(_pooled_targets()),
+                       part.select(*cell, F.col("n_effects").alias("__k")), cell)
+    s = s.groupBy(*cell, cluster).agg(
+        (F.sum("score") / F.first("__k")).alias("score")).withColumn("time", none.cast("int"))
+    return rows, s
+
+
 def estimate(panel: DataFrame, by: Sequence[str], estimator: str,
              kind: str | Sequence[str], cluster: str = "pair_id", draws: int = 0,
-             seed: int = 1) -> DataFrame:
+             seed: int = 1, pooled: bool = False, always_treated: str = "drop") -> DataFrame:
     """Targets of one estimator with clustered errors, every cell in one job.
 
     Several kinds share the cell means, one coefficient table and one pass for the
     pair scores. With ``draws`` the intervals are simultaneous over the targets of a
-    cell and kind, from that many signed sums of the scores.
+    cell and kind, from that many signed sums of the scores. ``pooled`` adds the mean
+    over an aggregation's targets, with its error, as the row whose time is null.
+    ``always_treated="level"`` lets cohorts treated in every year enter the calendar
+    series of the fixed-base estimator by their level difference to the controls.
     """
     kinds = [kind] if isinstance(kind, str) else list(kind)
     by, target = list(by), ["aggregation", "time"]
     base = "varying" if estimator == "attgt" else "fixed"
+    if always_treated != "drop" and base == "varying":
+        raise ValueError("the varying-base estimator has no effect without a base year")
     means = cell_means(panel, by)
     att = group_time(means, by, base)
+    level = group_time(means, by, base, always_treated) if always_treated != "drop" else att
     w = reduce(DataFrame.unionByName, [
-        target_weights(att, by, k).withColumn("aggregation", F.lit(k)) for k in kinds])
+        target_weights(level if k == "calendar" else att, by, k)
+        .withColumn("aggregation", F.lit(k)) for k in kinds])
     s = pair_scores(panel, means, w, by, cluster, random_weights=estimator == "attgt",
                     target=target)
-    if draws:
+    if draws or pooled:
         s = cut_lineage(s)
-    est = aggregate(w, by, target).join(clustered_se(s, by, target), [*by, *target], "left")
+    est, every = aggregate(w, by, target), s
+    if pooled:
+        rows, more = pooled_rows(est, s, by, cluster)
+        est, every = est.unionByName(rows), s.unionByName(more)
+    est = null_safe_join(est, clustered_se(every, by, target), [*by, *target], "left")
     crit = None
     if draws:
         cell = [*by, "aggregation"]
         bands = simultaneous_bands(bootstrap_draws(s, cell, draws, seed, cluster), cell)
-        est = est.join(bands.select(*cell, "time", F.col("crit_val").alias("__crit")),
-                       [*cell, "time"], "left")
+        est = null_safe_join(est, bands.select(*cell, "time", F.col("crit_val").alias("__crit")),
+                             [*cell, "time"], "left")
         crit = F.col("__crit")
     return tidy(est, crit).drop("__crit").withColumn("estimator", F.lit(estimator))
 

@@ -44,15 +44,18 @@ def estimation_rows(panel: DataFrame, by: Sequence[str], transform: Column,
 
 def estimate_all(panel: DataFrame, by: Sequence[str], transform: str,
                  base_shift: int = 0, draws: int = 0,
-                 kinds: Sequence[str] = ("event", "calendar", "simple")) -> DataFrame:
+                 kinds: Sequence[str] = ("event", "calendar", "simple"),
+                 pooled: bool = False, always_treated: str = "drop") -> DataFrame:
     """Both estimators, all targets of every cell; one pass of scores per estimator.
 
-    ``draws`` gives the varying-base estimator simultaneous bands.
+    ``draws`` gives the varying-base estimator simultaneous bands; ``pooled`` and
+    ``always_treated`` (fixed base only) are those of ``did.estimate``.
     """
     tf = F.lit(transform)
     # each table is read by three aggregations twice over: written once
     un = cut_lineage(estimation_rows(panel, by, tf, base_shift))
     bal = cut_lineage(estimation_rows(panel, by, tf, base_shift, balanced=True))
-    out = did.estimate(un, by, "etwfe", kinds).unionByName(
-        did.estimate(bal, by, "attgt", kinds, draws=draws))
+    out = did.estimate(un, by, "etwfe", kinds, pooled=pooled,
+                       always_treated=always_treated).unionByName(
+        did.estimate(bal, by, "attgt", kinds, draws=draws, pooled=pooled))
     return out.withColumn("transform", tf)

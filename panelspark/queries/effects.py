@@ -198,7 +198,28 @@ def pretrend_summary(spark, sf):
     return _r(did.pretrend_summary(d, ["lulc"]), "max_abs_pre")
 
 
-@query("bootstrap_bands")
+def _mix(z: str, shift: int, factor: int) -> str:
+    """One step of the integer mixing, modulo 2^64."""
+    return (f"CAST((CAST(xor({z}, {z} >> {shift}) AS UHUGEINT) * {factor}::UHUGEINT) "
+            "% 18446744073709551616::UHUGEINT AS UBIGINT)")
+
+
+# one sign per pair and draw, then order statistics of the signed sums
+_DRAWS = f""", z0 AS (SELECT pair_id, draw, CAST((CAST(pair_id AS UHUGEINT) * 11400714819323198485
+      + CAST(draw AS UHUGEINT) * 15111065706836454659 + 160617) % 18446744073709551616 AS UBIGINT)
+      AS z FROM (SELECT DISTINCT pair_id FROM sc), range(999) d(draw)),
+    z1 AS (SELECT pair_id, draw, {_mix("z", 30, 13787848793156543929)} AS z FROM z0),
+    z2 AS (SELECT pair_id, draw, {_mix("z", 27, 10723151780598845931)} AS z FROM z1),
+    sg AS (SELECT pair_id, draw, 1 - 2 * CAST(xor(z, z >> 31) & 1 AS INTEGER) AS g FROM z2),
+    dr AS (SELECT e, draw, sum(s * g) AS v FROM sc JOIN sg USING (pair_id) GROUP BY ALL),
+    sp AS (SELECT e, (o[750] - o[250]) / (2 * 0.6744897501960817) AS se FROM (SELECT e,
+      list_sort(list(v)) AS o FROM dr GROUP BY e)),
+    mx AS (SELECT list_sort(list(t)) AS o FROM (SELECT draw, max(abs(v / se)) AS t FROM dr
+      JOIN sp USING (e) WHERE se > 0 GROUP BY draw)) """
+
+
+@query("bootstrap_bands", ROWS + ATT_SCORE + _DRAWS + """SELECT CAST(e AS INTEGER) AS time,
+    round(se, 6) AS std_error, round(o[950], 6) AS crit_val FROM sp, mx""")
 def bootstrap_bands(spark, sf):
     """Simultaneous bands from signed pair scores."""
     d = balanced(spark, sf)
@@ -253,3 +274,57 @@ def estimate_kinds(spark, sf):
     d = did.estimate(rows(spark, sf), ["lulc"], "etwfe", ("event", "calendar", "simple"))
     return _r(d.select("lulc", "aggregation", "time", "estimate", "std_error"), "estimate",
               "std_error")
+
+
+@query("att_pooled", ROWS + ATT_SCORE + """, p AS (SELECT pair_id, sum(s) / (SELECT
+    count(DISTINCT e) FROM gt WHERE e >= 0) AS s FROM sc WHERE e >= 0 GROUP BY 1),
+    t AS (SELECT e, any_value(th) AS th FROM w WHERE e >= 0 GROUP BY e),
+    v AS (SELECT avg(th) AS est, count(*) AS k FROM t) SELECT round(est, 6) AS estimate,
+    k AS n_effects, round(se, 6) AS std_error, round(est - 1.959963984540054 * se, 6) AS conf_low,
+    round(est + 1.959963984540054 * se, 6) AS conf_high FROM v,
+    (SELECT sqrt(sum(s * s)) AS se FROM p)""")
+def att_pooled(spark, sf):
+    """Mean of the event effects after treatment, with its interval."""
+    d = did.estimate(balanced(spark, sf), [], "attgt", "event", pooled=True)
+    return _r(d.where("time IS NULL"), "estimate", "std_error", "conf_low", "conf_high").select(
+        "estimate", "n_effects", "std_error", "conf_low", "conf_high")
+
+
+_SIGNED = """, k AS (SELECT lulc, kind, time, gvar, year, w AS c FROM w UNION ALL
+      SELECT lulc, kind, time, gvar, base_year, -w FROM w WHERE base_year IS NOT NULL UNION ALL
+      SELECT lulc, kind, time, 0, year, -w FROM w UNION ALL
+      SELECT lulc, kind, time, 0, base_year, w FROM w WHERE base_year IS NOT NULL),
+    kc AS (SELECT lulc, kind, time, gvar, year, sum(c) AS c FROM k GROUP BY ALL),
+    sc AS (SELECT r.lulc, kind, time, pair_id, sum(c / n * (y - m)) AS s FROM r JOIN cm
+      USING (lulc, gvar, year) JOIN kc USING (lulc, gvar, year) GROUP BY ALL),
+    se AS (SELECT lulc, kind, time, sqrt(sum(s * s)) AS se FROM sc GROUP BY ALL),
+    es AS (SELECT lulc, kind, time, sum(att * w) AS est, count(*) AS k FROM w GROUP BY ALL) """
+
+
+@query("estimate_pooled", ROWS + """, fk AS (SELECT 'event' AS kind, e AS time, * FROM fx UNION ALL
+    SELECT 'calendar', year, * FROM fx WHERE e >= 0), w AS (SELECT *, n_gt / sum(n_gt) OVER
+      (PARTITION BY lulc, kind, time) AS w FROM fk)""" + _SIGNED + """, po AS (SELECT lulc, kind,
+      avg(est) AS est, count(*) AS k FROM es WHERE kind = 'calendar' OR time >= 0 GROUP BY ALL),
+    ps AS (SELECT lulc, kind, sqrt(sum(s * s)) AS se FROM (SELECT lulc, kind, pair_id,
+      sum(s) / any_value(k) AS s FROM sc JOIN po USING (lulc, kind) WHERE kind = 'calendar'
+      OR time >= 0 GROUP BY ALL) GROUP BY ALL)
+    SELECT lulc, kind AS aggregation, round(est, 6) AS estimate, k AS n_effects,
+    round(se, 6) AS std_error FROM po JOIN ps USING (lulc, kind)""")
+def estimate_pooled(spark, sf):
+    d = did.estimate(rows(spark, sf), ["lulc"], "etwfe", ("event", "calendar"), pooled=True)
+    return _r(d.where("time IS NULL"), "estimate", "std_error").select(
+        "lulc", "aggregation", "estimate", "n_effects", "std_error")
+
+
+@query("calendar_always_treated", ROWS + """, fk AS (SELECT 'calendar' AS kind, year AS time, *
+      FROM fx WHERE e >= 0 UNION ALL SELECT 'calendar', a.year, a.lulc, a.gvar, a.year,
+      a.year - a.gvar, NULL, a.n, a.m - c.m FROM cm a JOIN cm c ON c.lulc = a.lulc
+      AND c.year = a.year AND c.gvar = 0 WHERE a.gvar > 0 AND NOT EXISTS (FROM cm b
+      WHERE b.lulc = a.lulc AND b.gvar = a.gvar AND b.year = a.gvar - 1)),
+    w AS (SELECT *, n_gt / sum(n_gt) OVER (PARTITION BY lulc, kind, time) AS w FROM fk)"""
+    + _SIGNED + """SELECT lulc, CAST(time AS INTEGER) AS time, round(est, 6) AS estimate,
+    k AS n_effects, round(se, 6) AS std_error FROM es JOIN se USING (lulc, kind, time)""")
+def calendar_always_treated(spark, sf):
+    """Calendar series in which the always-treated cohort counts by its level difference."""
+    d = did.estimate(rows(spark, sf), ["lulc"], "etwfe", "calendar", always_treated="level")
+    return _r(d, "estimate", "std_error").select("lulc", "time", "estimate", "n_effects", "std_error")

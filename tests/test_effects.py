@@ -140,3 +140,72 @@ def test_merge_write_and_read_back(spark, tmp_path):
     idx = scans.layer_index(scans.file_years(spark, str(years / "*.bin"), 2000, 2003), 2000, 2003)
     assert {r.year: r.state for r in idx.collect()} == {
         2000: "gap", 2001: "ok", 2002: "ok", 2003: "gap"}
+
+
+def signed_error(pdf, coef):
+    """Clustered error of a combination of cell means {(cohort, year): coefficient}."""
+    cell = pdf.groupby(["gvar", "year"]).y
+    n, m = cell.size(), cell.mean()
+    s = {}
+    for r in pdf.itertuples():
+        c = coef.get((r.gvar, r.year), 0.0)
+        s[r.pair_id] = s.get(r.pair_id, 0.0) + c / n[r.gvar, r.year] * (r.y - m[r.gvar, r.year])
+    return sum(c * m[k] for k, c in coef.items()), np.sqrt(sum(v * v for v in s.values()))
+
+
+def test_pooled_rows_and_always_treated_cohort(spark):
+    pdf = panel(np.random.default_rng(5))
+    pdf.loc[(pdf.pair_id < 12) & (pdf.treat == 1), "gvar"] = 2000  # treated in every year
+    df = spark.createDataFrame(pdf)
+    kinds = ("event", "calendar", "simple")
+    plain = did.estimate(df, [], "etwfe", kinds, pooled=True).toPandas()
+    level = did.estimate(df, [], "etwfe", kinds, pooled=True, always_treated="level").toPandas()
+    n = pdf.groupby(["gvar", "year"]).size()
+
+    def terms(years, with_level):
+        """Year -> coefficients of its calendar effect."""
+        out = {}
+        for t in years:
+            w = {g: n[g, t] for g in (2002, 2003, 2005) if t >= g}
+            if with_level:
+                w[2000] = n[2000, t]
+            c = {}
+            for g, k in w.items():
+                k = k / sum(w.values())
+                pairs = [((g, t), k), ((0, t), -k)]
+                pairs += [] if g == 2000 else [((g, g - 1), -k), ((0, g - 1), k)]
+                for key, v in pairs:
+                    c[key] = c.get(key, 0.0) + v
+            out[t] = c
+        return out
+
+    for got, every in ((plain, terms(range(2002, 2008), False)), (level, terms(range(2000, 2008), True))):
+        cal = got[got.aggregation == "calendar"]
+        by = cal[cal.time.notna()].set_index("time")
+        assert sorted(by.index) == sorted(every)
+        mean = {}
+        for t, c in every.items():
+            assert (by.estimate[t], by.std_error[t]) == pytest.approx(signed_error(pdf, c))
+            for key, v in c.items():
+                mean[key] = mean.get(key, 0.0) + v / len(every)
+        whole = cal[cal.time.isna()].iloc[0]
+        assert (whole.estimate, whole.std_error) == pytest.approx(signed_error(pdf, mean))
+        assert whole.conf_low == pytest.approx(whole.estimate - 1.959963984540054 * whole.std_error)
+        assert not got[got.aggregation == "simple"].time.isna().any()
+    event = [x[(x.aggregation == "event")].sort_values("time").estimate.to_numpy() for x in (plain, level)]
+    assert np.allclose(*event)  # only the calendar series takes the cohort in
+    with pytest.raises(ValueError):
+        did.estimate(df, [], "attgt", "calendar", always_treated="level")
+
+
+@pytest.mark.parametrize("estimator", ["etwfe", "attgt"])
+def test_null_levels_are_estimated(spark, estimator):
+    pdf = panel(np.random.default_rng(6), holes=0)
+    pdf["lev"] = np.where(pdf.pair_id % 2 == 0, "a", None)
+    named = pdf.assign(lev=pdf.lev.fillna("z"))
+    got, want = (did.estimate(spark.createDataFrame(x), ["lev"], estimator, ("event", "calendar"), draws=20, pooled=True)
+                 .toPandas().assign(lev=lambda d: d.lev.fillna("z"), time=lambda d: d.time.fillna(-99))
+                 .sort_values(["lev", "aggregation", "time"]).reset_index(drop=True) for x in (pdf, named))
+    assert set(got.lev) == {"a", "z"} and len(got) == len(want)
+    for c in ("estimate", "std_error", "conf_low"):
+        assert np.allclose(got[c].astype(float), want[c].astype(float))
