@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -199,33 +199,36 @@ def bootstrap_draws(scores: DataFrame, by: Sequence[str], draws: int, seed: int,
     """(cell, target, draw, value): signed sums of the pair scores.
 
     Signs depend only on (pair, draw), so a pair has one sign in all targets
-    and a recomputed task repeats itself. Each task adds up its share and emits
-    one row per target and draw.
+    and a recomputed task repeats itself. Each task adds up its share in one table of
+    targets by draws, whose size the data do not change, and emits its rows.
     """
-    by = list(by)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                       for f in scores.select(*by, "time").schema)
     keys = [*by, "time"]
+    table = cut_lineage(scores.select(*keys).distinct().withColumn(
+        "__n", F.monotonically_increasing_id()))
+    order = {r[0]: i for i, r in enumerate(table.select("__n").collect())}  # one per target
+    rows = null_safe_join(scores, small_side(table), keys)
 
     def partial(batches):
-        acc: dict = {}
-        for pdf in batches:
-            sign = _pm_one(pdf[cluster].to_numpy(), draws, seed)
-            val = pdf["score"].to_numpy()
-            codes, uniq = pd.factorize(pd.MultiIndex.from_frame(pdf[keys]))
-            for i, key in enumerate(uniq):
-                m = codes == i
-                add = val[m] @ sign[m]
-                acc[key] = acc[key] + add if key in acc else add
-        for key, v in acc.items():
-            out = pd.DataFrame({k: [x] * draws for k, x in zip(keys, key)})
-            out["draw"] = np.arange(draws, dtype=np.int32)
-            out["part"] = v
-            yield out
-
-    parts = scores.select(*keys, cluster, "score").mapInPandas(
-        partial, schema + ", draw INT, part DOUBLE")
-    return parts.groupBy(*keys, "draw").agg(F.sum("part").alias("value"))
+        acc = np.zeros((len(order), draws))
+        for b in batches:
+            code = np.array([order[n] for n in b.column(0).to_pylist()], np.int64)
+            pair, val = b.column(1).to_numpy(), b.column(2).to_numpy()
+            for at in range(0, len(code), 1024):
+                part = slice(at, at + 1024)
+                sign = _pm_one(pair[part], draws, seed)
+                for k in np.unique(code[part]):
+                    mine = code[part] == k
+                    acc[k] += val[part][mine] @ sign[mine]
+        on = np.flatnonzero(acc.any(axis=1))
+        back = np.array(list(order), np.int64)
+        for k in on:
+            yield pa.record_batch({"__n": np.full(draws, back[k]), "part": acc[k],
+                                   "draw": np.arange(draws, dtype=np.int32)})
+
+    parts = rows.select("__n", F.col(cluster).cast("long"), "score").mapInArrow(
+        partial, "__n long, part double, draw int").groupBy("__n", "draw").agg(
+        F.sum("part").alias("value"))
+    return table.join(parts, "__n").drop("__n")
 
 
 def simultaneous_bands(draws: DataFrame, by: Sequence[str],
