@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import lookup
 from panelspark.functions.text import fold_key, normalise_or_missing
-from panelspark.operators.core import require
+from panelspark.operators.core import require, small_side
+from panelspark.session import cut_lineage
 
 
 def align(ids: DataFrame, values: DataFrame, key: str = "pixel_id") -> DataFrame:
@@ -97,20 +98,75 @@ def undeclared_labels(df: DataFrame, label: str,
             .groupBy(label).agg(F.count(F.lit(1)).alias("n_records")))
 
 
+def _grams(words: DataFrame) -> DataFrame:
+    """(u, g, k): two-letter pieces of each string with its ends marked; k counts repeats."""
+    s = F.concat(F.lit("\u0001"), F.col("u"), F.lit("\u0001"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length("u") + 1),
+                         lambda i: F.substring(s, i, F.lit(2)))
+    same = Window.partitionBy("u", "g").orderBy("__at")
+    return words.select("u", F.posexplode(pieces).alias("__at", "g")).select(
+        "u", "g", F.row_number().over(same).alias("k"))
+
+
+def _rarest(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pieces of each string numbered from its rarest on."""
+    order = Window.partitionBy("u").orderBy("n", "g", "k")
+    return grams.join(counts, ["g", "k"]).select(
+        "u", "g", "k", F.length("u").alias("len"), F.row_number().over(order).alias("place"))
+
+
+def within_distance(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
+    """(lu, ru): pairs of strings that may lie within ``radius`` edits; none is missed.
+
+    ``left`` and ``right`` are numbered pieces. One edit spoils two pieces at most, so
+    strings within the radius share all but 2 * radius of them, and one of the
+    2 * radius + 1 rarest of either. Strings too short for that meet by length.
+    """
+    few, short = 2 * radius + 1, 2 * radius - 1
+    a = left.where(F.col("place") <= few).select(F.col("u").alias("lu"), "g", "k", F.col("len").alias("ll"))
+    b = right.where(F.col("place") <= few).select(F.col("u").alias("ru"), "g", "k", F.col("len").alias("rl"))
+    met = a.join(b, ["g", "k"]).where(F.abs(F.col("ll") - F.col("rl")) <= radius).select("lu", "ru")
+    one = F.col("place") == 1  # a row per string
+    c = left.where(one & (F.col("len") <= short)).select(
+        F.col("u").alias("lu"), F.explode(F.sequence(F.col("len") - radius, F.col("len") + radius))
+        .alias("rl"))
+    d = right.where(one & (F.col("len") <= short)).select(F.col("u").alias("ru"), F.col("len").alias("rl"))
+    return met.unionByName(c.join(d, "rl").select("lu", "ru")).distinct()
+
+
 def nearest_key(unmatched: DataFrame, key: str, registry: DataFrame,
-                registry_key: str) -> DataFrame:
+                registry_key: str, radii: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Closest registry string by edit distance, case ignored.
 
-    Distinct unmatched strings are compared with a broadcast registry, whose
-    length its builder has checked; ties go to the first key in order.
+    Strings look for registry strings within a widening radius through an index of their
+    rarest pieces; what is found within a radius is surely the nearest. Only strings with
+    nothing in the last radius, strings unlike any known one, meet every registry string.
+    Ties go to the first key in order; an empty registry gives no rows.
     """
-    left = unmatched.where(F.col(key).isNotNull() & (F.col(key) != "")).select(
-        key).distinct()
-    dist = F.levenshtein(F.upper(F.col(key)), F.upper(F.col(registry_key)))
-    pairs = left.join(registry.select(registry_key), F.lit(True))
-    best = pairs.groupBy(key).agg(F.min(F.struct(
-        dist.alias("distance"), F.col(registry_key).alias("nearest"))).alias("b"))
-    return best.select(key, "b.nearest", "b.distance")
+    rows = unmatched.where(F.col(key).isNotNull() & (F.col(key) != "")).select(
+        F.col(key), F.upper(F.col(key)).alias("u")).distinct()
+    known = cut_lineage(registry.where(F.col(registry_key).isNotNull()).groupBy(
+        F.upper(F.col(registry_key)).alias("ru")).agg(F.min(registry_key).alias("nearest")))
+    left = cut_lineage(_grams(rows.select("u").distinct()))
+    right = cut_lineage(_grams(known.select(F.col("ru").alias("u"))))
+    counts = left.unionByName(right).groupBy("g", "k").agg(F.count(F.lit(1)).alias("n"))
+    left, right = cut_lineage(_rarest(left, counts)), cut_lineage(_rarest(right, counts))
+    found, todo = None, left.where("place = 1").select(F.col("u").alias("lu"))
+
+    def best(pairs: DataFrame, dist: Column) -> DataFrame:
+        return pairs.join(known, "ru").select("lu", "nearest", dist.alias("distance")).where(
+            "distance >= 0").groupBy("lu").agg(F.min(F.struct("distance", "nearest")).alias("b"))
+
+    for radius in radii:
+        pairs = within_distance(left, right, radius)
+        got = cut_lineage(best(pairs.join(todo, "lu", "left_semi"),
+                               F.levenshtein("lu", "ru", radius)))
+        found = got if found is None else found.unionByName(got)
+        todo = cut_lineage(todo.join(got, "lu", "left_anti"))
+    rest = todo.crossJoin(small_side(known.select("ru")))  # strings near no key
+    far = best(rest, F.levenshtein("lu", "ru"))
+    found = far if found is None else found.unionByName(far)
+    return rows.join(found, F.col("u") == F.col("lu")).select(key, "b.nearest", "b.distance")
 
 
 def pair_attribute(df: DataFrame, pair: str, treat: str,

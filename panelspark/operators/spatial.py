@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.numeric import grid_col, grid_row, seeded_order
 from panelspark.functions.text import code_prefix, pad_code
 from panelspark.operators.core import (exact_quantiles, first_k_per_group, null_safe_join,
-                                       registry)
+                                       registry, small_side)
 from panelspark.session import cut_lineage
 
 NEIGHBOURS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
@@ -323,7 +323,7 @@ def nearest_distance(cells: DataFrame, n_col: int, sample: int | None = None, se
 
     The cells (``sample=None``: every one, else at most ``sample``) look in their own
     and the eight surrounding tiles. A distance no longer than the tile is final; the
-    others look again in tiles eight times as wide, until a tile spans the grid.
+    others descend through a pyramid of occupied tiles. A cell alone on its grid has none.
     """
     base = cells.select(
         "pixel_id", grid_row(F.col("pixel_id"), n_col).alias("row"),
@@ -335,36 +335,70 @@ def nearest_distance(cells: DataFrame, n_col: int, sample: int | None = None, se
             base.withColumn("__g", F.lit(1)).withColumn(
                 "__o", seeded_order(F.col("pixel_id"), seed)),
             ["__g"], "__o", "pixel_id", sample).select("pixel_id", "row", "col"))
-    ext = base.agg(F.max("row"), F.max("col"), F.count(F.lit(1))).first()
-    extent = max(ext[0] or 0, ext[1] or 0) + 1
     shift = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
                       for a, b in [(0, 0), *NEIGHBOURS]])
-    done = None
-    while True:
-        q = todo.withColumn("__o", F.explode(shift)).select(
-            F.col("pixel_id").alias("id"), F.col("row").alias("r"),
-            F.col("col").alias("c"),
-            (F.floor(F.col("row") / tile) + F.col("__o.a")).alias("tr"),
-            (F.floor(F.col("col") / tile) + F.col("__o.b")).alias("tc"))
-        other = base.withColumn("tr", F.floor(F.col("row") / tile)).withColumn(
-            "tc", F.floor(F.col("col") / tile))
-        d2 = ((F.col("row") - F.col("r")) * (F.col("row") - F.col("r"))
-              + (F.col("col") - F.col("c")) * (F.col("col") - F.col("c")))
-        best = q.join(other, ["tr", "tc"]).where(
-            F.col("pixel_id") != F.col("id")).groupBy("id").agg(F.min(d2).alias("d2"))
-        best = cut_lineage(todo.join(
-            best.withColumnRenamed("id", "pixel_id"), "pixel_id", "left"))
-        last = tile >= extent
-        final = best if last else best.where(F.col("d2") <= tile * tile)
-        done = final if done is None else done.unionByName(final)
-        if last:
-            break
-        todo = best.where(F.col("d2").isNull() | (F.col("d2") > tile * tile)).drop("d2")
-        if todo.isEmpty():
-            break
-        tile *= 8
+    q = todo.withColumn("__o", F.explode(shift)).select(
+        F.col("pixel_id").alias("id"), F.col("row").alias("r"), F.col("col").alias("c"),
+        (F.floor(F.col("row") / tile) + F.col("__o.a")).alias("tr"),
+        (F.floor(F.col("col") / tile) + F.col("__o.b")).alias("tc"))
+    near = cut_lineage(todo.join(_nearest_in(q, base, tile), "pixel_id", "left"))
+    sure = F.col("d2") <= tile * tile
+    far = near.where(~F.coalesce(sure, F.lit(False))).drop("d2")
+    done = near.where(sure)
+    if not far.isEmpty():
+        done = done.unionByName(_nearest_by_tiles(far, base, tile).select(*done.columns))
     return done.select("pixel_id", (F.sqrt("d2") * size).alias("distance"))
 
 
+def _nearest_in(asked: DataFrame, base: DataFrame, tile: int) -> DataFrame:
+    """Smallest squared distance of asked (id, r, c, tr, tc) to other cells of the tiles."""
+    other = base.withColumn("tr", F.floor(F.col("row") / tile)).withColumn(
+        "tc", F.floor(F.col("col") / tile))
+    dr, dc = F.col("row") - F.col("r"), F.col("col") - F.col("c")
+    return asked.join(other, ["tr", "tc"]).where(F.col("pixel_id") != F.col("id")).groupBy(
+        F.col("id").alias("pixel_id")).agg(F.min(dr * dr + dc * dc).alias("d2"))
+
+
+def _nearest_by_tiles(far: DataFrame, base: DataFrame, tile: int, wide: int = 4) -> DataFrame:
+    """Nearest other cell by descending through occupied tiles.
+
+    Counts per tile are kept for every width, each ``wide`` times the one below, up to one
+    tile over all. A search starts there and goes into the occupied tiles whose nearest
+    corner is no farther than the farthest corner of some other occupied tile: a bounded
+    number at each width, wherever the cells lie. Only the last tiles give up their cells.
+    """
+    # rows and columns start at zero, so tiles end up in one
+    levels = [(tile, cut_lineage(base.groupBy(
+        F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc"))
+        .agg(F.count(F.lit(1)).alias("n"))))]
+    while levels[-1][1].count() > 1:
+        size, below = levels[-1]
+        up = below.groupBy(F.floor(F.col("tr") / wide).alias("tr"),
+                           F.floor(F.col("tc") / wide).alias("tc")).agg(F.sum("n").alias("n"))
+        levels.append((size * wide, cut_lineage(up)))
+    top = levels[-1][1].select("tr", "tc")
+    cand = far.select(F.col("pixel_id").alias("id"), F.col("row").alias("r"), F.col("col").alias("c")
+                      ).crossJoin(top)  # one row
+    for size, tiles in reversed(levels[:-1]):
+        kids = small_side(tiles.select(
+            F.floor(F.col("tr") / wide).alias("__pr"), F.floor(F.col("tc") / wide).alias("__pc"),
+            F.col("tr").alias("__r"), F.col("tc").alias("__c"), "n"))
+        j = cand.join(kids, (F.col("tr") == F.col("__pr")) & (F.col("tc") == F.col("__pc"))).select(
+            "id", "r", "c", F.col("__r").alias("tr"), F.col("__c").alias("tc"), "n")
+
+        def gap(at: str, lo: Column, size=size) -> tuple[Column, Column]:
+            hi = lo + size - 1
+            return (F.greatest(lo - F.col(at), F.col(at) - hi, F.lit(0)),
+                    F.greatest(F.abs(F.col(at) - lo), F.abs(F.col(at) - hi)))
+
+        (rn, rx), (cn, cx) = gap("r", F.col("tr") * size), gap("c", F.col("tc") * size)
+        own = (rn == 0) & (cn == 0) & (F.col("n") == 1)  # nobody there but the cell itself
+        j = j.where(~own).withColumn("__lo", rn * rn + cn * cn).withColumn("__hi", rx * rx + cx * cx)
+        reach = F.min("__hi").over(Window.partitionBy("id"))  # a cell's few candidates
+        cand = cut_lineage(j.withColumn("__reach", reach).where("__lo <= __reach").select(
+            "id", "r", "c", "tr", "tc"))
+    return far.join(_nearest_in(cand, base, tile), "pixel_id", "left")
+
+
 def classes_registry(spark, classes: Mapping[int, str]) -> DataFrame:
     return registry(spark, ["code", "lulc"], list(classes.items()))

@@ -98,25 +98,50 @@ def number_units(df: DataFrame, pair: str = "subclass") -> DataFrame:
     return rows.join(pairs, pair)
 
 
+def _bitmap(value: Column, cond: Column) -> Column:
+    """Set of the whole numbers of one bitmap bucket, merged map-side."""
+    return F.bitmap_construct_agg(F.when(cond, F.bitmap_bit_position(value.cast("long"))))
+
+
+def _distinct_ids(units: DataFrame, by: Sequence[str], key: str,
+                  conds: Mapping[str, Column]) -> DataFrame:
+    """Exact distinct counts of whole-number ids, one per condition, as bitmaps.
+
+    A row goes into the bitmap of its id's bucket (32,768 ids in 4 kB); what is shuffled
+    is one row per group and bucket that a task has met, never one per unit.
+    """
+    bucket = F.bitmap_bucket_number(F.col(key).cast("long"))
+    sets = units.groupBy(*by, bucket.alias("__bucket")).agg(
+        *[_bitmap(F.col(key), c).alias(n) for n, c in conds.items()])
+    return sets.groupBy(*by).agg(
+        *[F.coalesce(F.sum(F.bitmap_count(n)), F.lit(0)).alias(n) for n in conds])
+
+
 def units_summary(units: DataFrame, by: Sequence[str], first_year: int) -> DataFrame:
-    """Counts per pairing, with control reuse and the always-treated share."""
+    """Counts per pairing, with control reuse and the always-treated share.
+
+    ``pair_id`` and ``pixel_id`` are whole numbers, best dense ones.
+    """
+    by = list(by)
     t = F.col("treat") == 1
     always = t & (F.col("gvar") <= first_year)
-    n_t = F.sum(t.cast("long"))
-    n_c = F.sum((~t).cast("long"))
-    cp = F.count_distinct(F.when(~t, F.col("pixel_id")))
-    return units.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_units"),
-        F.count_distinct("pair_id").alias("n_pairs"),
-        F.count_distinct(F.when(t, F.col("pixel_id"))).alias("n_treated_pixels"),
-        n_c.alias("n_control_rows"), cp.alias("n_control_pixels"),
-        F.round(n_c / F.greatest(cp, F.lit(1)), 4).alias("control_reuse"),
-        F.count_distinct(F.when(t, F.col("gvar"))).alias("n_cohorts"),
-        F.min(F.when(t, F.col("gvar"))).alias("gvar_min"),
-        F.max(F.when(t, F.col("gvar"))).alias("gvar_max"),
-        F.sum(always.cast("long")).alias("n_always_treated"),
-        F.round(100.0 * F.sum(always.cast("long")) / n_t, 2)
-        .alias("pct_always_treated"))
+    year = F.when(t, F.col("gvar"))
+    base = units.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_units"), F.sum(t.cast("long")).alias("__t"),
+        F.sum((~t).cast("long")).alias("n_control_rows"),
+        F.size(F.collect_set(year)).cast("long").alias("n_cohorts"),  # as many as years
+        F.min(year).alias("gvar_min"), F.max(year).alias("gvar_max"),
+        F.sum(always.cast("long")).alias("n_always_treated"))
+    pairs = _distinct_ids(units, by, "pair_id", {"n_pairs": F.lit(True)})
+    cells = _distinct_ids(units, by, "pixel_id",
+                          {"n_treated_pixels": t, "n_control_pixels": ~t})
+    d = base.crossJoin(pairs).crossJoin(cells) if not by else null_safe_join(  # one row each
+        null_safe_join(base, pairs, by), cells, by)
+    return d.select(
+        *by, "n_units", "n_pairs", "n_treated_pixels", "n_control_rows", "n_control_pixels",
+        F.round(F.col("n_control_rows") / F.greatest("n_control_pixels", F.lit(1)), 4)
+        .alias("control_reuse"), "n_cohorts", "gvar_min", "gvar_max", "n_always_treated",
+        F.round(100.0 * F.col("n_always_treated") / F.col("__t"), 2).alias("pct_always_treated"))
 
 
 def build_panel(units: DataFrame, values: DataFrame, first: int, last: int,
@@ -161,22 +186,30 @@ def subset_levels(units: DataFrame, pairing: str = "pairing",
                   stratum: str = "stratum", zone: str = "zone") -> DataFrame:
     """Unit, treated, pair and cohort counts for every analysis cell.
 
-    Cells are all rows, each stratum, each zone and each combination, by
-    grouping sets. Cells without a treated unit and cells of an empty level
-    are left out; pooled levels read ''.
+    Cells are all rows, each stratum, each zone and each combination. One pass makes a row
+    per finest cell and bucket of pair ids, with bitmaps of pairs and cohorts; the
+    grouping sets merge those. Cells without a treated unit and cells of an empty level
+    are left out; pooled levels read ''. Pair ids are whole numbers, cohorts are years.
     """
     t = F.col("treat") == 1
     g = F.when(t & (F.col("gvar") > 0), F.col("gvar"))
-    ps, pz = F.col(stratum), F.col(zone)
-    out = units.groupingSets(
-        [[F.col(pairing)], [F.col(pairing), ps], [F.col(pairing), pz],
-         [F.col(pairing), ps, pz]], F.col(pairing), ps, pz).agg(
+    ps, pz, p, b = F.col(stratum), F.col(zone), F.col(pairing), F.col("__bucket")
+    fine = units.groupBy(pairing, stratum, zone, F.bitmap_bucket_number(
+        F.col("pair_id").cast("long")).alias("__bucket")).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(t.cast("long")).alias("__t"),
+        _bitmap(F.col("pair_id"), F.lit(True)).alias("__pairs"),
+        F.bitmap_construct_agg(g.cast("long")).alias("__years"),
+        F.min(g).alias("__lo"), F.max(g).alias("__hi"))
+    sets = fine.groupingSets([[p, b], [p, ps, b], [p, pz, b], [p, ps, pz, b]], p, ps, pz, b).agg(
         F.grouping(stratum).alias("__gs"), F.grouping(zone).alias("__gz"),
-        F.count(F.lit(1)).alias("n_units"),
-        F.sum(t.cast("long")).alias("n_treated"),
-        F.count_distinct("pair_id").alias("n_pairs"),
-        F.count_distinct(g).alias("n_cohorts"),
-        F.min(g).alias("gvar_min"), F.max(g).alias("gvar_max"))
+        F.sum("__n").alias("__n"), F.sum("__t").alias("__t"),
+        F.bitmap_count(F.bitmap_or_agg("__pairs")).alias("__k"),
+        F.bitmap_or_agg("__years").alias("__years"),
+        F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+    out = sets.groupBy(pairing, stratum, zone, "__gs", "__gz").agg(
+        F.sum("__n").alias("n_units"), F.sum("__t").alias("n_treated"),
+        F.sum("__k").alias("n_pairs"), F.bitmap_count(F.bitmap_or_agg("__years")).alias("n_cohorts"),
+        F.min("__lo").alias("gvar_min"), F.max("__hi").alias("gvar_max"))
     ok_s = (F.col("__gs") == 1) | (ps.isNotNull() & (ps != ""))
     ok_z = (F.col("__gz") == 1) | (pz.isNotNull() & (pz != ""))
     return out.where((F.col("n_treated") > 0) & ok_s & ok_z).select(
