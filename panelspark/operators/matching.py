@@ -14,9 +14,10 @@ from panelspark.functions.numeric import seeded_order
 from panelspark.operators.core import (average_ranks, first_k_per_group,
                                        null_safe_join, ordered_cumulative,
                                        small_side)
+from panelspark.operators.search import match_rounds
 from panelspark.session import cut_lineage
 
-BUCKET = 64                # controls per search bucket of a large cell
+BUCKET = 64                # sampled controls in a leaf of a large cell's tree
 SMALL_PAIRS = 4_000_000    # treated x controls up to which a cell is one task
 SMALL_ROWS = 200_000
 
@@ -234,12 +235,6 @@ def rank_match(df: DataFrame, cell: Sequence[str], key: str = "pixel_id") -> Dat
     return null_safe_join(t, u, [*cell, "__pos"]).drop("__pos")
 
 
-def _spread(t: Column, c: Column) -> Column:
-    """Order of equally near controls; differs between treated units."""
-    m = 1_000_003
-    return F.pmod(F.pmod(t, F.lit(m)) * 7919 + F.pmod(c, F.lit(m)) * 104_729, F.lit(m))
-
-
 def _greedy(tid, tprio, tx, ts, tv, cid, cx, cs, cv, cal, vcal):
     """One cell, one task: treated in priority order take the nearest free."""
     m = 1_000_003
@@ -270,25 +265,23 @@ def nearest_match(df: DataFrame, cell: Sequence[str], key: str = "pixel_id",
                   coords: str = "coords", priority: str | None = None,
                   score: str | None = None, caliper: str | None = None,
                   limits: Mapping[str, str] | None = None,
-                  axis_caliper: bool = False,
                   small_pairs: int = SMALL_PAIRS,
-                  small_rows: int = SMALL_ROWS) -> DataFrame:
+                  small_rows: int = SMALL_ROWS, report: dict | None = None) -> DataFrame:
     """Nearest one-to-one match without replacement inside exact cells.
 
     Treated units choose in order of ``priority`` (largest first, then id); each
     takes the nearest control still free. ``caliper`` names the column with the
     largest allowed gap in ``score``; ``limits`` maps covariates to the columns
     with theirs. Cells that lack a side fall out first, by a semi join.
-    ``axis_caliper`` says that the score is the first coordinate; a search then ends
-    where the buckets left lie beyond the caliper, so a treated unit without a control
-    in reach costs its neighbourhood and never the cell.
 
     A cell within the counted limits is matched in one task. A larger cell is
     matched in rounds of proposals over the whole cluster: every unmatched
     treated unit proposes to the nearest control not held by a better one, and
     a control keeps its best proposer. That ends in the same matching as the
     one-by-one order, since controls share one priority; ties in distance are
-    spread by a fixed mix of the two ids. No candidate list is cut short.
+    spread by a fixed mix of the two ids. A search goes through a tree of boxes, which
+    bound the distance, the score and the limited covariates; ``report`` receives the
+    number of pairs of large cells that were ``compared``.
     """
     cell = list(cell)
     limits = dict(limits or {})
@@ -337,126 +330,15 @@ def nearest_match(df: DataFrame, cell: Sequence[str], key: str = "pixel_id",
         one_cell, out_schema)
     if sizes.where("large").isEmpty():
         return small
-    # a struct matches null exact columns in every join of the rounds
+    # a struct matches null exact columns
     one = rows.where("large").withColumn("__cell", F.struct(*cell)).drop("large", *cell)
-    big = _match_rounds(one, ["__cell"], has_cal, has_lim, axis_caliper and has_cal)
-    return small.unionByName(big.select("__cell.*", "treated_id", "control_id", "distance"))
-
-
-def _match_rounds(rows: DataFrame, cell: list[str], has_cal: bool,
-                  has_lim: bool, axis_cal: bool = False) -> DataFrame:
-    """Proposal rounds for cells too large for one task."""
-    z = F.col("x")[0]
-    d = rows.withColumn("z", z)
-    c = ordered_cumulative(d, cell, "z", {"c": (F.col("treat") == 0).cast("long")})
-    place = c.select(*cell, F.col("z"), F.floor(F.col("c_before") / BUCKET).alias("b0"),
-                     F.greatest(F.ceil(F.col("c") / BUCKET), F.lit(1)).alias("copies"),
-                     F.greatest(F.ceil(F.col("c_all") / BUCKET) - 1, F.lit(0)).alias("blast"))
-    d = null_safe_join(d, place, [*cell, "z"]).withColumn(
-        # equal values share out over as many buckets as they fill
-        "b", F.least(F.col("b0") + F.pmod(F.xxhash64("id"), F.col("copies")),
-                     F.col("blast")))
-    d = cut_lineage(d.drop("b0", "copies"))
-    treated = d.where("treat = 1").select(
-        *cell, F.col("id").alias("tid"), "prio", F.col("x").alias("tx"),
-        F.col("z").alias("tz"), F.col("s").alias("ts"), F.col("v").alias("tv"),
-        "cal", "vcal", F.col("b").alias("tb"), "blast")
-    controls = d.where("treat = 0").select(
-        *cell, F.col("id").alias("cid"), F.col("x").alias("cx"), "z",
-        F.col("s").alias("cs"), F.col("v").alias("cv"), "b")
-    edges = cut_lineage(controls.groupBy(*cell, "b").agg(
-        F.min("z").alias("zmin"), F.max("z").alias("zmax")))
-    holds = None
-    free = treated
-    while True:
-        props = _nearest_available(free, controls, edges, holds, cell, has_cal, has_lim,
-                                   axis_cal)
-        props = props.where(F.col("cid").isNotNull())
-        pool = props if holds is None else props.unionByName(holds)
-        best = pool.groupBy(*cell, "cid").agg(
-            F.min(F.struct("prio", "tid", "dist")).alias("h")).select(
-            *cell, "cid", "h.prio", "h.tid", "h.dist")
-        pool = cut_lineage(pool)
-        best = cut_lineage(best)
-        lost = pool.select(*cell, "tid").join(
-            best.select(*cell, "tid"), [*cell, "tid"], "left_anti")
-        free = cut_lineage(treated.join(lost, [*cell, "tid"], "left_semi"))
-        holds = best
-        if free.isEmpty():
-            break
-    return holds.select(*cell, F.col("tid").alias("treated_id"),
-                        F.col("cid").alias("control_id"), F.col("dist").alias("distance"))
-
-
-def _nearest_available(free: DataFrame, controls: DataFrame, edges: DataFrame,
-                       holds: DataFrame | None, cell: list[str], has_cal: bool,
-                       has_lim: bool, axis_cal: bool = False) -> DataFrame:
-    """Nearest control each free unit may still win, searched outward by bucket.
-
-    Buckets follow the first coordinate, whose gap bounds the distance from
-    below: the search of a unit ends once its best distance is within the part
-    already covered.
-    """
-    c = controls
-    if holds is not None:
-        c = c.join(holds.select(*cell, "cid", F.col("prio").alias("hp"),
-                                F.col("tid").alias("ht")), [*cell, "cid"], "left")
-    else:
-        c = c.withColumn("hp", F.lit(None).cast("double")).withColumn(
-            "ht", F.lit(None).cast("long"))
-    left, right = (edges.select(*cell, (F.col("b")).alias("bl"), F.col("zmax").alias("zl")),
-                   edges.select(*cell, (F.col("b")).alias("br"), F.col("zmin").alias("zr")))
-    todo = free.withColumn("bd", F.lit(None).cast("double")).withColumn(
-        "bs", F.lit(None).cast("long")).withColumn("bc", F.lit(None).cast("long"))
-    names = todo.columns
-    done, inner, reach = None, -1, 1
-    while True:
-        off = (F.sequence(F.lit(-reach), F.lit(reach)) if inner < 0 else F.concat(
-            F.sequence(F.lit(-reach), F.lit(-inner - 1)),
-            F.sequence(F.lit(inner + 1), F.lit(reach))))
-        q = todo.withColumn("__o", F.explode(off)).withColumn(
-            "b", F.col("tb") + F.col("__o")).drop("__o").where(
-            (F.col("b") >= 0) & (F.col("b") <= F.col("blast")))
-        j = q.join(c, [*cell, "b"])
-        ok = F.col("ht").isNull() | (F.col("hp") > F.col("prio")) | (
-            (F.col("hp") == F.col("prio")) & (F.col("ht") > F.col("tid")))
-        if has_cal:
-            ok = ok & (F.abs(F.col("cs") - F.col("ts")) <= F.col("cal"))
-        if has_lim:
-            ok = ok & F.forall(F.zip_with(
-                F.zip_with("cv", "tv", lambda a, b: F.abs(a - b)), "vcal",
-                lambda a, b: a <= b), lambda x: x)
-        dist = F.sqrt(F.aggregate(F.zip_with(
-            "cx", "tx", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-            lambda acc, v: acc + v))
-        hit = j.where(ok).groupBy(*cell, "tid").agg(F.min(F.struct(
-            dist.alias("d"), _spread(F.col("tid"), F.col("cid")).alias("s"),
-            F.col("cid").alias("c"))).alias("h"))
-        m = null_safe_join(todo, hit, [*cell, "tid"], "left")
-        old = F.when(F.col("bc").isNotNull(), F.struct(
-            F.col("bd").alias("d"), F.col("bs").alias("s"), F.col("bc").alias("c")))
-        m = m.withColumn("h", F.least(F.col("h"), old)).select(
-            *[x for x in names if x not in ("bd", "bs", "bc")],
-            F.col("h.d").alias("bd"), F.col("h.s").alias("bs"), F.col("h.c").alias("bc"))
-        m = m.withColumn("bl", F.col("tb") - reach - 1).withColumn(
-            "br", F.col("tb") + reach + 1)
-        m = m.join(left, [*cell, "bl"], "left").join(right, [*cell, "br"], "left")
-        gap = F.least(
-            F.when(F.col("bl") < 0, float("inf")).otherwise(F.col("tz") - F.col("zl")),
-            F.when(F.col("br") > F.col("blast"), float("inf")).otherwise(
-                F.col("zr") - F.col("tz")))
-        over = (F.coalesce(gap, F.lit(0.0)) == float("inf")) | F.coalesce(
-            F.col("bd") <= gap, F.lit(False))
-        if axis_cal:
-            over = over | F.coalesce(gap > F.col("cal"), F.lit(False))
-        m = cut_lineage(m.withColumn("__done", over))
-        ready = m.where("__done").select(
-            *cell, F.col("bc").alias("cid"), "prio", "tid", F.col("bd").alias("dist"))
-        done = ready if done is None else done.unionByName(ready)
-        todo = m.where(~F.col("__done")).select(*names)
-        if todo.isEmpty():
-            return done
-        inner, reach = reach, reach * 3 + 1
+    names = cut_lineage(one.select("__cell").distinct().withColumn(
+        "n", F.monotonically_increasing_id()))
+    big = match_rounds(one.join(small_side(names), "__cell").drop("__cell"), has_cal, has_lim,
+                       BUCKET, report)
+    return small.unionByName(names.join(big, "n").select(
+        "__cell.*", F.col("tid").alias("treated_id"), F.col("cid").alias("control_id"),
+        F.col("dist").alias("distance")))
 
 
 def matched_rows(df: DataFrame, pairs: DataFrame, cell: Sequence[str],

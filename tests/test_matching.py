@@ -112,7 +112,7 @@ def test_caliper_on_the_axis_ends_the_search(spark, monkeypatch, small_pairs):
     pdf = pd.DataFrame({"pixel_id": np.arange(n), "cell": "x", "treat": (np.arange(n) % 2 == 0).astype(int), "s": s})
     df = spark.createDataFrame(pdf).withColumn("coords", F.array("s")).withColumn("cal", F.lit(.02))
     got = {r.treated_id: r.control_id for r in M.nearest_match(
-        df, ["cell"], priority="s", score="s", caliper="cal", axis_caliper=True, small_pairs=small_pairs).collect()}
+        df, ["cell"], priority="s", score="s", caliper="cal", small_pairs=small_pairs).collect()}
     free = dict(pdf[pdf.treat == 0][["pixel_id", "s"]].to_numpy())
     want = {}
     for r in pdf[pdf.treat == 1].sort_values(["s", "pixel_id"], ascending=[False, True]).itertuples():
