@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 HEADLINE = [
@@ -30,7 +31,8 @@ def main() -> None:
 
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g",
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="panelspark-")})
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
     QUERIES["event_profile"](spark, sf).write.format("noop").mode("overwrite").save()  # warm up

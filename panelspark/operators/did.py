@@ -343,6 +343,8 @@ def cell_status(panel: DataFrame, by: Sequence[str], min_treated: int,
                 unit: str = "unit_id", expected: DataFrame | None = None) -> DataFrame:
     """ok or the reason a cell is skipped, from counts of its units.
 
+    A cell all of whose cohorts lie after its last year has no viable cohort.
+
     ``expected`` lists the cells of the run grid; those without a row in the panel
     get their row here too.
     """
@@ -350,13 +352,15 @@ def cell_status(panel: DataFrame, by: Sequence[str], min_treated: int,
     c = panel.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct(F.when(t, F.col(unit))).alias("n_treated"),
-        F.count_distinct(F.when(F.col(G) == 0, F.col(unit))).alias("n_never"))
+        F.count_distinct(F.when(F.col(G) == 0, F.col(unit))).alias("n_never"),
+        F.coalesce(F.min(F.when(t, F.col(G))) <= F.max(T), F.lit(True)).alias("__viable"))
     if expected is not None:
         c = null_safe_join(expected.select(*by).distinct(), c, list(by), "left").fillna(
             0, ["n_rows", "n_treated", "n_never"])
     reason = (F.when(F.col("n_rows") == 0, "no_rows")
               .when(F.col("n_treated") == 0, "no_treated")
+              .when(~F.col("__viable"), "no_viable_cohort")
               .when(F.col("n_never") == 0, "no_never")
               .when(F.col("n_treated") < min_treated, "below_floor"))
     return c.withColumn("status", F.when(reason.isNull(), "ok").otherwise("skipped")
-                        ).withColumn("reason", reason)
+                        ).withColumn("reason", reason).drop("__viable")

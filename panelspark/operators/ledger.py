@@ -40,6 +40,28 @@ def ledger_table(df: DataFrame, rule: str, order: Sequence[str]) -> DataFrame:
         (F.col("__all") - F.sum("removed").over(w)).alias("remaining"))
 
 
+def ledger_with_ends(df: DataFrame, rule: str, order: Sequence[str], group: str) -> DataFrame:
+    """The ledger between its first and last line: all rows, and those given a group.
+
+    ``start`` removes nothing; ``assigned`` counts the rows with a group, and as remaining
+    the rows that no rule removed and no group took.
+    """
+    kept, given = F.col(rule).isNull(), F.col(group).isNotNull()
+    ends = df.agg(F.count(F.lit(1)).alias("n"),
+                  F.coalesce(F.sum(given.cast("long")), F.lit(0)).alias("a"),
+                  F.coalesce(F.sum((kept & ~given).cast("long")), F.lit(0)).alias("r"))
+    last = len(order) + 1
+
+    def line(step: int, name: str, removed: Column, remaining: Column) -> Column:
+        return F.struct(F.lit(step).alias("step"), F.lit(name).alias("rule"),
+                        removed.cast("long").alias("removed"), remaining.alias("remaining"))
+
+    two = F.array(line(0, "start", F.lit(0), F.col("n")),
+                  line(last, "assigned", F.col("a"), F.col("r")))
+    return ledger_table(df, rule, order).unionByName(
+        ends.select(F.explode(two).alias("l")).select("l.*"))
+
+
 def class_code(chain: Column, undated: Column, status: Column) -> Column:
     return F.concat(F.coalesce(chain, F.lit("U")),
                     F.when(undated, "Tu").otherwise(""), F.lit("_"), status)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage
 
-KEPT = 8
+KEPT = 32
 SAMPLE = 400_000    # controls whose coordinates shape the trees, over all cells
 TASK_ROWS = 4_096   # treated units that meet a leaf in one task
 M = 1_000_003       # the mix of ids: (t * 7919 + c * 104729) mod M
@@ -277,7 +277,7 @@ class Search:
         """Lists (n, tid, cid, d, rank) of the nearest controls a unit may win, and the units
         (n, tid) whose list holds all of them."""
         names, none = asked.columns, F.lit(None)
-        lists, whole, many = [], [], 1
+        lists, whole, many = [], [], 4
         todo = asked.withColumns({"bd": none.cast("double"), "bs": none.cast("long")})
         most = max((len(b.leaf) for b in self.boxes.value.values()), default=0)
         while True:

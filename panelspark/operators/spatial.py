@@ -168,7 +168,10 @@ def join_zone(points: DataFrame, edges: DataFrame, attrs: DataFrame, field: str,
         F.min("poly_id").alias("poly_id"))
     code = F.col(field)
     if derive == "pad_2":
-        code = pad_code(code, 2)
+        padded = pad_code(code, 2)  # a code that is no integer stops the job
+        code = F.when(code.isNotNull() & padded.isNull(), F.raise_error(F.concat(
+            F.lit(f"{field} holds a code that is no integer: "), code.cast("string")))
+            .cast("string")).otherwise(padded)
     elif derive == "substr_8":
         code = code_prefix(code, 8)
     hit = first.join(attrs.select("poly_id", code.cast("string").alias("zone")),

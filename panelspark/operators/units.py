@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark import profile as P
 from panelspark.operators.core import (exact_quantiles, global_index,
                                        null_safe_join, registry)
 from panelspark.operators.lookups import pair_attribute
@@ -220,33 +221,44 @@ def subset_levels(units: DataFrame, pairing: str = "pairing",
 
 def run_grid(manifest: DataFrame, levels: DataFrame, pairings: Mapping,
              outcomes: Mapping, min_treated: int,
-             stratified: Sequence[str] = ("fire", "thin")) -> DataFrame:
-    """Every estimation run: manifest x transform x analysis cell.
-
-    Stratified arms keep stratum cells, the others pooled ones; cells below the
-    treated floor are left out. Estimated rows scale the panel by its units.
+             stratified: Sequence[str] = ("fire", "thin"), estimator: str = "etwfe",
+             base_shift: Mapping[str, int] = P.BASE_SHIFT) -> DataFrame:
+    """Every estimation run of an estimator: manifest x transform x analysis cell.
+
+    Stratified arms keep stratum cells, the others pooled ones; an outcome scoped to an
+    arm runs for its pairings only; cells below the treated floor are left out. The
+    varying-base estimator runs the zones of a stratum beside the whole, so zones whose
+    whole is below the floor go as well. Estimated rows scale the panel by its units.
+    The protection arm adds the calendar series to its aggregations.
     """
     from panelspark.functions.text import run_id
 
+    kinds = {"etwfe": "event", "attgt": "dynamic; simple"}[estimator]
     spark = manifest.sparkSession
-    arms = registry(spark, ["pairing", "arm", "stratified"], [
-        (p, a, a in stratified) for p, (_t, _c, a) in pairings.items()])
-    tf = registry(spark, ["outcome", "transform"], [
-        (o, t) for o, (_l, lg, nat, _s) in outcomes.items()
+    arms = registry(spark, ["pairing", "arm", "stratified", "base_shift", "aggregations"], [
+        (p, a, a in stratified, base_shift.get(a, 0), f"calendar; {kinds}" if a == "pa" else kinds)
+        for p, (_t, _c, a) in pairings.items()])
+    tf = registry(spark, ["outcome", "scope", "transform"], [
+        (o, scope, t) for o, (_l, lg, nat, scope) in outcomes.items()
         for t, on in (("log1p", lg), ("none", nat)) if on])
     base = levels.where("stratum = '' AND zone = ''").select(
         "pairing", F.col("n_units").alias("n_units_all"))
     lev = levels.join(arms, "pairing").where(
-        F.col("stratified") == (F.col("stratum") != ""))
-    out = (manifest.join(tf, "outcome").join(lev, "pairing").join(base, "pairing")
-           .where(F.col("n_treated") >= min_treated))
+        (F.col("stratified") == (F.col("stratum") != "")) & (F.col("n_treated") >= min_treated))
+    if estimator == "attgt":
+        whole = lev.where("zone = ''").select("pairing", "stratum")
+        lev = lev.join(whole, ["pairing", "stratum"], "left_semi")
+    out = manifest.join(tf, "outcome").join(lev, "pairing").join(base, "pairing").where(
+        F.col("scope").isin("all") | (F.col("scope") == F.col("arm")))
     rows = F.round(F.col("n_rows").cast("double") * F.col("n_units")
                    / F.col("n_units_all")).cast("long")
     return out.select(
         run_id(F.col("pairing"), F.col("outcome"), F.col("transform"),
                F.col("stratum"), F.col("zone")).alias("run_id"),
         "pairing", "outcome", "transform", "stratum", "zone", "arm", "n_units",
-        "n_treated", "n_pairs", "n_cohorts", rows.alias("est_rows"))
+        "n_treated", "n_pairs", "n_cohorts", rows.alias("est_rows"),
+        F.lit(estimator).alias("estimator"), F.col("base_shift").cast("int").alias("base_shift"),
+        "aggregations")
 
 
 def viable_cohorts(panel: DataFrame, by: Sequence[str]) -> DataFrame:

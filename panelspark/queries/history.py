@@ -203,6 +203,17 @@ def rule_ledger(spark, sf):
     return L.ledger_table(groups(spark, sf), "rule", P.LEDGER_ORDER)
 
 
+@query("rule_ledger_ends", with_("k_group", s=f"""SELECT * FROM (VALUES {_STEPS}) v(step, rule)""",
+    l="""SELECT s.step, s.rule, count(k.pixel_id) AS removed, CAST((SELECT count(*) FROM k_group)
+      - sum(count(k.pixel_id)) OVER (ORDER BY s.step) AS BIGINT) AS remaining
+      FROM s LEFT JOIN k_group k ON k.rule = s.rule GROUP BY s.step, s.rule""")
+    + f"""SELECT * FROM l UNION ALL SELECT 0, 'start', 0, count(*) FROM k_group UNION ALL
+    SELECT {len(P.LEDGER_ORDER) + 1}, 'assigned', count(grp),
+      {n_if("rule IS NULL AND grp IS NULL")} FROM k_group""")
+def rule_ledger_ends(spark, sf):
+    return L.ledger_with_ends(groups(spark, sf), "rule", P.LEDGER_ORDER, "analysis_group")
+
+
 @query("class_taxonomy", with_("k_group") + """SELECT chain || CASE WHEN undated THEN 'Tu'
     ELSE '' END || '_' || status AS class_code, status AS status_code, grp AS analysis_group,
     count(*) AS n FROM k_group GROUP BY ALL""")

@@ -157,6 +157,29 @@ def run_grid(spark, sf):
         "run_id", "outcome", "transform", "stratum", "zone", "n_treated", "est_rows")
 
 
+@query("run_grid_arms", LEV + """SELECT pairing || '-' || o.outcome || '-' || transform || '-' ||
+    CASE WHEN stratum = '' THEN 'all' ELSE stratum END || '-' || CASE WHEN zone = '' THEN 'statewide'
+    ELSE 'eco' || zone END AS run_id, pairing, o.outcome, transform, stratum, zone, n_treated,
+    'attgt' AS estimator, CAST(shift AS INTEGER) AS base_shift, agg AS aggregations
+    FROM (SELECT * EXCLUDE (pairing) FROM lev WHERE n_treated >= 5) l,
+    (VALUES ('UP_UNP', 'pa', 0, 'calendar; dynamic; simple'), ('FP_UP', 'fire', 0, 'dynamic; simple'),
+      ('TP_UP', 'thin', 1, 'dynamic; simple')) p(pairing, arm, shift, agg),
+    (VALUES ('gpp', 'all', 'log1p'), ('gpp', 'all', 'none'), ('nbp', 'fire', 'none'))
+      o(outcome, scope, transform)
+    WHERE (scope = 'all' OR scope = arm) AND (arm = 'pa') = (stratum = '')
+      AND EXISTS (FROM lev w WHERE w.stratum = l.stratum AND w.zone = '' AND w.n_treated >= 5)""")
+def run_grid_arms(spark, sf):
+    """Runs of three arms: scope of the outcome, shift, aggregations, floor of the whole."""
+    n = table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("n_rows"))
+    man = registry(spark, ["pairing", "outcome"], [
+        (p, o) for p in ("UP_UNP", "FP_UP", "TP_UP") for o in ("gpp", "nbp")]).crossJoin(n)  # one row
+    lev = _levels(spark, sf).drop("pairing").crossJoin(  # three arms
+        registry(spark, ["pairing"], [("UP_UNP",), ("FP_UP",), ("TP_UP",)]))
+    return U.run_grid(man, lev, P.PAIRINGS, P.OUTCOMES, 5, estimator="attgt").select(
+        "run_id", "pairing", "outcome", "transform", "stratum", "zone", "n_treated", "estimator",
+        "base_shift", "aggregations")
+
+
 @query("viable_cohorts", with_("panel") + """SELECT lulc, count(*) AS n_rows,
     count(DISTINCT unit_id) AS n_units FROM (SELECT *, max(year) OVER (PARTITION BY lulc) AS last
     FROM (SELECT * REPLACE (CASE WHEN gvar > 0 THEN gvar + 2 ELSE 0 END AS gvar) FROM panel))

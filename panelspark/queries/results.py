@@ -243,6 +243,23 @@ def figure_rows(spark, sf):
         F.round("estimate", 6).alias("estimate"), "unit")
 
 
+@query("figure_values", FIG + """SELECT pairing, outcome, transform, stratum, ecoregion, aggregation,
+    time, round(v, 6) AS value, round(lo, 6) AS lo, round(hi, 6) AS hi, round(hi - lo, 6) AS ci_width,
+    coalesce(transform = CASE outcome WHEN 'gpp' THEN 'log1p' ELSE 'none' END AND v IS NOT NULL
+      AND lo IS NOT NULL AND hi IS NOT NULL, false) AS fig_row FROM (SELECT pairing, outcome,
+      transform, stratum, ecoregion, aggregation, time,
+      min(CASE WHEN transform = 'log1p' THEN expm1_(estimate) ELSE estimate END) AS v,
+      min(CASE WHEN transform = 'log1p' THEN expm1_(conf_low) ELSE conf_low END) AS lo,
+      min(CASE WHEN transform = 'log1p' THEN expm1_(conf_high) ELSE conf_high END) AS hi FROM fg
+      GROUP BY ALL)"""
+    .replace("expm1_(", "100 * (-1 + exp(").replace(") ELSE", ")) ELSE"))
+def figure_values(spark, sf):
+    """Value, interval and width on the scale that a figure draws."""
+    return figs(spark, sf).select(
+        "pairing", "outcome", "transform", "stratum", "ecoregion", "aggregation", "time",
+        *[F.round(c, 6).alias(c) for c in ("value", "lo", "hi", "ci_width")], "fig_row")
+
+
 @query("applied_windows", FIG + """SELECT pairing, outcome, stratum, ecoregion, time, figures
     FROM (SELECT DISTINCT pairing, outcome, stratum, ecoregion, aggregation, time, figures FROM fg)
     WHERE CASE WHEN aggregation = 'calendar' THEN time BETWEEN 0 AND 3

@@ -59,11 +59,14 @@ def stage_folder(spark: SparkSession, name: str) -> str:
     All of an application's folders lie in one that bears its id; what is left of them
     may go once the application has ended.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="panelspark-")
+        # one folder for the application, checkpoints and stages alike
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-"))
+        root = sc.getCheckpointDir()
     app = spark.sparkContext.applicationId
     return f"{root.rstrip('/')}/panelspark-{app}/{name}-{uuid.uuid4().hex}"
 

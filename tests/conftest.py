@@ -16,7 +16,9 @@ def spark(tmp_path_factory):
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
         "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
-    s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+    folder = str(tmp_path_factory.mktemp("checkpoints"))
+    s.conf.set("spark.checkpoint.dir", folder)
+    s.sparkContext.setCheckpointDir(folder)
     return s
 
 
