@@ -12,12 +12,12 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("checkpoints"))
     s = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-        "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"})
+        "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": folder})
     s.sparkContext.setLogLevel("ERROR")
-    folder = str(tmp_path_factory.mktemp("checkpoints"))
-    s.conf.set("spark.checkpoint.dir", folder)
     s.sparkContext.setCheckpointDir(folder)
     return s
 
