@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm.labels import labelled_sample
+from panelspark.llm.shared import write_stage
 
 GRAMS = 1 << 18  # counters of the language model, whatever the corpus
 FEATURES = 1 << 20
@@ -107,12 +108,16 @@ def viterbi(token: str, model: CharModel) -> str:
     best, done = {"\x02\x02": (0.0, "")}, []
     for at, place in enumerate(arcs(token), 1):
         step: dict[str, tuple[float, str]] = {}
-        for state, (cost, text) in best.items():
-            for char, extra in place:
-                new = state[1:] + char if char else state
-                now = (cost + extra + (model.cost(state, char) if char else 0.0), text + char)
-                if new not in step or now < step[new]:
-                    step[new] = now
+        if len(best) == 1 and len(place) == 1:  # one way on costs every path the same
+            [(state, (cost, text))], char = best.items(), place[0][0]
+            step[state[1:] + char if char else state] = (cost, text + char)
+        else:
+            for state, (cost, text) in best.items():
+                for char, extra in place:
+                    new = state[1:] + char if char else state
+                    now = (cost + extra + (model.cost(state, char) if char else 0.0), text + char)
+                    if new not in step or now < step[new]:
+                        step[new] = now
         best = step
         if at % 64 == 0:
             done.append(os.path.commonprefix([t for _, t in best.values()]))
@@ -213,28 +218,28 @@ class Regression:
         return self.bias + sum(w[i] * v for i, v in zip(at.tolist(), x.tolist()) if i in w)
 
 
-def train(rows: list[tuple], labels: np.ndarray, fit: Fit) -> Regression:
-    """Features by likelihood ratio of their presence, then weights by accelerated descent."""
-    n, pos = len(rows), float(labels.sum())
-    if not n or pos in (0, n):
-        return Regression(20.0 * (pos > 0) - 10.0 if n else 0.0, {})
-    at = np.concatenate([r[0] for r in rows])
-    x = np.concatenate([r[1] for r in rows])
-    doc = np.repeat(np.arange(n), [len(r[0]) for r in rows])
-    used, back = np.unique(at, return_inverse=True)
-    a = np.bincount(back, labels[doc], len(used))      # label 1 with the feature
-    t = np.bincount(back, minlength=len(used)).astype(float)
+def chosen(used: np.ndarray, a: np.ndarray, t: np.ndarray, n: int, pos: float,
+           fit: Fit) -> np.ndarray:
+    """Kept features by likelihood ratio of their presence, in falling gain.
 
+    ``t`` of ``n`` texts have the feature, ``a`` of the ``pos`` texts of label 1.
+    """
     def part(k, of, rate):
         return k * np.log(np.maximum(k, 1e-9) / np.maximum(of * rate, 1e-9))
     gain = sum(part(k, t if m else n - t, r) for m in (1, 0) for k, r in (
         ((a if m else pos - a), pos / n), ((t - a if m else n - pos - t + a), 1 - pos / n)))
     gain[t < fit.fewest] = -1
-    keep = np.sort(np.lexsort((used, -gain))[:min(fit.kept, int((gain > 0).sum()))])
-    slot = np.full(len(used), -1)
-    slot[keep] = np.arange(len(keep))
-    hit = slot[back] >= 0
-    doc, col, x = doc[hit], slot[back][hit], x[hit]
+    return np.sort(used[np.lexsort((used, -gain))[:min(fit.kept, int((gain > 0).sum()))]])
+
+
+def train(doc: np.ndarray, at: np.ndarray, x: np.ndarray, labels: np.ndarray, keep: np.ndarray,
+          fit: Fit) -> Regression:
+    """Weights of the kept features by accelerated descent; entries (doc, feature, value)."""
+    n, pos = len(labels), float(labels.sum())
+    if not n or pos in (0, n):
+        return Regression(20.0 * (pos > 0) - 10.0 if n else 0.0, {})
+    order = np.lexsort((at, doc))
+    doc, col, x = doc[order], np.searchsorted(keep, at[order]), x[order]
     w, b, rate = np.zeros(len(keep)), float(np.log(pos / (n - pos))), 0.0
     rate = 4.0 / max(1.0, np.bincount(doc, x * x, n).mean())
     look, prev = w.copy(), w.copy()
@@ -244,7 +249,7 @@ def train(rows: list[tuple], labels: np.ndarray, fit: Fit) -> Regression:
         w = look - rate * (np.bincount(col, slip[doc] * x, len(keep)) + fit.decay * look)
         b -= slip.sum()
         look, prev = w + k / (k + 3) * (w - prev), w
-    return Regression(b, dict(zip(used[keep].tolist(), w.tolist())))
+    return Regression(b, dict(zip(keep.tolist(), w.tolist())))
 
 
 def count_grams(docs: DataFrame, text_col: str = "text") -> CharModel:
@@ -298,11 +303,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, model: CharModel, fit: Fit
     made = F.arrow_udf(inputs, "at array<int>, x array<float>").asNondeterministic()
     sample = labelled_sample(docs.select("doc_id", "text"), labels, target, folds, held_out,
                              fit.sample)
-    got = sample.select(F.col("_label").cast("int").alias("y"), F.col("doc_id").alias("id"),
-                        made("text").alias("f")).toArrow().to_pylist()
-    got.sort(key=lambda r: r["id"])
-    return train([(np.array(r["f"]["at"], np.int64), np.array(r["f"]["x"])) for r in got],
-                 np.array([r["y"] for r in got], float), fit)
+    rows = write_stage(sample.select(
+        F.col("_label").cast("int").alias("y"), F.monotonically_increasing_id().alias("row"),
+        F.col("doc_id").alias("id"), made("text").alias("f")), "sample")
+    ids = rows.select("row", "id", "y").toArrow()  # bounded by the sample
+    order = np.lexsort((ids.column("row").to_numpy(), ids.column("id").to_numpy()))
+    row = ids.column("row").to_numpy()[order]
+    y = ids.column("y").to_numpy()[order].astype(float)
+    # which features to keep is counted by Spark; only entries of kept ones are gathered
+    entry = rows.select("row", "y", F.explode(F.arrays_zip("f.at", "f.x")).alias("e")).select(
+        "row", "y", F.col("e.at").alias("at"), F.col("e.x").alias("x"))
+    seen = (entry.groupBy("at").agg(F.sum("y").cast("double").alias("a"),
+                                    F.count("*").cast("double").alias("t"))
+            .where(F.col("t") >= fit.fewest).toArrow())
+    used, a, t = (seen.column(c).to_numpy() for c in ("at", "a", "t"))
+    n, pos = len(y), float(y.sum())
+    keep = chosen(used, a, t, n, pos, fit) if 0 < pos < n else np.zeros(0, np.int64)
+    kept = docs.sparkSession.createDataFrame(pa.table({"at": pa.array(keep, pa.int32())}))
+    got = entry.join(F.broadcast(kept), "at").select("row", "at", "x").toArrow()
+    place = np.argsort(row)
+    doc = place[np.searchsorted(row[place], got.column("row").to_numpy())]
+    return train(doc, got.column("at").to_numpy(), got.column("x").to_numpy().astype(float),
+                 y, keep, fit)
 
 
 class Scorer:
