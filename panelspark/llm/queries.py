@@ -149,6 +149,38 @@ def op11_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "word", "form", "root", "n", "n_near", "form_n")
 
 
+# crc32 by its table of 256 bytes; words without a letter meet on what is left
+SQL["op11_trie_pairs"] = """
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\u00C0-\u00FF]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT run, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM r),
+h AS (SELECT run, k, xor(list_reduce(list_transform(range(1, length(x), 2),
+    lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT)),
+    lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1]), 4294967295), 4294967295) AS h FROM b, tab),
+v AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 31 = 0
+    THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+s AS MATERIALIZED (SELECT word, i, substr(word, 1, i) AS a, substr(word, i + 2) AS z
+    FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+p AS MATERIALIZED (SELECT x.word AS u, y.word AS w FROM s x JOIN s y ON x.i = y.i AND x.a = y.a
+      AND x.z = y.z AND x.word <> y.word
+    UNION SELECT s.word, v.word FROM s JOIN v ON v.word = s.a || s.z
+    UNION SELECT v.word, s.word FROM s JOIN v ON v.word = s.a || s.z),
+f AS MATERIALIZED (SELECT v.word, v.n, count(p.w) AS k, max(o.n) AS most,
+    min(o.word) FILTER (o.n = (SELECT max(q.n) FROM p z JOIN v q ON q.word = z.w
+      WHERE z.u = v.word)) AS best
+    FROM v LEFT JOIN p ON p.u = v.word LEFT JOIN v o ON o.word = p.w GROUP BY v.word, v.n),
+g AS MATERIALIZED (SELECT word, n, k, CASE WHEN most >= 10 * n THEN best END AS form,
+    CASE WHEN most >= 10 * n THEN most END AS form_n FROM f),
+c AS (SELECT word, word AS root, 0 AS step FROM g UNION ALL
+    SELECT c.word, g.form, step + 1 FROM c JOIN g ON g.word = c.root WHERE g.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(root, step) FROM c WHERE c.word = g.word) AS root,
+  n, k AS n_near, form_n FROM g"""
+
+
 @query
 def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read(spark, sf_dir, "embeddings"))
