@@ -299,6 +299,65 @@ def pair_structure(units: DataFrame, stratum: str, pair: str = "pair_id",
         f"stack({len(names)}, {pairs}) AS (check_name, n_bad)").withColumn("ok", F.col("n_bad") == 0)
 
 
+def panel_verifier(units: DataFrame, matched: DataFrame, panel: DataFrame, first: int, last: int,
+                   log: bool = True, unit: str = "unit_id", cell: str = "pixel_id") -> DataFrame:
+    """Units against the matched rows they come from, and the panel against its units.
+
+    ``matched`` (pair_id, cell, treat, gvar) carries the cohort recomputed from its source;
+    null cohorts are compared as such. Every check counts its offenders: rows of either
+    side without the other, repeated ids, cohorts that differ, panel rows of no unit, out
+    of the window, repeated or without a value, values a logarithm cannot take, years of
+    the window that nobody has, units without a row, treated units whose cohort lies after
+    the last year observed.
+    """
+    key = ["pair_id", cell, "treat"]
+    a = units.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min("gvar").alias("__g"),
+                                F.max("gvar").alias("__h"))
+    b = matched.groupBy(*key).agg(F.count(F.lit(1)).alias("__m"), F.min("gvar").alias("__w"))
+    both = null_safe_join(a, b, key, "left")
+    differ = F.col("__m").isNotNull() & ~(F.col("__g").eqNullSafe(F.col("__w"))
+                                          & F.col("__h").eqNullSafe(F.col("__w")))
+    there = null_safe_join(b, a.select(*key, "__n"), key, "left")
+    year, value = F.col("year"), F.col("value")
+    by_year = panel.groupBy(unit, "year").agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(value.isNull().cast("long")).alias("__null"),
+        F.sum((value < 0).cast("long")).alias("__neg"))
+    by_unit = by_year.groupBy(unit).agg(
+        F.sum("__n").alias("__rows"), F.sum(F.col("__n") - 1).alias("__twice"),
+        F.sum("__null").alias("__null"), F.sum("__neg").alias("__neg"),
+        F.sum(F.when(~year.between(first, last), F.col("__n")).otherwise(0)).alias("__out"))
+    ids = units.groupBy(unit).agg(F.count(F.lit(1)).alias("__k"),
+                                  F.max(F.when(F.col("treat") == 1, F.col("gvar"))).alias("__c"))
+    ends = panel.agg(F.max("year").alias("__last"))
+    u = null_safe_join(ids, by_unit, [unit], "left").crossJoin(ends)  # one row
+    p = null_safe_join(by_unit, ids.select(unit, "__k"), [unit], "left")
+    span = units.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
+    gone = span.join(panel.select("year").distinct(), "year", "left_anti")
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+    parts = [
+        (both, {"unit_not_matched": total(F.when(F.col("__m").isNull(), F.col("__n")).otherwise(0)),
+                "cohort_differs": total(F.when(differ, F.col("__n")).otherwise(0))}),
+        (there, {"matched_not_unit": total(F.when(F.col("__n").isNull(), F.col("__m")).otherwise(0))}),
+        (u, {"unit_id_repeated": total(F.col("__k") - 1),
+             "unit_without_rows": total(F.col("__rows").isNull().cast("long")),
+             "cohort_not_viable": total((F.coalesce("__c", F.lit(0)) > F.col("__last")).cast("long"))}),
+        (p, {"row_of_no_unit": total(F.when(F.col("__k").isNull(), F.col("__rows")).otherwise(0)),
+             "row_repeated": total(F.col("__twice")), "row_without_value": total(F.col("__null")),
+             "row_out_of_window": total(F.col("__out")),
+             "value_without_log": total(F.col("__neg")) if log else F.lit(0).cast("long")}),
+        (gone, {"year_absent": F.count(F.lit(1))})]
+    out = None
+    for frame, checks in parts:
+        pairs = ", ".join(f"'{k}', `{k}`" for k in checks)
+        one = frame.agg(*[v.alias(k) for k, v in checks.items()]).selectExpr(
+            f"stack({len(checks)}, {pairs}) AS (check_name, n_bad)")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("ok", F.col("n_bad") == 0)
+
+
 def unit_checks(first: int, last: int, c=F.col) -> dict[str, Column]:
     """Conditions every unit row must meet."""
     t = c("treat") == 1

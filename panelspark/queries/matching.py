@@ -607,7 +607,36 @@ def match_specs(spark, sf):
     return M.match_specs(d, m, ["win_key"]).withColumn("match_rate", F.round("match_rate", 6))
 
 
-@query("balance_before_after")
+_GAPS = """, raw AS (SELECT lv.win_key, lv.treat, unnest(['x1', 'x2', 'x3']) AS covariate,
+      unnest([lv.x1, o.x2, o.x3]) AS v FROM lv LEFT JOIN o USING (pixel_id)),
+    got AS (SELECT q.win_key, q.treat, unnest(['x1', 'x2', 'x3']) AS covariate,
+      unnest([lv.x1, o.x2, o.x3]) AS v FROM (SELECT win_key, unnest([1, 0]) AS treat,
+        unnest([p.tid, p.cid]) AS pixel_id FROM p) q JOIN lv USING (win_key, treat, pixel_id)
+      LEFT JOIN o USING (pixel_id)),
+    al AS (SELECT 'unadjusted' AS stage, * FROM raw WHERE v IS NOT NULL UNION ALL
+      SELECT 'adjusted', * FROM got WHERE v IS NOT NULL),
+    mo AS (SELECT stage, win_key, covariate, count(*) FILTER (treat = 1) AS n_treat,
+      count(*) FILTER (treat = 0) AS n_ctrl, avg(v) FILTER (treat = 1) AS mt,
+      avg(v) FILTER (treat = 0) AS mc, stddev_samp(v) FILTER (treat = 1) AS st FROM al GROUP BY ALL),
+    cu AS (SELECT stage, win_key, covariate, max(abs(ft - fc)) AS ex FROM (SELECT stage, win_key,
+      covariate, v, sum(sum(treat)) OVER w / sum(sum(treat)) OVER g AS ft,
+      sum(sum(1 - treat)) OVER w / sum(sum(1 - treat)) OVER g AS fc FROM al
+      GROUP BY stage, win_key, covariate, v WINDOW w AS (PARTITION BY stage, win_key, covariate
+        ORDER BY v), g AS (PARTITION BY stage, win_key, covariate)) GROUP BY ALL)
+    SELECT m.win_key, m.covariate, m.stage, m.n_treat, m.n_ctrl, round((m.mt - m.mc) / u.st, 6) AS smd,
+    round(ex, 6) AS ecdf_max FROM mo m JOIN cu USING (stage, win_key, covariate)
+    JOIN mo u ON u.stage = 'unadjusted' AND u.win_key = m.win_key AND u.covariate = m.covariate"""
+
+
+@query("score_coefficients", _ROWS + _PLAIN + """SELECT win_key, round(b0, 4) AS b0,
+    round(b1, 4) AS b1, round(b2, 4) AS b2, round(b3, 4) AS b3 FROM fits WHERE fold = -1""")
+def score_coefficients(spark, sf):
+    fit = fit_scores(_complete(levels(spark, sf)), ["win_key"], X)
+    return fit.select("win_key", *[F.round(F.col("beta")[i], 4).alias(f"b{i}") for i in range(4)])
+
+
+@query("balance_before_after", _ROWS + _PLAIN + "," + _PICKED + _WITHIN + _by_score(_REACH)
+       .rstrip() + _GAPS)
 def balance_both(spark, sf):
     d, m = _matched(spark, sf, "glm_cal025")
     return balance_before_after(d, m, "win_key", X).select(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import quality as Q
-from panelspark.queries.base import (event_frame, layer_values, matched_units, n_if, query,
-                                     table, units, with_)
+from panelspark.queries.base import (cohorts, event_frame, layer_values, matched_units, n_if, query,
+                                     table, unit_panel, units, with_)
 
 
 @query("value_profile", with_("layer_values", v="SELECT layer, year, CASE WHEN value > 48 THEN "
@@ -237,6 +237,65 @@ def pair_structure_damaged(spark, sf):
         "gvar": F.when(m == 4, F.col("gvar") + 1).when(m == 6, 1990).otherwise(F.col("gvar"))}), "lulc")
 
 
+_PANEL_CHECKS = """, a AS (SELECT pair_id, pixel_id, treat, count(*) AS n, min(gvar) AS g,
+      max(gvar) AS h FROM un GROUP BY ALL),
+    b AS (SELECT pair_id, pixel_id, treat, count(*) AS m, min(gvar) AS w FROM ma GROUP BY ALL),
+    ab AS (SELECT a.n, a.g, a.h, b.m, b.w FROM a FULL JOIN b ON a.pair_id = b.pair_id
+      AND a.pixel_id = b.pixel_id AND a.treat = b.treat),
+    ids AS (SELECT unit_id, count(*) AS k, max(gvar) FILTER (treat = 1) AS c FROM un GROUP BY 1),
+    v AS (SELECT unnest(map_entries(MAP {
+      'unit_not_matched': (SELECT coalesce(sum(n), 0) FROM ab WHERE m IS NULL),
+      'cohort_differs': (SELECT coalesce(sum(n), 0) FROM ab WHERE m IS NOT NULL AND n IS NOT NULL
+        AND (g IS DISTINCT FROM w OR h IS DISTINCT FROM w)),
+      'matched_not_unit': (SELECT coalesce(sum(m), 0) FROM ab WHERE n IS NULL),
+      'unit_id_repeated': (SELECT count(*) - count(DISTINCT unit_id) FROM un),
+      'unit_without_rows': (SELECT count(*) FROM ids WHERE unit_id NOT IN (SELECT unit_id FROM pa)),
+      'cohort_not_viable': (SELECT count(*) FROM ids WHERE c > (SELECT max(year) FROM pa)),
+      'row_of_no_unit': (SELECT count(*) FROM pa WHERE unit_id NOT IN (SELECT unit_id FROM un)),
+      'row_repeated': (SELECT count(*) - count(DISTINCT (unit_id, year)) FROM pa),
+      'row_without_value': (SELECT count(*) FROM pa WHERE value IS NULL),
+      'row_out_of_window': (SELECT count(*) FROM pa WHERE year NOT BETWEEN 1995 AND 2001),
+      'value_without_log': (SELECT count(*) FROM pa WHERE value < 0),
+      'year_absent': (SELECT count(*) FROM range(1995, 2002) y(year) WHERE year NOT IN
+        (SELECT year FROM pa))})) AS e)
+    SELECT e.key AS check_name, CAST(e.value AS BIGINT) AS n_bad, e.value = 0 AS ok FROM v"""
+
+
+@query("panel_verifier", with_("panel", "cohorts", un="SELECT * FROM matched_units",
+    ma="SELECT m.* REPLACE (c.gvar AS gvar) FROM matched_units m JOIN cohorts c USING (pixel_id)",
+    pa="SELECT * FROM panel")[:-1] + _PANEL_CHECKS)
+def panel_verifier(spark, sf):
+    u = matched_units(spark, sf)
+    source = u.drop("gvar").join(cohorts(spark, sf).select("pixel_id", "gvar"), "pixel_id")
+    return Q.panel_verifier(u, source, unit_panel(spark, sf), 1995, 2001)
+
+
+# each check meets a damage of its own: lost, doubled and renamed units, other cohorts, lost,
+# doubled and moved rows, no values, negative values, a year that nobody has
+@query("panel_verifier_damaged", with_("panel", "cohorts", un="""SELECT * REPLACE (
+      CASE WHEN pixel_id % 40 = 3 THEN -pixel_id ELSE pair_id END AS pair_id,
+      CASE WHEN pixel_id % 40 = 4 THEN gvar + 1 WHEN pixel_id % 40 = 5 AND treat = 1 THEN 2105
+        ELSE gvar END AS gvar) FROM (SELECT * FROM matched_units UNION ALL SELECT * FROM matched_units
+      WHERE pixel_id % 40 = 2) WHERE pixel_id % 40 <> 1""",
+    ma="SELECT m.* REPLACE (c.gvar AS gvar) FROM matched_units m JOIN cohorts c USING (pixel_id)",
+    pa="""SELECT * REPLACE (CASE WHEN pixel_id % 40 = 8 THEN year + 30 ELSE year END AS year,
+      CASE WHEN pixel_id % 40 = 9 THEN NULL WHEN pixel_id % 40 = 10 THEN -value ELSE value END
+        AS value) FROM (SELECT * FROM panel UNION ALL SELECT * FROM panel WHERE pixel_id % 40 = 7)
+      WHERE pixel_id % 40 <> 6 AND (year <> 1998 OR pixel_id % 40 = 8)""")[:-1] + _PANEL_CHECKS)
+def panel_verifier_damaged(spark, sf):
+    whole, rows, m = matched_units(spark, sf), unit_panel(spark, sf), F.col("pixel_id") % 40
+    source = whole.drop("gvar").join(cohorts(spark, sf).select("pixel_id", "gvar"), "pixel_id")
+    u = whole.unionByName(whole.where(m == 2)).where(m != 1).withColumns({
+        "pair_id": F.when(m == 3, -F.col("pixel_id")).otherwise(F.col("pair_id")),
+        "gvar": F.when(m == 4, F.col("gvar") + 1).when(
+            (m == 5) & (F.col("treat") == 1), 2105).otherwise(F.col("gvar"))})
+    p = rows.unionByName(rows.where(m == 7)).where(
+        (m != 6) & ((F.col("year") != 1998) | (m == 8))).withColumns({
+            "year": F.when(m == 8, F.col("year") + 30).otherwise(F.col("year")),
+            "value": F.when(m == 10, -F.col("value")).when(m != 9, F.col("value"))})
+    return Q.panel_verifier(u, source, p, 1995, 2001)
+
+
 @query("unit_invariants", with_("matched_units", c=f"""SELECT {n_if("treat = 1 AND gvar < 1996")}
     AS b FROM matched_units""") + """SELECT check_name, CASE WHEN check_name =
     'treated_gvar_in_range' THEN b ELSE 0 END AS n_bad, NOT (check_name = 'treated_gvar_in_range'
