@@ -105,7 +105,7 @@ def viterbi(token: str, model: CharModel) -> str:
 
     What all paths begin with is set aside on the way, so time grows with the length.
     """
-    best, done = {"\x02\x02": (0.0, "")}, []
+    best, done, known = {"\x02\x02": (0.0, "")}, [], model.memo
     for at, place in enumerate(arcs(token), 1):
         step: dict[str, tuple[float, str]] = {}
         if len(best) == 1 and len(place) == 1:  # one way on costs every path the same
@@ -114,9 +114,15 @@ def viterbi(token: str, model: CharModel) -> str:
         else:
             for state, (cost, text) in best.items():
                 for char, extra in place:
-                    new = state[1:] + char if char else state
-                    now = (cost + extra + (model.cost(state, char) if char else 0.0), text + char)
-                    if new not in step or now < step[new]:
+                    if char:
+                        new, priced = state[1:] + char, known.get(state + char)
+                        if priced is None:
+                            priced = model.cost(state, char)
+                        now = (cost + extra + priced, text + char)
+                    else:
+                        new, now = state, (cost + extra, text)
+                    old = step.get(new)
+                    if old is None or now < old:
                         step[new] = now
         best = step
         if at % 64 == 0:
