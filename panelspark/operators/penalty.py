@@ -57,8 +57,11 @@ def level_table(df: DataFrame, by: Sequence[str], covariates: Sequence[str]) ->
 
 def scaled_rows(df: DataFrame, levels: DataFrame, by: Sequence[str], covariates: Sequence[str],
                 key: str | None, path: Path) -> DataFrame:
-    """(lev, fold, y, z): rows on the scale of their level, fold by a digest of the id."""
-    fold = F.lit(0)
+    """(lev, fold, y, z): rows on the scale of their level, fold by a digest of the id.
+
+    Rows that lack a covariate are left out.
+    """
+    df, fold = df.dropna(subset=[*covariates, "treat"]), F.lit(0)
     if path.folds:
         digest = seeded_order(F.col(key), path.seed)
         fold = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(path.folds))

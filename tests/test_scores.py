@@ -69,6 +69,15 @@ def test_chosen_fit_is_the_fit_at_that_penalty(spark):
         assert np.allclose(r.beta, mine.beta, atol=1e-6)
 
 
+def test_rows_without_a_covariate_are_left_out(spark):
+    pdf = make(5, 300)
+    whole = L.fit_scores(spark.createDataFrame(pdf), ["lev"], ["a", "b"]).collect()
+    holes = spark.createDataFrame(pdf).union(spark.createDataFrame(
+        [(None, 1.0, 0.0, 1.0, 1, 900 + i, "big", "x") for i in range(9)], spark.createDataFrame(pdf).schema))
+    got = L.fit_scores(holes, ["lev"], ["a"], alpha=0.5, lam=0.01).collect()
+    assert len(whole) == len(got) == 2 and all(np.isfinite(r.beta).all() and r.converged for r in got)
+
+
 def test_separated_level_fails_and_the_others_match(spark):
     pdf = make(3, 400)
     pdf.loc[pdf.lev.isna(), "a"] = pdf.treat * 10.0 + pdf.b * 1e-4
