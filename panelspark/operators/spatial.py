@@ -354,11 +354,14 @@ def nearest_distance(cells: DataFrame, n_col: int, sample: int | None = None, se
 
 
 def _nearest_in(asked: DataFrame, base: DataFrame, tile: int) -> DataFrame:
-    """Smallest squared distance of asked (id, r, c, tr, tc) to other cells of the tiles."""
+    """Smallest squared distance of asked (id, r, c, tr, tc) to other cells of the tiles.
+
+    Estimates leave out the copies of the asked, so the join is told not to broadcast.
+    """
     other = base.withColumn("tr", F.floor(F.col("row") / tile)).withColumn(
         "tc", F.floor(F.col("col") / tile))
     dr, dc = F.col("row") - F.col("r"), F.col("col") - F.col("c")
-    return asked.join(other, ["tr", "tc"]).where(F.col("pixel_id") != F.col("id")).groupBy(
+    return asked.hint("merge").join(other, ["tr", "tc"]).where(F.col("pixel_id") != F.col("id")).groupBy(
         F.col("id").alias("pixel_id")).agg(F.min(dr * dr + dc * dc).alias("d2"))
 
 

@@ -108,3 +108,17 @@ def test_distinct_counts_by_bitmaps(spark):
                 x = g[((g.stratum == s) | (s == "")) & ((g.zone == z) | (z == ""))]
                 want[p, s, z] = (len(x), x.pair_id.nunique(), x[(x.treat == 1) & (x.gvar > 0)].gvar.nunique())
     assert {k: tuple(got.loc[k, ["n_units", "n_pairs", "n_cohorts"]]) for k in got.index} == want
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbour_tiles_are_never_broadcast(spark):
+    """Nine copies of a packed grid look small to the optimiser, and are not."""
+    cells = spark.range(1, 400).withColumnRenamed("id", "pixel_id")
+    base = cells.select("pixel_id", spatial.grid_row(F.col("pixel_id"), 20).alias("row"),
+                        spatial.grid_col(F.col("pixel_id"), 20).alias("col"))
+    asked = base.select(F.col("pixel_id").alias("id"), F.col("row").alias("r"), F.col("col").alias("c"),
+                        F.floor(F.col("row") / 8).alias("tr"), F.floor(F.col("col") / 8).alias("tc"))
+    assert "Broadcast" not in physical(spatial._nearest_in(asked, base, 8))
