@@ -216,7 +216,8 @@ def spacing_conflicts(reps: DataFrame, group: str, min_d2: int) -> DataFrame:
     """Edges from a representative to a better one that is too close.
 
     Only the eight surrounding blocks can conflict, so the eight shifted copies
-    meet their neighbours in one equi-join: at most eight edges per cell.
+    meet their neighbours in one equi-join: at most eight edges per cell. Estimates
+    leave out the copies and what the file packs, so the join is told not to broadcast.
     """
     shift = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
                       for a, b in NEIGHBOURS])
@@ -225,7 +226,7 @@ def spacing_conflicts(reps: DataFrame, group: str, min_d2: int) -> DataFrame:
         F.col("col").alias("__c"), F.col("d2").alias("__d"),
         (F.col("brow") + F.col("__o.a")).alias("brow"),
         (F.col("bcol") + F.col("__o.b")).alias("bcol"))
-    j = left.join(reps, [group, "brow", "bcol"])
+    j = left.hint("merge").join(reps, [group, "brow", "bcol"])
     dr, dc = F.col("row") - F.col("__r"), F.col("col") - F.col("__c")
     better = (F.col("d2") < F.col("__d")) | (
         (F.col("d2") == F.col("__d")) & (F.col("pixel_id") < F.col("src")))

@@ -122,3 +122,11 @@ def test_neighbour_tiles_are_never_broadcast(spark):
     asked = base.select(F.col("pixel_id").alias("id"), F.col("row").alias("r"), F.col("col").alias("c"),
                         F.floor(F.col("row") / 8).alias("tr"), F.floor(F.col("col") / 8).alias("tc"))
     assert "Broadcast" not in physical(spatial._nearest_in(asked, base, 8))
+
+
+def test_spacing_conflicts_are_never_broadcast(spark):
+    grid = spark.range(1, 400).select(F.col("id").alias("pixel_id"), F.lit("g").alias("g"))
+    blocks = spatial.block_columns(grid, 20, 5, 2)
+    assert "Broadcast" not in physical(spatial.spacing_conflicts(blocks, "g", 25))
+    near = spatial.spacing_check(grid, "g", 20, 5, 2).collect()
+    assert [(r.n_cells, r.n_blocks_shared) for r in near] == [(399, 16)]
