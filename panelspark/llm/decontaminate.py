@@ -1,16 +1,15 @@
 """Benchmark decontamination by SimHash windows of the size of each item.
 
 Every window of an item's size has a fingerprint over its word shingles. Fingerprints
-within RADIUS bits of an item's are found through four blocks of sixteen bits: one of
-them differs in at most RADIUS // 4 bits, and a table of the blocks that close to an
-item's says so in one look. Windows found are compared by their weighted shingles.
+within RADIUS bits of an item's are found through four blocks of sixteen bits: tables say
+in one look how many bits a block is from the nearest item's, and over the four blocks that
+adds up to RADIUS at most. Windows found are compared by their weighted shingles.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from panelspark.llm.shared import write_stage
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 15  # a similarity of 0.8 turns about eight bits of an item of thirty words
-CHUNK_WORDS = 4096
+CHUNK_WORDS = 8192
 SLICE = 64
 ITEM_BYTES = 16 << 20  # item text that one pass sends to the executors
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -84,14 +83,14 @@ def _prints(run: np.ndarray, m: int, n: int, space: dict | None = None) -> np.nd
 GROUP = 64  # items of one length whose block tables are one
 
 
-def _block_tables(fps: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Per block of sixteen bits: does an item's block lie within ``radius`` bits?"""
-    flips = np.array([sum(1 << b for b in c) for r in range(radius + 1)
-                      for c in combinations(range(16), r)], np.uint16)
-    tables = []
+def _block_tables(fps: np.ndarray) -> list[np.ndarray]:
+    """Per block of sixteen bits: in how many bits the nearest item's block differs."""
+    values = np.arange(1 << 16, dtype=np.uint16)
+    ones, tables = np.bitwise_count(values), []
     for blocks in fps.view(np.uint16).reshape(-1, 4).T:
-        tables.append(np.zeros(1 << 16, bool))
-        tables[-1][np.bitwise_xor.outer(blocks, flips)] = True
+        tables.append(np.full(1 << 16, 16, np.uint8))
+        for block in np.unique(blocks):
+            np.minimum(tables[-1], ones.take(values ^ block), out=tables[-1])
     return tables
 
 
@@ -125,7 +124,7 @@ class Bench:
                     _prints(_running(g, np.int64), n or len(g), 1) for g in grams]) for n in (m, 0))
                 self.sizes.append((
                     base, k, m, [i for i, _ in part], np.array([len(w) for _, w in part]),
-                    first, whole, _block_tables(first, radius // 4),
+                    first, whole, _block_tables(first),
                     [weighted_shingles(w, k) for _, w in part], [set(g.tolist()) for g in grams]))
 
     def scan(self, docs: list[list[bytes]]) -> list[dict]:
@@ -143,6 +142,7 @@ class Bench:
         room = ends[owner] - np.arange(len(words))  # words to the end of the text
         h = self.hasher(words)
         runs: dict = {}
+        texts: dict = {}  # fingerprints of whole texts
         for base, k, m, ids, sizes, fps, whole, tables, weights, sets in self.sizes:
             if k not in runs:
                 runs[k] = shingle_hashes(h, k), {}
@@ -153,11 +153,11 @@ class Bench:
             n = len(words) - base + 1
             if n > 0:
                 fp = _prints(run, m, n, self.space)
-                blocks = fp.view(np.uint16).reshape(-1, 4).T.astype(np.intp)
-                near = tables[0].take(blocks[0])
+                blocks = fp.view(np.uint16).reshape(-1, 4).T.astype(np.intp, order="C")
+                least_bits = tables[0].take(blocks[0], mode="wrap")  # never out of range: unchecked
                 for table, b in zip(tables[1:], blocks[1:]):
-                    near |= table.take(b)
-                at = np.flatnonzero(near)
+                    least_bits += table.take(b, mode="wrap")
+                at = np.flatnonzero(least_bits <= self.radius)
                 close = np.bitwise_count(fp[at][:, None] ^ fps) <= self.radius
                 hit, items = np.divmod(np.flatnonzero(close), len(fps))
                 hit = at[hit]
@@ -172,8 +172,9 @@ class Bench:
             least = k - 1 + self.similarity * (sizes.min() - k + 1)
             for g in np.flatnonzero((lengths < sizes.max()) & (lengths >= max(k, least))).tolist():
                 a, z = int(ends[g] - lengths[g]), int(ends[g])
-                fp = _prints(_running(grams[a:z - k + 1], np.int64), z - a - k + 1, 1)
-                near = (np.bitwise_count(whole ^ fp) <= self.radius) & (sizes > z - a)
+                if (k, g) not in texts:
+                    texts[k, g] = _prints(_running(grams[a:z - k + 1], np.int64), z - a - k + 1, 1)
+                near = (np.bitwise_count(whole ^ texts[k, g]) <= self.radius) & (sizes > z - a)
                 for j in np.flatnonzero(near).tolist():
                     self._compare(words[a:z], k, ids[j], weights[j], found[group[g]], 0)
 

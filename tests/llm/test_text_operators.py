@@ -558,3 +558,18 @@ def lattice_words(token):
 def cost(model, word):
     s = f"\x02\x02{word[0]}\x03"
     return word[1] + sum(model.cost(s[i - 2:i], s[i]) for i in range(2, len(s)))
+
+
+def test_leak_tables_bound_the_bits_and_leave_few():
+    from panelspark.llm import decontaminate as D
+
+    rng = np.random.default_rng(3)
+    items, prints = (rng.integers(0, 2**63, n, np.uint64) * 2 + rng.integers(0, 2, n, np.uint64)
+                     for n in (13, 20_000))
+    blocks = prints.view(np.uint16).reshape(-1, 4).T
+    bound = sum(t[b].astype(int) for t, b in zip(D._block_tables(items), blocks))
+    true = np.bitwise_count(prints[:, None] ^ items).min(axis=1)
+    assert (bound <= true).all() and (bound <= D.RADIUS).mean() < 0.15
+    one = D._block_tables(items[:1])
+    assert (sum(t[b].astype(int) for t, b in zip(one, blocks))
+            == np.bitwise_count(prints ^ items[0])).all()
