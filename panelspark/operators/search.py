@@ -26,6 +26,7 @@ from panelspark.session import cut_lineage
 KEPT = 32
 SAMPLE = 400_000    # controls whose coordinates shape the trees, over all cells
 TASK_ROWS = 4_096   # treated units that meet a leaf in one task
+MATRIX = 1_000_000  # distances that a task holds at once, however many controls a leaf has
 M = 1_000_003       # the mix of ids: (t * 7919 + c * 104729) mod M
 
 
@@ -115,6 +116,57 @@ def _floats(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def _meet(t: pa.Table, c: pa.Table, has_cal: bool, has_lim: bool) -> pa.Table:
+    """(n, tid, cid, m, d): per treated unit the controls of one leaf that it would take first.
+
+    Treated units go through in slices, so that no matrix of distances grows with the leaf.
+    """
+    out: dict[str, list] = {k: [] for k in ("n", "tid", "cid", "m", "d")}
+    if t.num_rows and c.num_rows:
+        t, c = t.combine_chunks(), c.combine_chunks()
+
+        def col(table, name):
+            return table.column(name).to_numpy()
+
+        def mat(table, name):
+            return _floats(table.column(name).combine_chunks())
+
+        cx, cid, cs, cv = mat(c, "cx"), col(c, "cid"), col(c, "cs"), mat(c, "cv")
+        hp, ht = col(c, "hp").astype(float), c.column("ht").to_pandas().to_numpy(float, na_value=np.nan)
+        step = max(1, MATRIX // len(cx))
+        for at in range(0, t.num_rows, step):
+            own = t.slice(at, step)
+            tx, tid, prio = mat(own, "tx"), col(own, "tid"), col(own, "prio")
+            d2 = np.zeros((len(tx), len(cx)))
+            for a in range(cx.shape[1]):  # axis by axis, as one cell in one task adds up
+                gap = cx[:, a] - tx[:, a:a + 1]
+                d2 += gap * gap
+            d = np.sqrt(d2)
+            ok = np.isnan(hp) | (hp > prio[:, None]) | ((hp == prio[:, None]) & (ht > tid[:, None]))
+            if has_cal:
+                ok &= np.abs(cs - col(own, "ts")[:, None]) <= col(own, "cal").astype(float)[:, None]
+            if has_lim:
+                tv, reach = mat(own, "tv"), mat(own, "vcal")
+                for a in range(tv.shape[1]):
+                    ok &= np.abs(cv[:, a] - tv[:, a:a + 1]) <= reach[:, a:a + 1]
+            d = np.where(ok, d, np.inf)
+            if d.shape[1] > KEPT:
+                kth = np.partition(d, KEPT - 1, axis=1)[:, KEPT - 1:KEPT]
+                i, j = np.nonzero((d <= kth) & np.isfinite(d))
+            else:
+                i, j = np.nonzero(np.isfinite(d))
+            mix = (tid[i] % M * 7919 + cid[j] % M * 104_729) % M
+            order = np.lexsort((cid[j], mix, d[i, j], i))
+            i, j, mix = i[order], j[order], mix[order]
+            place_ = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, mix = (z[place_ < KEPT] for z in (i, j, mix))
+            for name, v in (("n", col(own, "n")[i]), ("tid", tid[i]), ("cid", cid[j]), ("m", mix), ("d", d[i, j])):
+                out[name].append(v)
+    kinds = {k: float if k == "d" else np.int64 for k in out}
+    return pa.table({k: np.concatenate(v).astype(kinds[k]) if v else np.zeros(0, kinds[k])
+                     for k, v in out.items()})
+
+
 class Search:
     """Trees and boxes of all large cells, sent to the workers once; their size is bounded."""
 
@@ -220,51 +272,9 @@ class Search:
         seen = self.compared
 
         def meet(t: pa.Table, c: pa.Table) -> pa.Table:
-            out = {k: [] for k in ("n", "tid", "cid", "m")}, []
-            if t.num_rows and c.num_rows:
-                if seen is not None:
-                    seen.add(t.num_rows * c.num_rows)
-                t, c = t.combine_chunks(), c.combine_chunks()
-
-                def col(table, name):
-                    return table.column(name).to_numpy()
-
-                def mat(table, name):
-                    return _floats(table.column(name).combine_chunks())
-
-                tx, cx, tid, cid, prio = mat(t, "tx"), mat(c, "cx"), col(t, "tid"), col(c, "cid"), col(t, "prio")
-                d2 = np.zeros((len(tx), len(cx)))
-                for a in range(cx.shape[1]):  # axis by axis, as one cell in one task adds up
-                    gap = cx[:, a] - tx[:, a:a + 1]
-                    d2 += gap * gap
-                d = np.sqrt(d2)
-                hp, ht = col(c, "hp").astype(float), c.column("ht").to_pandas().to_numpy(float, na_value=np.nan)
-                ok = np.isnan(hp) | (hp > prio[:, None]) | ((hp == prio[:, None]) & (ht > tid[:, None]))
-                if has_cal:
-                    ok &= np.abs(col(c, "cs") - col(t, "ts")[:, None]) <= col(t, "cal").astype(float)[:, None]
-                if has_lim:
-                    tv, cv, reach = mat(t, "tv"), mat(c, "cv"), mat(t, "vcal")
-                    for a in range(tv.shape[1]):
-                        ok &= np.abs(cv[:, a] - tv[:, a:a + 1]) <= reach[:, a:a + 1]
-                d = np.where(ok, d, np.inf)
-                if d.shape[1] > KEPT:
-                    kth = np.partition(d, KEPT - 1, axis=1)[:, KEPT - 1:KEPT]
-                    i, j = np.nonzero((d <= kth) & np.isfinite(d))
-                else:
-                    i, j = np.nonzero(np.isfinite(d))
-                mix = (tid[i] % M * 7919 + cid[j] % M * 104_729) % M
-                order = np.lexsort((cid[j], mix, d[i, j], i))
-                i, j, mix = i[order], j[order], mix[order]
-                place_ = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j, mix = (z[place_ < KEPT] for z in (i, j, mix))
-                cols, dist = out
-                for name, v in (("n", col(t, "n")[i]), ("tid", tid[i]), ("cid", cid[j]), ("m", mix)):
-                    cols[name].append(v)
-                dist.append(d[i, j])
-            cols, dist = out
-            return pa.table({**{k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)
-                                for k, v in cols.items()},
-                             "d": np.concatenate(dist) if dist else np.zeros(0)})
+            if seen is not None:
+                seen.add(t.num_rows * c.num_rows)
+            return _meet(t, c, has_cal, has_lim)
 
         key = [*place, "part"]
         got = left.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(

@@ -1,9 +1,12 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import balance, matching as M
+from panelspark.operators import balance, matching as M, search
 from panelspark.operators.penalty import fit_scores
 from panelspark.plans.match import match_config
 
@@ -121,3 +124,38 @@ def test_caliper_on_the_axis_ends_the_search(spark, monkeypatch, small_pairs):
             want[r.pixel_id] = int(near[1])
             free.pop(near[1])
     assert got == want
+
+
+def leaf(n_t, n_c, seed=0):
+    rng = np.random.default_rng(seed)
+
+    def lists(n, k):
+        return pa.array(rng.integers(0, 9, (n, k)).astype(float).tolist(), pa.list_(pa.float64()))
+
+    t = pa.table({"n": np.zeros(n_t, np.int64), "tid": rng.permutation(n_t), "prio": rng.normal(size=n_t),
+                  "tx": lists(n_t, 3), "ts": rng.normal(size=n_t), "cal": np.full(n_t, 1.0),
+                  "tv": lists(n_t, 1), "vcal": pa.array([[4.0]] * n_t, pa.list_(pa.float64()))})
+    held = rng.random(n_c) < 0.5
+    c = pa.table({"cid": rng.permutation(n_c) + n_t, "cx": lists(n_c, 3), "cs": rng.normal(size=n_c),
+                  "cv": lists(n_c, 1), "hp": pa.array(rng.normal(size=n_c), mask=held),
+                  "ht": pa.array(rng.integers(0, n_t, n_c), mask=held)})
+    return t, c
+
+
+def test_a_crowded_leaf_is_met_in_bounded_memory():
+    t, c = leaf(4096, 4000)
+    tracemalloc.start()
+    search._meet(t, c, True, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # one matrix of all pairs takes 131 MB, and several are needed
+
+
+@pytest.mark.parametrize("limits", [(False, False), (True, False), (False, True), (True, True)])
+def test_slices_of_a_leaf_give_the_whole(limits, monkeypatch):
+    t, c = leaf(120, 90)
+    whole = search._meet(t, c, *limits)
+    monkeypatch.setattr(search, "MATRIX", 700)
+    assert whole.num_rows and search._meet(t, c, *limits).equals(whole)
+    empty = search._meet(t, c.slice(0, 0), *limits)
+    assert empty.num_rows == 0 and empty.schema == whole.schema
