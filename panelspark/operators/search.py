@@ -27,6 +27,8 @@ KEPT = 32
 SAMPLE = 400_000    # controls whose coordinates shape the trees, over all cells
 TASK_ROWS = 4_096   # treated units that meet a leaf in one task
 MATRIX = 1_000_000  # distances that a task holds at once, however many controls a leaf has
+FEW = 200_000       # rows (n, id) up to which a round sends them to every task
+HELD = "n long, cid long, prio double, tid long, dist double"
 M = 1_000_003       # the mix of ids: (t * 7919 + c * 104729) mod M
 
 
@@ -313,46 +315,55 @@ class Search:
         return out.select("n", "tid", "cid", "d", "rank"), full
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows of a written table, sent to every task if they were counted to be few."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def match_rounds(rows: DataFrame, has_cal: bool, has_lim: bool, size: int,
                  report: dict | None = None) -> DataFrame:
     """(n, tid, cid, dist) of cells too large for one task, by rounds of proposals.
 
     Every free unit proposes to the first control of its list that no better unit holds; a
-    control keeps its best proposer. Units whose list is used up search again.
+    control keeps its best proposer. Units whose list is used up wait, and search again
+    once they are as many as those that propose; no order of the proposals changes the
+    matching. A round reads what concerns its free units.
     ``report`` receives the number of pairs whose distance was computed.
     """
     search = Search(rows, size, report)
     treated = search.rows.where("treat = 1").select(
         "n", F.col("id").alias("tid"), "prio", F.col("x").alias("tx"), F.col("s").alias("ts"),
         F.col("v").alias("tv"), "cal", "vcal")
-    key = ["n", "tid"]
+    key, place = ["n", "tid"], ["n", "cid"]
     lists, full = search.nearest(treated, None, has_cal, has_lim)
-    lists, full, holds, free = cut_lineage(lists), cut_lineage(full), None, treated
+    lists, full, free, waiting = cut_lineage(lists), cut_lineage(full), treated, None
+    holds = treated.sparkSession.createDataFrame([], HELD)
     while True:
-        live = lists.join(free.select(*key, "prio"), key)
-        if holds is not None:
-            h = holds.select("n", "cid", F.col("prio").alias("hp"), F.col("tid").alias("ht"))
-            live = live.join(h, ["n", "cid"], "left").where(
-                F.col("hp").isNull() | (F.col("hp") > F.col("prio"))
-                | ((F.col("hp") == F.col("prio")) & (F.col("ht") > F.col("tid"))))
-        first = cut_lineage(live.groupBy(*key, "prio").agg(F.min(F.struct("rank", "cid", "d")).alias("b")))
-        spent = cut_lineage(free.join(first.select(*key), key, "left_anti")
-                            .join(full, key, "left_anti"))
-        if not spent.isEmpty():
-            more, done = search.nearest(spent, holds, has_cal, has_lim)
+        mine = free.select(*key, "prio")
+        h = holds.select(*place, F.col("prio").alias("hp"), F.col("tid").alias("ht"))
+        live = lists.join(_few(mine), key).join(h, place, "left").where(
+            F.col("hp").isNull() | (F.col("hp") > F.col("prio"))
+            | ((F.col("hp") == F.col("prio")) & (F.col("ht") > F.col("tid"))))
+        best = cut_lineage(live.groupBy(*key, "prio").agg(F.min(F.struct("rank", "cid", "d")).alias("b")))
+        spent = free.join(best.select(*key), key, "left_anti").join(full, key, "left_anti")
+        waiting = cut_lineage(spent if waiting is None else spent.unionByName(waiting))
+        first = best.select("n", "b.cid", "prio", "tid", F.col("b.d").alias("dist"))
+        many = waiting.count()
+        if many and many >= best.count():
+            # their old lists may stay: whoever holds a control gives way to better units only
+            more, done = search.nearest(waiting, holds, has_cal, has_lim)
             more = cut_lineage(more)
-            lists = cut_lineage(lists.join(spent.select(*key), key, "left_anti").unionByName(more))
-            full = cut_lineage(full.unionByName(done))
-            first = first.unionByName(more.where("rank = 1").join(spent.select(*key, "prio"), key).select(
-                *key, "prio", F.struct("rank", "cid", "d").alias("b")))
-        pool = first.select("n", "b.cid", "prio", "tid", F.col("b.d").alias("dist"))
-        pool = cut_lineage(pool if holds is None else pool.unionByName(holds))
-        holds = cut_lineage(pool.groupBy("n", "cid").agg(
-            F.min(F.struct("prio", "tid", "dist")).alias("h")).select(
-            "n", "cid", "h.prio", "h.tid", "h.dist"))
+            lists, full = lists.unionByName(more), cut_lineage(full.unionByName(done))
+            first = first.unionByName(more.where("rank = 1").join(
+                waiting.select(*key, "prio"), key).select(
+                "n", "cid", "prio", "tid", F.col("d").alias("dist")))
+            waiting, many = None, 0
+        pool = cut_lineage(first.unionByName(holds))
+        holds = cut_lineage(pool.groupBy(*place).agg(F.min(F.struct("prio", "tid", "dist")).alias("h")).select(
+            *place, "h.prio", "h.tid", "h.dist"))
         lost = pool.select(*key).join(holds.select(*key), key, "left_anti")
         free = cut_lineage(treated.join(lost, key, "left_semi"))
-        if free.isEmpty():
+        if not many and free.isEmpty():
             break
     if report is not None:
         report["compared"] = search.compared.value

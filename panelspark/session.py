@@ -21,6 +21,7 @@ CONF = {
     # copies of ended steps are deleted with the frames that read them
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+UNKNOWN_SIZE = 2**63 - 1  # the estimate of rows that Spark knows nothing of
 
 
 def build_session(app: str = "panelspark", master: str | None = None,
@@ -40,6 +41,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The copy is on shared storage, so a lost executor costs a re-read and never
     a replay of the rounds before. Only a local session may fall back to a
     temporary folder.
+
+    Spark hands a plan's estimated size on to its checkpoint, and an estimate of a join
+    is the product of its sides. In rounds that read their own checkpoints the number of
+    its digits doubles until the driver does nothing but multiply. Where it passes what
+    stands for an unknown size, the copy is made of the rows alone and takes that.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -50,6 +56,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="panelspark-")
         sc.setCheckpointDir(folder)
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > UNKNOWN_SIZE:
+        df = DataFrame(spark._jsparkSession.createDataFrame(
+            df._jdf.toJavaRDD(), df._jdf.schema()), spark)
     return df.checkpoint(eager=True)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import balance, matching as M, search
 from panelspark.operators.penalty import fit_scores
 from panelspark.plans.match import match_config
+from panelspark.session import UNKNOWN_SIZE, cut_lineage
 
 
 def make(rng, n=400, cells=2):
@@ -159,3 +160,30 @@ def test_slices_of_a_leaf_give_the_whole(limits, monkeypatch):
     assert whole.num_rows and search._meet(t, c, *limits).equals(whole)
     empty = search._meet(t, c.slice(0, 0), *limits)
     assert empty.num_rows == 0 and empty.schema == whole.schema
+
+
+def test_estimates_do_not_grow_from_round_to_round(spark):
+    d = cut_lineage(spark.range(10))
+    for _ in range(7):
+        d = cut_lineage(d.join(d.select("id"), "id"))
+    assert int(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= UNKNOWN_SIZE
+    assert sorted(r.id for r in d.collect()) == list(range(10))
+
+
+def test_units_wait_until_as_many_search_again(spark, monkeypatch):
+    monkeypatch.setattr(M, "BUCKET", 8)
+    monkeypatch.setattr(search, "KEPT", 3)  # lists are soon used up
+    pdf = make(np.random.default_rng(9), 160, 1)
+    pdf["treat"] = (np.arange(160) % 5 < 2).astype(int)
+    pdf["s"] = pdf.a
+    df = spark.createDataFrame(pdf).withColumn("coords", F.array("a", "b"))
+    searches, nearest = [], search.Search.nearest
+
+    def counted(self, asked, *rest):
+        searches.append(asked.count())
+        return nearest(self, asked, *rest)
+
+    monkeypatch.setattr(search.Search, "nearest", counted)
+    got = M.nearest_match(df, ["cell"], priority="s", small_pairs=0)
+    assert {r.treated_id: r.control_id for r in got.collect()} == brute(pdf)
+    assert len(searches) > 1
