@@ -294,12 +294,12 @@ class Search:
         most = max((len(b.leaf) for b in self.boxes.value.values()), default=0)
         while True:
             first = cut_lineage(self._kept(todo, many, holds, has_cal, has_lim))
-            if many >= most:  # every leaf in reach has been read
-                lists.append(first)
-                whole.append(todo.select("n", "tid"))
-                break
             edge = first.where(F.col("rank") == KEPT).select(
                 "n", "tid", F.col("d").alias("bd"), F.col("m").alias("bs"))
+            if many >= most:  # every leaf in reach has been read; a list cut at KEPT may lack some
+                lists.append(first)
+                whole.append(todo.select("n", "tid").join(edge, ["n", "tid"], "left_anti"))
+                break
             sure = cut_lineage(todo.select(*names).join(edge, ["n", "tid"]))
             if not sure.isEmpty():
                 lists.append(cut_lineage(self._kept(sure, None, holds, has_cal, has_lim)))

@@ -187,3 +187,18 @@ def test_units_wait_until_as_many_search_again(spark, monkeypatch):
     got = M.nearest_match(df, ["cell"], priority="s", small_pairs=0)
     assert {r.treated_id: r.control_id for r in got.collect()} == brute(pdf)
     assert len(searches) > 1
+
+
+@pytest.mark.parametrize("bucket,cal", [(64, None), (8, 2.0)])
+def test_used_up_lists_are_not_the_end(spark, monkeypatch, bucket, cal):
+    """More controls in reach than a list keeps, though every leaf has been read: one leaf, or
+    several of which the nearest hold few in reach."""
+    monkeypatch.setattr(M, "BUCKET", bucket)
+    pdf = make(np.random.default_rng(10), 120, 1)
+    pdf["treat"] = (np.arange(120) % 5 < 3).astype(int)
+    pdf["s"] = np.random.default_rng(11).normal(size=120)
+    df = spark.createDataFrame(pdf).withColumn("coords", F.array("a", "b")).withColumn(
+        "cal", F.lit(cal).cast("double"))
+    got = M.nearest_match(df, ["cell"], priority="s", small_pairs=0,
+                          **({"score": "s", "caliper": "cal"} if cal else {}))
+    assert {r.treated_id: r.control_id for r in got.collect()} == brute(pdf, cal)
